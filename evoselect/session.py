@@ -58,3 +58,13 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A fresh path below the shared checkpoint root for one run."""
     return os.path.join(checkpoint_root(spark), "evoselect",
                         uuid.uuid4().hex[:12], *parts)
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` as Parquet under the shared checkpoint root and read it
+    back: cuts the lineage (a lost executor re-reads files instead of
+    replaying the plan) and keeps later plans small."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
