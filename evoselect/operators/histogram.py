@@ -55,8 +55,8 @@ def child_histogram(binned: DataFrame, roots: DataFrame, block_size: int,
     routed = slices.join(F.broadcast(roots.select("r", "t_r", "block")), "block")
     side = F.when(F.element_at("xs", F.col("r") - F.col("block") * block_size + 1) <= F.col("t_r"),
                   F.lit(0)).otherwise(F.lit(1))
-    long = routed.select(
-        (F.col("r") * 2 + side).alias("node"), "block", "y", "is_test",
-        F.posexplode("xs").alias("pos", "b"),
-    ).select("node", (F.col("block") * block_size + F.col("pos")).alias("f"), "b", "y", "is_test")
+    # the side is decided once per (row, root), before the per-feature explode
+    sided = routed.select((F.col("r") * 2 + side).alias("node"), "block", "y", "is_test", "xs")
+    long = sided.select("node", "block", "y", "is_test", F.posexplode("xs").alias("pos", "b")) \
+        .select("node", (F.col("block") * block_size + F.col("pos")).alias("f"), "b", "y", "is_test")
     return _counts(long, ["node", "f", "b", "y"]).select(*HIST_COLS)

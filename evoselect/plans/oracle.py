@@ -9,7 +9,7 @@ the same bits.  DuckDB list indexes are 1-based.
 
 from __future__ import annotations
 
-from .queries import DOCS, EMB, LINEITEM, Setup
+from .queries import DOCS, EMB, LINEITEM, ML_SETUP, Setup
 
 
 def _hex8(expr: str) -> str:
@@ -354,4 +354,9 @@ FROM e1_next n LEFT JOIN g2_fit f USING (individual_id)"""),
     ], """SELECT generation, best_id, best_fitness, n_features,
        (count(*) OVER w = 2 AND max(best_fitness) OVER w = min(best_fitness) OVER w) AS plateau
 FROM hist WINDOW w AS (ORDER BY generation ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)""")
+    ms = ML_SETUP
+    q["tree_fitness_mllib"] = _with(root_ctes(ds_embeddings(ms), ms) + [
+        ("nf", "SELECT max(len(features)) AS n FROM ds"),
+        ("pop", population_cte(ms, "(SELECT n FROM nf)")),
+    ] + fitness_ctes(ms, "pop", "g1"), "SELECT individual_id, correct, fitness FROM g1_fit")
     return q

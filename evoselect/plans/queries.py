@@ -208,6 +208,31 @@ def q_generation_plateau(spark, sf_dir):
     return plateau(hist, 2).select("generation", "best_id", "best_fitness", "n_features", "plateau")
 
 
+# ----------------------------------------------------------- pyspark.ml path
+ML_SETUP = Setup(population=4)
+
+
+def q_tree_fitness_mllib(spark, sf_dir):
+    """ML1/ML3/ML4 via pyspark.ml: DecisionTreeClassifier per (individual,
+    block) on the binned columns; equals the batched tree exactly."""
+    from ..operators.ml_fitness import prepare_ml, score_population_ml
+    t = embeddings_table(spark, sf_dir, ML_SETUP.seed)
+    data = tf.prepare(t, ML_SETUP.block_size, ML_SETUP.n_bins)
+    ml = prepare_ml(t, data.binned)
+    pop = init_population(spark, ML_SETUP.population, t.n_features, ML_SETUP.seed)
+    return score_population_ml(ml, pop, ML_SETUP.block_size, "tree")
+
+
+def q_logistic_fitness(spark, sf_dir):
+    """ML2/ML3/ML4: multinomial logistic regression (L-BFGS) per (individual,
+    block).  No exact oracle (iterative optimiser): rows-only check."""
+    from ..operators.ml_fitness import prepare_ml, score_population_ml
+    t = embeddings_table(spark, sf_dir, ML_SETUP.seed)
+    ml = prepare_ml(t)
+    pop = init_population(spark, ML_SETUP.population, t.n_features, ML_SETUP.seed)
+    return score_population_ml(ml, pop, ML_SETUP.block_size, "logistic")
+
+
 QUERIES = {
     "feature_bins": q_feature_bins,
     "class_count": q_class_count,
@@ -227,4 +252,6 @@ QUERIES = {
     "elite_global": q_elite_global,
     "scored_filter": q_scored_filter,
     "generation_plateau": q_generation_plateau,
+    "tree_fitness_mllib": q_tree_fitness_mllib,
+    "logistic_fitness": q_logistic_fitness,
 }

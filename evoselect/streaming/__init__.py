@@ -1 +1,7 @@
-"""streaming"""
+"""Streaming: intentionally empty.
+
+The reference reads only static files (feature CSVs, label files and
+generation directories) and has no watermark, window, state store or late
+data rule, so there is no streaming operator to provide.  Generations are
+processed as batch plans by ``evoselect.plans.search``.
+"""
