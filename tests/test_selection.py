@@ -115,9 +115,9 @@ def test_generation_is_deterministic_across_shuffle_partitions(spark):
 
 
 def test_small_parts_pass_through(spark):
-    pop = _population(spark, size=6)
+    pop = _population(spark, size=4)          # every part is smaller than the tournament
     kids = offspring(pop, 1, EvolveParams(n_parts=3, seed=1, elitism=0)).collect()
-    assert len(kids) == 6
+    assert len(kids) == 4
     assert sorted(r["fitness"] for r in kids) == sorted(r["fitness"] for r in pop.collect())
 
 
