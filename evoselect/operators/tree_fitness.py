@@ -27,6 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize, scratch_path
 from ..sources.datasets import LabeledTable
 from .binning import BinSpec, binned_rows, fit_bins
 from .histogram import child_histogram, root_histogram
@@ -51,15 +52,18 @@ class TreeData:
 
 
 def prepare(table: LabeledTable, block_size: int, n_bins: int = 32,
-            workdir: str | None = None) -> TreeData:
+            workdir: str | None = "auto") -> TreeData:
     """Bin the table and build the root statistics.
 
-    With ``workdir`` (a shared path) the binned rows and root histogram are
-    written there and read back: later passes start from the compact table
+    The binned rows and root tables are written under ``workdir`` (default: a
+    fresh folder below ``spark.checkpoint.dir``; ``None`` keeps them lazy) and
+    read back: later passes start from the compact table
     and the lineage is cut, so a lost executor re-reads files instead of
     recomputing the source.
     """
     spark: SparkSession = table.df.sparkSession
+    if workdir == "auto":
+        workdir = scratch_path(spark, "tree_data")
     spec = fit_bins(table, n_bins)
     binned = binned_rows(table, spec)
     if workdir:
@@ -94,7 +98,7 @@ def genes(population: DataFrame, block_size: int) -> DataFrame:
 def root_choices(data: TreeData, gene_df: DataFrame) -> DataFrame:
     """(individual_id, block, r, t_r): best useful root split among the
     individual's features of the block; absent when none is useful."""
-    cand = gene_df.join(data.root_best, "f")
+    cand = gene_df.join(F.broadcast(data.root_best), "f")      # <= one row per feature
     w = Window.partitionBy("individual_id", "block").orderBy(F.col("score").desc(), F.col("f").asc())
     return cand.withColumn("rk", F.row_number().over(w)).where("rk = 1") \
         .select("individual_id", "block", F.col("f").alias("r"), F.col("t").alias("t_r"))
@@ -117,7 +121,8 @@ def leaf_table(data: TreeData, child_hist: DataFrame, chosen_splits: DataFrame)
     Split keys (node, f, t) sum both leaves of a chosen child split; node keys
     (node, -1, -1) are nodes kept as a leaf (root included, node = -1).
     """
-    split_cells = child_hist.join(chosen_splits, ["node", "f"]) \
+    # chosen splits: <= population x blocks x 2 rows (parameter-bounded)
+    split_cells = child_hist.join(F.broadcast(chosen_splits), ["node", "f"]) \
         .withColumn("side", (F.col("b") > F.col("t")).cast("int")) \
         .groupBy("node", "f", "t", "side", "y") \
         .agg(F.sum("n_train").alias("n_train"), F.sum("n_test").alias("n_test"))
@@ -146,12 +151,16 @@ def tree_structure(data: TreeData, population: DataFrame,
     g = genes(population, data.block_size)
     roots = root_choices(data, g)
     if child_hist is None or child_best is None:
-        child_hist, child_best = child_tables(data, needed_roots(roots))
+        # used by two branches (child splits, leaves): written once, read twice
+        child_hist = materialize(child_histogram(data.binned, needed_roots(roots), data.block_size,
+                                                 data.n_features), "child_hist")
+        child_best = best_splits(child_hist, data.thresholds)
 
     sides = roots.select("individual_id", "block", "r",
                          F.explode(F.array(F.lit(0), F.lit(1))).alias("s")) \
         .withColumn("node", F.col("r") * 2 + F.col("s"))
-    cand = sides.join(g, ["individual_id", "block"]).join(child_best, ["node", "f"])
+    # child_best: <= 2 nodes x block_size rows per root feature (schema-bounded)
+    cand = sides.join(g, ["individual_id", "block"]).join(F.broadcast(child_best), ["node", "f"])
     w = Window.partitionBy("individual_id", "block", "s").orderBy(F.col("score").desc(), F.col("f").asc())
     chosen = cand.withColumn("rk", F.row_number().over(w)).where("rk = 1") \
         .select("individual_id", "block", "s", "node", "f", "t")
@@ -176,7 +185,8 @@ def score_population(data: TreeData, population: DataFrame,
     """
     keys, hist, chosen = tree_structure(data, population, child_hist, child_best)
     leaves = leaf_table(data, hist, chosen)
-    per_block = keys.join(leaves, ["node", "f", "t"]) \
+    # one leaf row per chosen split or node: parameter-bounded
+    per_block = keys.join(F.broadcast(leaves), ["node", "f", "t"]) \
         .groupBy("individual_id", "block").agg(F.sum("correct").alias("correct"))
     per_ind = per_block.groupBy("individual_id").agg(
         F.sum("correct").alias("correct"), F.count("*").alias("n_blocks_used"))

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from ..operators import tree_fitness as tf
 from ..operators.elite import elite_global, stop_generation
+from ..operators.histogram import child_histogram
+from ..operators.splits import best_splits
 from ..operators.population import init_population, with_fitness
 from ..session import scratch_path
 from ..sources.datasets import LabeledTable
@@ -47,40 +49,42 @@ class SearchResult:
 
 
 class TreeScorer:
-    """Batched tree fitness with a root-keyed child-histogram memo."""
+    """Batched tree fitness with a root-keyed child-histogram memo.
+
+    Each round writes the child histogram of its *new* root features once;
+    best child splits are derived from the written histogram, and later
+    rounds read all written rounds back.
+    """
 
     def __init__(self, table: LabeledTable, block_size: int, n_bins: int, workdir: str):
         self.spark: SparkSession = table.df.sparkSession
         self.workdir = workdir
         self.data = tf.prepare(table, block_size, n_bins, workdir=f"{workdir}/data")
-        self._have_memo = False
-        self._round = 0
+        self._rounds: list[str] = []
 
-    def _memo(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.workdir}/memo/{name}")
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(*[f"{r}/{name}" for r in self._rounds])
 
     def score(self, population: DataFrame) -> DataFrame:
-        """(individual_id, fitness) for the rows of ``population``."""
+        """(individual_id, correct, n_blocks_used, fitness) for ``population``."""
         g = tf.genes(population, self.data.block_size)
         roots = tf.needed_roots(tf.root_choices(self.data, g))
-        if self._have_memo:
-            roots = roots.join(self._memo("roots").select("r"), "r", "left_anti")
-        self._round += 1
-        stage = f"{self.workdir}/memo/new_roots_{self._round}"
-        roots.select("r", "t_r", "block").write.mode("overwrite").parquet(stage)
-        fresh = self.spark.read.parquet(stage)
+        if self._rounds:
+            roots = roots.join(self._read("roots").select("r"), "r", "left_anti")
+        rnd = f"{self.workdir}/memo/round_{len(self._rounds) + 1}"
+        roots.select("r", "t_r", "block").write.mode("overwrite").parquet(f"{rnd}/roots")
+        fresh = self.spark.read.parquet(f"{rnd}/roots")
         if fresh.count() > 0:                 # at most one row per feature
-            hist, best = tf.child_tables(self.data, fresh)
-            hist.write.mode("append").parquet(f"{self.workdir}/memo/child_hist")
-            best.write.mode("append").parquet(f"{self.workdir}/memo/child_best")
-            fresh.write.mode("append").parquet(f"{self.workdir}/memo/roots")
-            self._have_memo = True
-        if not self._have_memo:                # no block had a useful root split
+            child_histogram(self.data.binned, fresh, self.data.block_size, self.data.n_features) \
+                .write.mode("overwrite").parquet(f"{rnd}/child_hist")
+            hist = self.spark.read.parquet(f"{rnd}/child_hist")
+            best_splits(hist, self.data.thresholds).write.mode("overwrite").parquet(f"{rnd}/child_best")
+            self._rounds.append(rnd)
+        if not self._rounds:                   # no block had a useful root split
             empty_h = self.data.root_hist.limit(0)
             empty_b = self.spark.createDataFrame([], "node int, f int, t int, score double")
             return tf.score_population(self.data, population, empty_h, empty_b)
-        return tf.score_population(self.data, population,
-                                   self._memo("child_hist"), self._memo("child_best"))
+        return tf.score_population(self.data, population, self._read("child_hist"), self._read("child_best"))
 
 
 def run_search(table: LabeledTable, params: SearchParams, workdir: str | None = None,
@@ -96,7 +100,7 @@ def run_search(table: LabeledTable, params: SearchParams, workdir: str | None =
     g = 1
     for g in range(1, params.max_generations + 1):
         todo = pop.where(F.col("fitness").isNull())
-        scored = with_fitness(pop, scorer.score(todo))
+        scored = with_fitness(pop, scorer.score(todo).select("individual_id", "fitness"))
         write_generation(scored, pop_root)
         scored = read_generation(spark, pop_root, g)
         best = elite_global(scored)
@@ -109,6 +113,10 @@ def run_search(table: LabeledTable, params: SearchParams, workdir: str | None =
             stopped = True
             break
         if g < params.max_generations:
-            pop = next_generation(scored, g, params.evolve)
+            # offspring are read by several jobs of the next round: write once
+            nxt = f"{workdir}/offspring/generation={g + 1}"
+            next_generation(scored, g, params.evolve).write.mode("overwrite").parquet(nxt)
+            pop = spark.read.schema("individual_id bigint, genome array<int>, fitness float") \
+                .parquet(nxt).select(F.lit(g + 1).alias("generation"), "individual_id", "genome", "fitness")
     history = spark.read.parquet(hist_path).orderBy("generation")
     return SearchResult(workdir, g, stopped, history, time.time() - t0)
