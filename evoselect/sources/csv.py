@@ -1,25 +1,37 @@
 """Headerless feature CSV + one-label-per-line files.
 
 The reference keeps the two files aligned by line number and collects the
-labels to the driver.  Here each file gets an explicit dense row index
-(``zipWithIndex``, which follows file and line order) and the two are
-joined on it, so nothing is collected and the alignment holds however the
-files are split into tasks.
+labels to the driver.  Here each file gets an explicit dense row index in
+file and line order (computed JVM-side from the scan's split and position)
+and the two are joined on it, so nothing is collected and the alignment
+holds however the files are split into tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .datasets import LabeledTable
 
 
 def _indexed_lines(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path)
-    schema = StructType([StructField("row_idx", LongType(), False)] + list(lines.schema.fields))
-    return spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda t: (t[1],) + tuple(t[0])), schema)
+    """Lines with a dense 0-based index in file order, JVM-side.
+
+    ``monotonically_increasing_id`` is (split number << 33) + position in the
+    split; a dense index adds the number of lines of all earlier splits.
+    The offset table has one row per input split (a few per file), so its
+    un-partitioned running sum and its broadcast are bounded by the split
+    count, not by the data.
+    """
+    mid = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select(
+        F.shiftright(mid, 33).alias("split"), mid.bitwiseAND(F.lit((1 << 33) - 1)).alias("pos"), "value")
+    sizes = lines.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select(
+        "split", (F.sum("n").over(Window.orderBy("split")) - F.col("n")).alias("offset"))
+    return lines.join(F.broadcast(offsets), "split") \
+        .select((F.col("offset") + F.col("pos")).alias("row_idx"), "value")
 
 
 def read_feature_csv(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:

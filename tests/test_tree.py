@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from evoselect.operators import tree_fitness as tf
 from evoselect.operators.population import init_population
-from evoselect.sources.csv import csv_table, read_feature_csv, read_labels, write_csv_pair
+from evoselect.sources.csv import attach_labels, csv_table, read_feature_csv, read_labels, write_csv_pair
 from evoselect.sources.datasets import documents_table, embeddings_table, lineitem_table
 
 
@@ -117,9 +117,18 @@ def test_csv_roundtrip_aligns_labels(spark):
     d = tempfile.mkdtemp(prefix="csvfix-")
     write_csv_pair(table, os.path.join(d, "train_data"), os.path.join(d, "train_labels"), test=False)
     write_csv_pair(table, os.path.join(d, "test_data"), os.path.join(d, "test_labels"), test=True)
-    feats = read_feature_csv(spark, os.path.join(d, "train_data"))
-    labs = read_labels(spark, os.path.join(d, "train_labels"))
-    assert feats.count() == labs.count()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")      # force many splits per file
+    try:
+        feats = read_feature_csv(spark, os.path.join(d, "train_data"))
+        labs = read_labels(spark, os.path.join(d, "train_labels"))
+        idx = sorted(r["row_idx"] for r in feats.collect())
+        assert idx == list(range(len(idx))) and labs.count() == len(idx)
+        train = table.df.where("NOT is_test").orderBy("row_key").collect()
+        got = attach_labels(feats, labs).orderBy("row_idx").collect()
+        assert [float(r["label"]) for r in train] == [r["label"] for r in got]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     back = csv_table(spark, os.path.join(d, "train_data"), os.path.join(d, "train_labels"),
                      os.path.join(d, "test_data"), os.path.join(d, "test_labels"))
     assert back.n_features == table.n_features
