@@ -314,6 +314,11 @@ def oracle_queries() -> dict[str, str]:
     q["class_count"] = _with([("ds", ds_embeddings(s))], """SELECT count(DISTINCT y) AS n_classes, count(*) AS n_rows,
        sum(CASE WHEN NOT is_test THEN 1 ELSE 0 END) AS n_train,
        sum(CASE WHEN is_test THEN 1 ELSE 0 END) AS n_test FROM ds""")
+    q["csv_label_attach"] = _with([("ds", ds_embeddings(s))], """SELECT is_test,
+       CAST(row_number() OVER (PARTITION BY is_test ORDER BY row_key) - 1 AS BIGINT) AS row_idx,
+       CAST(y AS DOUBLE) AS label, CAST(len(features) AS INTEGER) AS n_values,
+       features[1] AS first_value, features[-1] AS last_value
+FROM ds""")
     q["masked_projection"] = _with([
         ("ds", ds_embeddings(s)),
         ("nf", "SELECT max(len(features)) AS n FROM ds"),

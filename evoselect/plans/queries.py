@@ -125,6 +125,23 @@ def q_tree_fitness_documents(spark, sf_dir):
     return _fitness_report(spark, documents_table(spark, sf_dir, DOCS.seed), DOCS)
 
 
+def q_csv_label_attach(spark, sf_dir):
+    """Embeddings written in the four-file CSV layout under
+    the scratch folder, read back and labels attached by line position."""
+    from ..session import scratch_path
+    from ..sources.csv import csv_table, write_csv_pair
+    t = embeddings_table(spark, sf_dir, EMB.seed)
+    d = scratch_path(spark, "csv")
+    write_csv_pair(t, f"{d}/train_data", f"{d}/train_labels", test=False)
+    write_csv_pair(t, f"{d}/test_data", f"{d}/test_labels", test=True)
+    back = csv_table(spark, f"{d}/train_data", f"{d}/train_labels", f"{d}/test_data",
+                     f"{d}/test_labels", n_features=t.n_features)
+    return back.df.select(
+        "is_test", F.regexp_extract("row_key", r"(\d+)$", 1).cast("bigint").alias("row_idx"),
+        "label", F.size("features").alias("n_values"),
+        F.element_at("features", 1).alias("first_value"), F.element_at("features", -1).alias("last_value"))
+
+
 # ------------------------------------------------------------- GA operators
 def _ordered(spark, sf_dir):
     scored, _ = _scored(spark, embeddings_table(spark, sf_dir, EMB.seed), EMB)
@@ -236,6 +253,7 @@ def q_logistic_fitness(spark, sf_dir):
 QUERIES = {
     "feature_bins": q_feature_bins,
     "class_count": q_class_count,
+    "csv_label_attach": q_csv_label_attach,
     "masked_projection": q_masked_projection,
     "root_histogram": q_root_histogram,
     "root_splits": q_root_splits,
