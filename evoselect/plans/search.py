@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tree_fitness as tf
-from ..operators.elite import elite_global, stop_generation
+from ..operators.elite import elite_global, elite_per_part, stop_generation
+from ..operators.selection import assign_parts, with_ordinal
 from ..operators.histogram import child_histogram
 from ..operators.splits import best_splits
 from ..operators.population import init_population, with_fitness
@@ -36,6 +37,8 @@ class SearchParams:
     n_bins: int = 32
     max_generations: int = 10
     plateau_k: int = 4
+    model: str = "tree"            # X5/P17: "tree" (batched) or "logistic" (pyspark.ml)
+    elite_min_rows: int = 1        # D8: the reference reports a part only from 10 scored rows
     evolve: EvolveParams = field(default_factory=EvolveParams)
 
 
@@ -87,12 +90,32 @@ class TreeScorer:
         return tf.score_population(self.data, population, self._read("child_hist"), self._read("child_best"))
 
 
+class ModelScorer:
+    """Fitness through a pyspark.ml model per (individual, block) (ML2).
+
+    The vectorised dataset is written once; only genomes reach the driver."""
+
+    def __init__(self, table: LabeledTable, block_size: int, kind: str, parallelism: int = 4):
+        from ..operators.ml_fitness import prepare_ml
+        self.data = prepare_ml(table)
+        self.block_size = block_size
+        self.kind = kind
+        self.parallelism = parallelism
+
+    def score(self, population: DataFrame) -> DataFrame:
+        from ..operators.ml_fitness import score_population_ml
+        return score_population_ml(self.data, population, self.block_size, self.kind, self.parallelism)
+
+
 def run_search(table: LabeledTable, params: SearchParams, workdir: str | None = None,
                log=None) -> SearchResult:
     spark = table.df.sparkSession
     workdir = workdir or scratch_path(spark, "search")
     t0 = time.time()
-    scorer = TreeScorer(table, params.block_size, params.n_bins, workdir)
+    if params.model.startswith("t"):
+        scorer = TreeScorer(table, params.block_size, params.n_bins, workdir)
+    else:
+        scorer = ModelScorer(table, params.block_size, params.model)
     pop_root = f"{workdir}/population"
     hist_path = f"{workdir}/history"
     pop = init_population(spark, params.population_size, table.n_features, params.evolve.seed)
@@ -103,6 +126,11 @@ def run_search(table: LabeledTable, params: SearchParams, workdir: str | None =
         scored = with_fitness(pop, scorer.score(todo).select("individual_id", "fitness"))
         write_generation(scored, pop_root)
         scored = read_generation(spark, pop_root, g)
+        # Per-part elites of the parts this generation is bred in; S8/A5:
+        # the global best is the final step of the same two-phase argmax
+        parted = with_ordinal(assign_parts(scored, params.evolve.n_parts, params.evolve.seed))
+        append_table(elite_per_part(parted, params.elite_min_rows).withColumn("generation", F.lit(g)),
+                     f"{workdir}/elites")
         best = elite_global(scored)
         append_table(best, hist_path)
         if log:

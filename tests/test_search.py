@@ -34,3 +34,17 @@ def test_search_stops_on_plateau(spark):
         assert all(hist[i] != hist[i + 1] for i in range(len(hist) - 2))
     else:
         assert res.generations == 8
+
+
+def test_search_with_logistic_model_and_elites(spark):
+    table = embeddings_table(spark, SF_SMALL, 42)
+    params = SearchParams(population_size=6, block_size=32, max_generations=2, plateau_k=4, model="logistic",
+                          evolve=EvolveParams(n_parts=1, seed=3, mutation_rate=0.0, elitism=1))
+    res = run_search(table, params)
+    hist = res.history.collect()
+    assert len(hist) == 2 and hist[1]["best_fitness"] >= hist[0]["best_fitness"]
+    elites = spark.read.parquet(f"{res.workdir}/elites").collect()
+    assert sorted({r["generation"] for r in elites}) == [1, 2]
+    for h in hist:     # the global best is the best of the per-part elites
+        mine = [e["fitness"] for e in elites if e["generation"] == h["generation"]]
+        assert max(mine) == h["best_fitness"]
