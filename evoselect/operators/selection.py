@@ -46,11 +46,13 @@ def tournament_winners(ordered: DataFrame, size: int = 5) -> DataFrame:
     """One winner per position p = size .. n + size - 1.
 
     Columns: part_id, n, p, winner_id, winner_genome, winner_fitness.
+    The first ``size`` rows are duplicated in place (explode, no union), so
+    the window reuses the part_id partitioning of ``ordered``.
     """
-    cols = ["part_id", "n", "p", "individual_id", "genome", "fitness"]
-    full = ordered.where(F.col("n") >= size).select(*cols)
-    wrapped = full.where(F.col("p") < size).withColumn("p", F.col("p") + F.col("n"))
-    ext = full.unionByName(wrapped)
+    full = ordered.where(F.col("n") >= size)
+    positions = F.when(F.col("p") < size, F.array(F.col("p"), F.col("p") + F.col("n"))) \
+        .otherwise(F.array(F.col("p")))
+    ext = full.select("part_id", "n", F.explode(positions).alias("p"), "individual_id", "genome", "fitness")
     w = Window.partitionBy("part_id").orderBy("p").rowsBetween(-(size - 1), 0)
     best = F.max_by(
         F.struct(F.col("individual_id").alias("id"), F.col("genome").alias("genome"),
@@ -69,24 +71,21 @@ def tournament_pairs(winners: DataFrame, size: int = 5) -> DataFrame:
 
     Columns: part_id, n, k (pair number), p1_id, p1_genome, p2_id, p2_genome.
     ``p1`` is the reference's ``ind[0]`` (winner at the even position).
+    One pass over the winners: pairs and the single come from one filter.
     """
     w = Window.partitionBy("part_id").orderBy("p")
-    prev_id = F.lag("winner_id").over(w)
-    prev_genome = F.lag("winner_genome").over(w)
     role = F.pmod(F.col("p") - size, F.lit(2))
     staged = winners.select(
         "part_id", "n", "p", "winner_id", "winner_genome",
-        prev_id.alias("prev_id"), prev_genome.alias("prev_genome"), role.alias("role"))
+        F.lag("winner_id").over(w).alias("prev_id"), F.lag("winner_genome").over(w).alias("prev_genome"),
+        role.alias("role"))
+    single = (F.col("role") == 0) & (F.col("p") == F.col("n") + size - 1)
+    paired = F.col("role") == 1
     even = F.pmod(F.col("p"), F.lit(2)) == 0
-    pairs = staged.where("role = 1").select(
+    first = paired & ~even           # pair whose later winner sits at an odd position
+    return staged.where(paired | single).select(
         "part_id", "n", ((F.col("p") - size) / 2).cast("int").alias("k"),
-        F.when(even, F.col("winner_id")).otherwise(F.col("prev_id")).alias("p1_id"),
-        F.when(even, F.col("winner_genome")).otherwise(F.col("prev_genome")).alias("p1_genome"),
-        F.when(even, F.col("prev_id")).otherwise(F.col("winner_id")).alias("p2_id"),
-        F.when(even, F.col("prev_genome")).otherwise(F.col("winner_genome")).alias("p2_genome"))
-    single = staged.where((F.col("role") == 0) & (F.col("p") == F.col("n") + size - 1)).select(
-        "part_id", "n", ((F.col("p") - size) / 2).cast("int").alias("k"),
-        F.col("winner_id").alias("p1_id"), F.col("winner_genome").alias("p1_genome"),
-        F.lit(None).cast("bigint").alias("p2_id"),
-        F.lit(None).cast("array<int>").alias("p2_genome"))
-    return pairs.unionByName(single)
+        F.when(first, F.col("prev_id")).otherwise(F.col("winner_id")).alias("p1_id"),
+        F.when(first, F.col("prev_genome")).otherwise(F.col("winner_genome")).alias("p1_genome"),
+        F.when(paired & even, F.col("prev_id")).when(first, F.col("winner_id")).alias("p2_id"),
+        F.when(paired & even, F.col("prev_genome")).when(first, F.col("winner_genome")).alias("p2_genome"))
