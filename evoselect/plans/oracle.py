@@ -359,6 +359,19 @@ FROM e1_next n LEFT JOIN g2_fit f USING (individual_id)"""),
     ], """SELECT generation, best_id, best_fitness, n_features,
        (count(*) OVER w = 2 AND max(best_fitness) OVER w = min(best_fitness) OVER w) AS plateau
 FROM hist WINDOW w AS (ORDER BY generation ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)""")
+    g3 = evolve_ctes(s, "scored2", 2, "e2", elitism=1) + [
+        ("e2_todo", "SELECT * FROM e2_next WHERE fitness IS NULL")] + fitness_ctes(s, "e2_todo", "g3")
+    report = ("printf('Iteration = %d\nFinal Individual - %s\nAccuracy = %.9f', generation, "
+              + _genome_text("best_genome") + ", CAST(best_fitness AS DOUBLE))")
+    q["search_history"] = _with(sc + ev + [("e1_todo", "SELECT * FROM e1_next WHERE fitness IS NULL")] + g2 + [
+        ("scored2", """SELECT n.generation, n.individual_id, n.genome, coalesce(n.fitness, f.fitness) AS fitness
+FROM e1_next n LEFT JOIN g2_fit f USING (individual_id)"""),
+    ] + g3 + [
+        ("scored3", """SELECT n.generation, n.individual_id, n.genome, coalesce(n.fitness, f.fitness) AS fitness
+FROM e2_next n LEFT JOIN g3_fit f USING (individual_id)"""),
+        ("hist", _elite_sql("scored") + "\nUNION ALL\n" + _elite_sql("scored2") + "\nUNION ALL\n"
+         + _elite_sql("scored3")),
+    ], f"""SELECT generation, best_id, best_fitness, n_features, n_scored, {report} AS report FROM hist""")
     ms = ML_SETUP
     q["tree_fitness_mllib"] = _with(root_ctes(ds_embeddings(ms), ms) + [
         ("nf", "SELECT max(len(features)) AS n FROM ds"),

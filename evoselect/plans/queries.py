@@ -225,6 +225,20 @@ def q_generation_plateau(spark, sf_dir):
     return plateau(hist, 2).select("generation", "best_id", "best_fitness", "n_features", "plateau")
 
 
+def q_search_history(spark, sf_dir):
+    """G6 + S9/F14: three generations of the full search loop (score, write,
+    elite, plateau test, evolve) on embeddings; the per-generation history."""
+    from .search import SearchParams, run_search
+    params = SearchParams(population_size=EMB.population, block_size=EMB.block_size, n_bins=EMB.n_bins,
+                          max_generations=3, plateau_k=4,
+                          evolve=EvolveParams(n_parts=EMB.n_parts, seed=EMB.seed,
+                                              mutation_rate=EMB.mutation_rate, elitism=1))
+    res = run_search(embeddings_table(spark, sf_dir, EMB.seed), params)
+    hist = res.history
+    return hist.join(history_report(hist), "generation").select(
+        "generation", "best_id", "best_fitness", "n_features", "n_scored", "report")
+
+
 # ----------------------------------------------------------- pyspark.ml path
 ML_SETUP = Setup(population=4)
 
@@ -270,6 +284,7 @@ QUERIES = {
     "elite_global": q_elite_global,
     "scored_filter": q_scored_filter,
     "generation_plateau": q_generation_plateau,
+    "search_history": q_search_history,
     "tree_fitness_mllib": q_tree_fitness_mllib,
     "logistic_fitness": q_logistic_fitness,
 }
