@@ -11,9 +11,11 @@ application each.  Here one plan scores the whole population:
    table, no data pass);
 3. child histograms only for the *distinct* root features chosen (at most
    one per feature; one pass over the data for all of them);
-4. best child split per (individual, block, side) the same way;
-5. leaf majorities and correct test counts come from the same histograms,
-   so test rows are never routed per individual.
+4. from each child histogram, once per root: the best split of every
+   (child node, feature) with the correct test rows of its two leaves, and
+   the correct test rows of the node kept as a leaf (``child_tables``);
+5. per (individual, block, side) the best of its features' splits -- a join
+   of genes with those tables; test rows are never routed per individual.
 
 Everything after the two histogram passes works on tables of size
 population x features.  Accuracy is exact: sum of correct test rows over
@@ -45,6 +47,7 @@ class TreeData:
     n_features: int
     block_size: int
     n_test: int
+    root_correct: int
 
     @property
     def n_blocks(self) -> int:
@@ -83,9 +86,13 @@ def prepare(table: LabeledTable, block_size: int, n_bins: int = 32,
         thresholds = spark.read.parquet(f"{workdir}/thresholds")
         root_best.write.mode("overwrite").parquet(f"{workdir}/root_best")
         root_best = spark.read.parquet(f"{workdir}/root_best")
-    n_test = hist.where("f = 0").agg(F.sum("n_test")).first()[0] or 0
+    root_node = hist.where("f = 0").groupBy("node", "y") \
+        .agg(F.sum("n_train").alias("n_train"), F.sum("n_test").alias("n_test"))
+    totals = majority(root_node, ["node"]).join(
+        root_node.groupBy("node").agg(F.sum("n_test").alias("n_all")), "node").first()
+    n_test, root_correct = (int(totals["n_all"]), int(totals["correct"])) if totals else (0, 0)
     return TreeData(binned, hist, thresholds, root_best, spec, table.n_features,
-                    block_size, int(n_test))
+                    block_size, n_test, root_correct)
 
 
 def genes(population: DataFrame, block_size: int) -> DataFrame:
@@ -109,86 +116,68 @@ def needed_roots(choices: DataFrame) -> DataFrame:
     return choices.select("r", "t_r", "block").distinct()
 
 
-def child_tables(data: TreeData, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Child histogram and best child splits for the given roots."""
-    hist = child_histogram(data.binned, roots, data.block_size, data.n_features)
-    return hist, best_splits(hist, data.thresholds)
-
+def child_tables(data: TreeData, child_hist: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per-root statistics that no individual changes, from a child histogram.
 
-def leaf_table(data: TreeData, child_hist: DataFrame, chosen_splits: DataFrame) -> DataFrame:
-    """(node, f, t, correct): correct test rows under a leaf key.
+    * ``best`` (node, f, t, score, correct): the best useful split of each
+      (child node, feature) and the correct test rows of its two leaves;
+    * ``nodes`` (node, correct): correct test rows when the node stays a leaf.
 
-    Split keys (node, f, t) sum both leaves of a chosen child split; node keys
-    (node, -1, -1) are nodes kept as a leaf (root included, node = -1).
+    An individual's child split is always some feature's best split, so these
+    two tables hold every leaf a tree can have; scoring a generation is then
+    only joins of genes against them.
     """
-    # chosen splits: <= population x blocks x 2 rows (parameter-bounded)
-    split_cells = child_hist.join(F.broadcast(chosen_splits), ["node", "f"]) \
+    best = best_splits(child_hist, data.thresholds)
+    # best: <= 2 nodes x block_size rows per root feature (schema-bounded)
+    cells = child_hist.join(F.broadcast(best.select("node", "f", "t")), ["node", "f"]) \
         .withColumn("side", (F.col("b") > F.col("t")).cast("int")) \
-        .groupBy("node", "f", "t", "side", "y") \
+        .groupBy("node", "f", "side", "y") \
         .agg(F.sum("n_train").alias("n_train"), F.sum("n_test").alias("n_test"))
-    split_correct = majority(split_cells, ["node", "f", "t", "side"]) \
-        .groupBy("node", "f", "t").agg(F.sum("correct").alias("correct"))
-
+    split_correct = majority(cells, ["node", "f", "side"]) \
+        .groupBy("node", "f").agg(F.sum("correct").alias("correct"))
     # class totals of a node: any one feature's histogram covers all its rows
-    child_nodes = child_hist.where(F.col("f") == F.floor(F.col("node") / 2)) \
+    node_cells = child_hist.where(F.col("f") == F.floor(F.col("node") / 2)) \
         .groupBy("node", "y").agg(F.sum("n_train").alias("n_train"), F.sum("n_test").alias("n_test"))
-    root_node = data.root_hist.where("f = 0").groupBy("node", "y") \
-        .agg(F.sum("n_train").alias("n_train"), F.sum("n_test").alias("n_test"))
-    node_correct = majority(child_nodes.unionByName(root_node), ["node"]) \
-        .select("node", F.lit(-1).alias("f"), F.lit(-1).alias("t"), "correct")
-    return split_correct.select("node", "f", "t", "correct").unionByName(node_correct)
+    nodes = majority(node_cells, ["node"]).select("node", "correct")
+    return best.join(split_correct, ["node", "f"]), nodes
 
 
-def tree_structure(data: TreeData, population: DataFrame,
-                   child_hist: DataFrame | None = None,
-                   child_best: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per (individual, block, side) the leaf key of its tree.
+def score_population(data: TreeData, population: DataFrame,
+                     child_best: DataFrame | None = None,
+                     node_correct: DataFrame | None = None) -> DataFrame:
+    """(individual_id, correct, n_blocks_used, fitness) for every individual.
 
-    Returns (keys, child_hist, chosen) where ``keys`` has columns
-    individual_id, block, node, f, t.  A block whose root is a leaf yields
-    one key (-1, -1, -1); otherwise one key per side.
+    ``child_best`` / ``node_correct`` come from :func:`child_tables` (the
+    search loop keeps them per root feature); when absent they are built for
+    the roots this population needs.  Fitness is NULL when some block has no
+    selected feature (no tree can be fit there) or there are no test rows.
     """
     g = genes(population, data.block_size)
     roots = root_choices(data, g)
-    if child_hist is None or child_best is None:
-        # used by two branches (child splits, leaves): written once, read twice
-        child_hist = materialize(child_histogram(data.binned, needed_roots(roots), data.block_size,
-                                                 data.n_features), "child_hist")
-        child_best = best_splits(child_hist, data.thresholds)
+    if child_best is None or node_correct is None:
+        hist = materialize(child_histogram(data.binned, needed_roots(roots), data.block_size,
+                                           data.n_features), "child_hist")
+        child_best, node_correct = child_tables(data, hist)
 
     sides = roots.select("individual_id", "block", "r",
                          F.explode(F.array(F.lit(0), F.lit(1))).alias("s")) \
         .withColumn("node", F.col("r") * 2 + F.col("s"))
-    # child_best: <= 2 nodes x block_size rows per root feature (schema-bounded)
-    cand = sides.join(g, ["individual_id", "block"]).join(F.broadcast(child_best), ["node", "f"])
+    cand = sides.join(g, ["individual_id", "block"]) \
+        .join(F.broadcast(child_best.select("node", "f", "score", "correct")), ["node", "f"])
     w = Window.partitionBy("individual_id", "block", "s").orderBy(F.col("score").desc(), F.col("f").asc())
     chosen = cand.withColumn("rk", F.row_number().over(w)).where("rk = 1") \
-        .select("individual_id", "block", "s", "node", "f", "t")
-    side_keys = sides.join(chosen, ["individual_id", "block", "s", "node"], "left") \
-        .select("individual_id", "block", "node",
-                F.coalesce("f", F.lit(-1)).alias("f"), F.coalesce("t", F.lit(-1)).alias("t"))
-    blocks = g.select("individual_id", "block").distinct()
-    leaf_roots = blocks.join(roots, ["individual_id", "block"], "left_anti") \
-        .select("individual_id", "block", F.lit(-1).alias("node"), F.lit(-1).alias("f"),
-                F.lit(-1).alias("t"))
-    keys = side_keys.unionByName(leaf_roots)
-    return keys, child_hist, chosen.select("node", "f", "t").distinct()
-
-
-def score_population(data: TreeData, population: DataFrame,
-                     child_hist: DataFrame | None = None,
-                     child_best: DataFrame | None = None) -> DataFrame:
-    """(individual_id, correct, n_blocks_used, fitness) for every individual.
-
-    Fitness is NULL when some block has no selected feature (no tree can be
-    fit there) or there are no test rows.
-    """
-    keys, hist, chosen = tree_structure(data, population, child_hist, child_best)
-    leaves = leaf_table(data, hist, chosen)
-    # one leaf row per chosen split or node: parameter-bounded
-    per_block = keys.join(F.broadcast(leaves), ["node", "f", "t"]) \
-        .groupBy("individual_id", "block").agg(F.sum("correct").alias("correct"))
-    per_ind = per_block.groupBy("individual_id").agg(
+        .select("individual_id", "block", "s", F.col("correct").alias("split_correct"))
+    # a side without a useful split is a leaf: the node's own majority
+    per_side = sides.join(chosen, ["individual_id", "block", "s"], "left") \
+        .join(F.broadcast(node_correct.select("node", F.col("correct").alias("leaf_correct"))), "node", "left") \
+        .select("individual_id", "block",
+                F.coalesce("split_correct", "leaf_correct").alias("correct"))
+    with_root = per_side.groupBy("individual_id", "block").agg(F.sum("correct").alias("correct"))
+    # a block without a useful root split is one leaf: the overall majority
+    leaf_root = g.select("individual_id", "block").distinct() \
+        .join(roots, ["individual_id", "block"], "left_anti") \
+        .select("individual_id", "block", F.lit(data.root_correct).cast("bigint").alias("correct"))
+    per_ind = with_root.unionByName(leaf_root).groupBy("individual_id").agg(
         F.sum("correct").alias("correct"), F.count("*").alias("n_blocks_used"))
     denom = data.n_blocks * data.n_test
     fitness = F.when((F.col("n_blocks_used") == data.n_blocks) & F.lit(denom > 0),

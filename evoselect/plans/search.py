@@ -22,7 +22,6 @@ from ..operators import tree_fitness as tf
 from ..operators.elite import elite_global, elite_per_part, stop_generation
 from ..operators.selection import assign_parts, with_ordinal
 from ..operators.histogram import child_histogram
-from ..operators.splits import best_splits
 from ..operators.population import init_population, with_fitness
 from ..session import scratch_path
 from ..sources.datasets import LabeledTable
@@ -81,13 +80,15 @@ class TreeScorer:
             child_histogram(self.data.binned, fresh, self.data.block_size, self.data.n_features) \
                 .write.mode("overwrite").parquet(f"{rnd}/child_hist")
             hist = self.spark.read.parquet(f"{rnd}/child_hist")
-            best_splits(hist, self.data.thresholds).write.mode("overwrite").parquet(f"{rnd}/child_best")
+            best, nodes = tf.child_tables(self.data, hist)
+            best.write.mode("overwrite").parquet(f"{rnd}/child_best")
+            nodes.write.mode("overwrite").parquet(f"{rnd}/node_correct")
             self._rounds.append(rnd)
         if not self._rounds:                   # no block had a useful root split
-            empty_h = self.data.root_hist.limit(0)
-            empty_b = self.spark.createDataFrame([], "node int, f int, t int, score double")
-            return tf.score_population(self.data, population, empty_h, empty_b)
-        return tf.score_population(self.data, population, self._read("child_hist"), self._read("child_best"))
+            empty_b = self.spark.createDataFrame([], "node int, f int, t int, score double, correct bigint")
+            empty_n = self.spark.createDataFrame([], "node int, correct bigint")
+            return tf.score_population(self.data, population, empty_b, empty_n)
+        return tf.score_population(self.data, population, self._read("child_best"), self._read("node_correct"))
 
 
 class ModelScorer:
