@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.genome import genome_text
 from ..operators import tree_fitness as tf
 from ..operators.elite import elite_global, elite_per_part, stop_generation
 from ..operators.selection import assign_parts, with_ordinal
@@ -38,6 +39,7 @@ class SearchParams:
     plateau_k: int = 4
     model: str = "tree"            # X5/P17: "tree" (batched) or "logistic" (pyspark.ml)
     elite_min_rows: int = 1        # D8: the reference reports a part only from 10 scored rows
+    fitness_memo: bool = True      # reuse the fitness of a genome scored in an earlier generation
     evolve: EvolveParams = field(default_factory=EvolveParams)
 
 
@@ -122,11 +124,29 @@ def run_search(table: LabeledTable, params: SearchParams, workdir: str | None =
     pop = init_population(spark, params.population_size, table.n_features, params.evolve.seed)
     stopped = False
     g = 1
+    memo_root = f"{workdir}/fitness_memo"
     for g in range(1, params.max_generations + 1):
         todo = pop.where(F.col("fitness").isNull())
-        scored = with_fitness(pop, scorer.score(todo).select("individual_id", "fitness"))
+        known = None
+        if params.fitness_memo and g > 1:
+            # fitness is a function of the genome: a genome scored before is not
+            # scored again (clones, copied winners).  The memo holds one row per
+            # distinct genome scored so far (population x generations, a run bound).
+            memo = spark.read.parquet(memo_root).select("gkey", "fitness").dropDuplicates(["gkey"])
+            keyed = todo.withColumn("gkey", F.md5(genome_text(F.col("genome"))))
+            known = keyed.drop("fitness").join(memo, "gkey").select("individual_id", "fitness")
+            todo = keyed.join(memo.select("gkey"), "gkey", "left_anti").drop("gkey")
+        scores = scorer.score(todo).select("individual_id", "fitness")
+        if known is not None:
+            scores = scores.unionByName(known)
+        scored = with_fitness(pop, scores)
         write_generation(scored, pop_root)
         scored = read_generation(spark, pop_root, g)
+        if params.fitness_memo:
+            fresh = pop.where(F.col("fitness").isNull()).select("individual_id")
+            scored.join(fresh, "individual_id") \
+                .select(F.md5(genome_text(F.col("genome"))).alias("gkey"), "fitness") \
+                .write.mode("overwrite").parquet(f"{memo_root}/generation={g}")
         # Per-part elites of the parts this generation is bred in; S8/A5:
         # the global best is the final step of the same two-phase argmax
         parted = with_ordinal(assign_parts(scored, params.evolve.n_parts, params.evolve.seed))

@@ -48,3 +48,19 @@ def test_search_with_logistic_model_and_elites(spark):
     for h in hist:     # the global best is the best of the per-part elites
         mine = [e["fitness"] for e in elites if e["generation"] == h["generation"]]
         assert max(mine) == h["best_fitness"]
+
+
+def test_fitness_memo_does_not_change_results(spark):
+    table = embeddings_table(spark, SF_SMALL, 42)
+    runs = []
+    for memo in (True, False):
+        params = SearchParams(population_size=12, block_size=16, max_generations=3, plateau_k=9,
+                              fitness_memo=memo,
+                              evolve=EvolveParams(n_parts=2, seed=7, mutation_rate=0.0, elitism=1))
+        res = run_search(table, params)
+        pops = []
+        for g in range(1, res.generations + 1):
+            pop = read_generation(spark, f"{res.workdir}/population", g)
+            pops.append(sorted((r["individual_id"], tuple(r["genome"]), r["fitness"]) for r in pop.collect()))
+        runs.append((pops, [tuple(r) for r in res.history.select("generation", "best_id", "best_fitness").collect()]))
+    assert runs[0] == runs[1]
