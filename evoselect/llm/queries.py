@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from . import oracle
+from .jaccard_join import op10_jaccard_join
+from .packing import op5_best_fit_packing
 from .substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE = {k: v for k, v in oracle.SQL.items() if k in QUERIES}

@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,7 +148,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = WIDTH,
         text = X.column(table, text_col)
         kept = keep_words(w, keep)
         if text.null_count:
-            kept = pa.compute.if_else(text.is_null(), pa.scalar(None, pa.utf8()), kept)
+            kept = pc.if_else(text.is_null(), pa.scalar(None, pa.utf8()), kept)
         return pa.table({"_row": table["_row"], "_kept": kept,
                          "_words": pa.array(w.counts, pa.int64()),
                          "_gone": pa.array(gone[w.first[1:]] - gone[w.first[:-1]], pa.int64())})
