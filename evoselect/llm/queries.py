@@ -7,10 +7,12 @@ from .jaccard_join import op10_jaccard_join
 from .packing import op5_best_fit_packing
 from .substring_dedup import op1_substring_dedup
 from .toxicity import op2_toxicity
+from .va_search import op4_va_search
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
+    "op4_va_search": op4_va_search,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
