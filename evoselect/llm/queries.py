@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import oracle
 from .jaccard_join import op10_jaccard_join
 from .packing import op5_best_fit_packing
+from .quality import op7_quality
 from .substring_dedup import op1_substring_dedup
 from .toxicity import op2_toxicity
 from .va_search import op4_va_search
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_va_search": op4_va_search,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_quality": op7_quality,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
