@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import oracle
 from .jaccard_join import op10_jaccard_join
+from .language import op3_language_id
 from .packing import op5_best_fit_packing
 from .quality import op7_quality
 from .substring_dedup import op1_substring_dedup
@@ -13,6 +14,7 @@ from .va_search import op4_va_search
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_language_id": op3_language_id,
     "op4_va_search": op4_va_search,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_quality": op7_quality,
