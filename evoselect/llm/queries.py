@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from . import oracle
+from .chat_format import op9_chat_format
 from .jaccard_join import op10_jaccard_join
 from .language import op3_language_id
 from .packing import op5_best_fit_packing
 from .quality import op7_quality
 from .substring_dedup import op1_substring_dedup
 from .toxicity import op2_toxicity
+from .url_filter import op8_url_filter
 from .va_search import op4_va_search
 
 QUERIES = {
@@ -18,6 +20,8 @@ QUERIES = {
     "op4_va_search": op4_va_search,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_quality": op7_quality,
+    "op8_url_filter": op8_url_filter,
+    "op9_chat_format": op9_chat_format,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
