@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, hash_spans, hash_words, mix, split_words
+from .words import SPACE, Words, hash_spans, hash_words, mix, split_words
 
 #: an upper-case letter of Latin-1 is C3 80..9E in UTF-8, its lower case 0x20 more
 _LATIN1 = np.uint8(0xC3)
@@ -32,9 +32,9 @@ class Vocabulary:
         return pair // n, pair % n
 
 
-def lower_words(column) -> Words:
+def lower_words(column, space: np.ndarray = SPACE) -> Words:
     """Words in lower case (A-Z and the upper-case letters of Latin-1)."""
-    w = split_words(column, lower=True)
+    w = split_words(column, lower=True, space=space)
     buf = w.buf
     lead = np.flatnonzero(buf[:-1] == _LATIN1) + 1
     up = lead[(buf[lead] >= 0x80) & (buf[lead] <= 0x9E) & (buf[lead] != 0x97)]
@@ -105,6 +105,3 @@ def segment_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def bins(h: np.ndarray, bits: int) -> np.ndarray:
     return (mix(h) >> np.uint64(64 - bits)).astype(np.int64)
 
-
-def copy_column(batch: pa.RecordBatch, name: str) -> pa.Array:
-    return batch.column(batch.schema.get_field_index(name))

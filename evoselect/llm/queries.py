@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import oracle
 from .chat_format import op9_chat_format
+from .decontamination import op6_decontamination
 from .jaccard_join import op10_jaccard_join
 from .language import op3_language_id
 from .packing import op5_best_fit_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_va_search": op4_va_search,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
     "op9_chat_format": op9_chat_format,

@@ -14,8 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
@@ -73,7 +73,7 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def split_words(column, lower: bool = False, space: np.ndarray = _SPACE) -> Words:
+def split_words(column, lower: bool = False, space: np.ndarray = SPACE) -> Words:
     """Words of every text of an Arrow column."""
     buf, offsets = text_bytes(column)
     if lower:
