@@ -38,7 +38,9 @@ from .packing import slices
 
 MOST_TOXIC = 2_000
 MOST_UNLABELLED = 4_000
+#: hashed features, and how many of them a model may use
 BITS = 19
+MOST_FEATURES = 1_500
 THRESHOLD = 0.7
 
 
@@ -75,13 +77,16 @@ def _spread(v, f: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def select_features(toxic: np.ndarray, n_toxic: int, other: np.ndarray, n_other: int, prior: float,
-                    errors: float = 4.0, least: int = 10) -> np.ndarray:
+                    errors: float = 2.5, least: int = 5, most: int = MOST_FEATURES) -> np.ndarray:
     """Features whose first gradient of the risk, taken where every score is
-    ``prior``, lies more than ``errors`` standard errors from 0.  ``toxic`` and
-    ``other`` count the documents that have each feature."""
+    ``prior``, lies more than ``errors`` standard errors from 0; of these the
+    ``most`` that lie farthest.  ``toxic`` and ``other`` count the documents
+    that have each feature."""
     p, u = toxic / n_toxic, other / n_other
     error = np.sqrt((p * (1 - p) + 1 / n_toxic) / n_toxic + (u * (1 - u) + 1 / n_other) / n_other)
-    return np.flatnonzero((np.abs(u - p) > errors * error) & (np.maximum(toxic, other) >= least))
+    far = np.abs(u - p) / error
+    far[np.maximum(toxic, other) < least] = 0
+    return np.sort(np.argsort(-far, kind="stable")[:min(most, int((far > errors).sum()))])
 
 
 def fit_nnpu(toxic: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.03,
