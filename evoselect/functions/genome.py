@@ -1,7 +1,6 @@
 """Column functions on genomes (``array<int>`` of 0/1, one bit per feature).
 
-All of them are built-in higher-order array expressions, so they stay in
-whole-stage code generation; none is a Python UDF.
+All of them are built-in higher-order array expressions; none is a Python UDF.
 """
 
 from __future__ import annotations
@@ -44,11 +43,6 @@ def has_selection(genome) -> Column:
     return F.exists(genome, lambda b: b == F.lit(1))
 
 
-def block_slice(genome, block: int, block_size: int) -> Column:
-    """Bits of one feature block (0-based block number)."""
-    return F.slice(genome, block * block_size + 1, block_size)
-
-
 def block_popcounts(genome, n_features: int, block_size: int) -> Column:
     """Selected-feature count per block, as an array of length n_blocks."""
     n_blocks = -(-n_features // block_size)

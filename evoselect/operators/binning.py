@@ -4,7 +4,11 @@ Bounds are the per-feature min/max over training rows.  They are the only
 thing brought to the driver: 2 numbers per feature, bounded by the schema
 width, never by the row count (the same way MLlib ships its split
 candidates).  The bin expression itself is a built-in ``transform`` over the
-feature array and runs inside code generation.
+feature array.
+
+Bounds are taken over finite values.  -inf lies in the first bin, +inf in the
+last, and NULL and NaN get a bin of their own after it (number ``n_bins``), so
+one odd value changes no other row's bin.
 """
 
 from __future__ import annotations
@@ -25,9 +29,9 @@ class BinSpec:
 
 
 def feature_bounds(table: LabeledTable) -> DataFrame:
-    """(f, lo, hi) over training rows; one partial+final aggregate."""
+    """(f, lo, hi) over finite values of training rows; one partial+final aggregate."""
     long = table.df.where(~F.col("is_test")).select(F.posexplode("features").alias("f", "x"))
-    return long.groupBy("f").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    return long.where(~F.isnan("x") & (F.abs("x") < float("inf"))).groupBy("f").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
 
 
 def fit_bins(table: LabeledTable, n_bins: int = 32) -> BinSpec:
@@ -39,8 +43,8 @@ def fit_bins(table: LabeledTable, n_bins: int = 32) -> BinSpec:
 
 
 def bin_features(features: Column, spec: BinSpec) -> Column:
-    """bin = clamp(floor((x - lo) / (hi - lo) * n_bins), 0, n_bins - 1); a
-    constant or missing value goes to bin 0."""
+    """bin = clamp(floor((x - lo) / (hi - lo) * n_bins), 0, n_bins - 1); values
+    of a constant feature go to bin 0, missing ones (NULL, NaN) to bin ``n_bins``."""
     lo = F.lit(list(spec.lo))
     hi = F.lit(list(spec.hi))
     nb = F.lit(spec.n_bins)
@@ -48,9 +52,9 @@ def bin_features(features: Column, spec: BinSpec) -> Column:
     def one(x, i):
         a = F.element_at(lo, i + 1)
         b = F.element_at(hi, i + 1)
-        raw = F.floor((x - a) / (b - a) * nb)
+        raw = F.floor((F.least(F.greatest(x, a), b) - a) / (b - a) * nb)
         binned = F.least(F.greatest(raw, F.lit(0)), nb - 1)
-        return F.when((b > a) & x.isNotNull(), binned).otherwise(F.lit(0)).cast("int")
+        return F.when(x.isNull() | F.isnan(x), nb).when(b > a, binned).otherwise(F.lit(0)).cast("int")
 
     return F.transform(features, one)
 

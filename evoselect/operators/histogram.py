@@ -39,8 +39,7 @@ def child_histogram(binned: DataFrame, roots: DataFrame, block_size: int,
     """Counts of (child node, feature, bin, class) for the given root splits.
 
     ``roots`` has columns (r, t_r, block): root feature, its threshold and its
-    block.  It holds at most one row per feature (a root is a feature), so
-    broadcasting it is bounded by the schema width, not by the data.  Each
+    block.  It holds at most one row per feature (a root is a feature).  Each
     row is cut into its block slices once; a slice meets only the roots of
     its own block (equi-join on ``block``) and is counted under the side it
     falls on.
@@ -52,7 +51,7 @@ def child_histogram(binned: DataFrame, roots: DataFrame, block_size: int,
                                  lambda k: F.slice("bins", k * block_size + 1, F.lit(block_size))))
         .alias("block", "xs"),
     )
-    routed = slices.join(F.broadcast(roots.select("r", "t_r", "block")), "block")
+    routed = slices.join(roots.select("r", "t_r", "block"), "block")
     side = F.when(F.element_at("xs", F.col("r") - F.col("block") * block_size + 1) <= F.col("t_r"),
                   F.lit(0)).otherwise(F.lit(1))
     # the side is decided once per (row, root), before the per-feature explode

@@ -34,7 +34,6 @@ class MLData:
     train: DataFrame
     test: DataFrame
     n_features: int
-    n_classes: int
     n_test: int
 
 
@@ -49,16 +48,28 @@ def prepare_ml(table: LabeledTable, features: DataFrame | None = None) -> MLData
         base = features.select("y", "is_test",
                                array_to_vector(F.transform("bins", lambda b: b.cast("double"))).alias("vec"))
     base = base.withColumn("y_str", F.col("y").cast("string"))
-    indexer = StringIndexer(inputCol="y_str", outputCol="label", handleInvalid="keep",
-                            stringOrderType="alphabetAsc").fit(base.where(~F.col("is_test")))
+    # over all rows: a class that only test rows have is never predicted, and
+    # the fits get no extra class
+    indexer = StringIndexer(inputCol="y_str", outputCol="label", handleInvalid="error",
+                            stringOrderType="alphabetAsc").fit(base.where(F.col("y").isNotNull()))
+    base = base.where(F.col("y").isNotNull())
     indexed = materialize(indexer.transform(base).select("label", "is_test", "vec"), "ml_data")
     train = indexed.where(~F.col("is_test")).select("label", "vec")
     test = indexed.where(F.col("is_test")).select("label", "vec")
-    return MLData(train, test, table.n_features, len(indexer.labels), test.count())
+    return MLData(train, test, table.n_features, test.count())
 
 
-def _model(kind: str, n_classes: int):
-    if kind.startswith("l"):     # P17: the reference picks the model by its first letter
+def model_family(name: str) -> str:
+    """The reference picks the model by its first letter."""
+    if name == "tree" or name.startswith("d"):
+        return "tree"
+    if name.startswith("l"):
+        return "logistic"
+    raise ValueError(f"unknown model {name!r}: use a name with d (decision tree) or l (logistic), or 'tree'")
+
+
+def _model(kind: str):
+    if model_family(kind) == "logistic":
         return LogisticRegression(featuresCol="x", labelCol="label", family="multinomial",
                                   fitIntercept=False, regParam=0.0, maxIter=100, tol=1e-6)
     return DecisionTreeClassifier(featuresCol="x", labelCol="label", impurity="gini",
@@ -70,13 +81,13 @@ def block_correct(data: MLData, indices: list[int], kind: str) -> int:
     if not indices:
         return -1
     slicer = VectorSlicer(inputCol="vec", outputCol="x", indices=indices)
-    model = _model(kind, data.n_classes).fit(slicer.transform(data.train))
+    model = _model(kind).fit(slicer.transform(data.train))
     pred = model.transform(slicer.transform(data.test))
     return pred.where(F.col("label") == F.col("prediction")).count()
 
 
 def score_genomes(data: MLData, genomes: dict[int, list[int]], block_size: int,
-                  kind: str = "logistic", parallelism: int = 4) -> list[tuple[int, int, float | None]]:
+                  kind: str = "logistic", parallelism: int = 8) -> list[tuple[int, int, float | None]]:
     """[(individual_id, correct, fitness)] -- fitness NULL when a block is empty."""
     n_blocks = -(-data.n_features // block_size)
     jobs = []
@@ -100,11 +111,11 @@ def score_genomes(data: MLData, genomes: dict[int, list[int]], block_size: int,
 
 
 def score_population_ml(data: MLData, population: DataFrame, block_size: int,
-                        kind: str = "logistic", parallelism: int = 4) -> DataFrame:
+                        kind: str = "logistic", parallelism: int = 8) -> DataFrame:
     """(individual_id, correct, fitness) of every individual of ``population``."""
     genomes = {r["individual_id"]: list(r["genome"])
                for r in population.select("individual_id", "genome").collect()}   # population-sized
     rows = score_genomes(data, genomes, block_size, kind, parallelism)
     spark = population.sparkSession
     return spark.createDataFrame(rows, "individual_id bigint, correct bigint, fitness double") \
-        .withColumn("fitness", F.col("fitness").cast("float"))
+        .withColumn("fitness", F.col("fitness").cast("double"))

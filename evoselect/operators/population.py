@@ -1,6 +1,6 @@
 """Population records (DM3) and the row-level operators on them.
 
-Schema: generation int, individual_id bigint, genome array<int>, fitness float.
+Schema: generation int, individual_id bigint, genome array<int>, fitness double.
 ``fitness`` is NULL while an individual is unscored (D6: the reference uses
 0, which cannot be told apart from a real score of 0).
 """
@@ -27,7 +27,7 @@ def init_population(spark: SparkSession, size: int, n_features: int, seed: int,
         F.lit(generation).cast("int").alias("generation"),
         F.col("id").alias("individual_id"),
         random_genome(n_features, seed, generation, F.col("id")).alias("genome"),
-        F.lit(None).cast("float").alias("fitness"),
+        F.lit(None).cast("double").alias("fitness"),
     )
 
 
@@ -37,7 +37,7 @@ def with_fitness(population: DataFrame, scores: DataFrame) -> DataFrame:
     s = scores.select("individual_id", F.col("fitness").alias("_new"))
     return population.join(s, "individual_id", "left").select(
         "generation", "individual_id", "genome",
-        F.coalesce(F.col("fitness"), F.col("_new")).cast("float").alias("fitness"))
+        F.coalesce(F.col("fitness"), F.col("_new")).cast("double").alias("fitness"))
 
 
 def scored(population: DataFrame) -> DataFrame:
@@ -50,27 +50,18 @@ def unscored(population: DataFrame) -> DataFrame:
     return population.where(F.col("fitness").isNull())
 
 
-def legacy_to_score(population: DataFrame) -> DataFrame:
-    """P8 as coded: the first generation takes every row, later generations
-    only rows with fitness != 0."""
-    return population.where((F.col("generation") == 1) | (F.coalesce(F.col("fitness"), F.lit(0.0)) != 0))
-
-
 def nonempty(population: DataFrame) -> DataFrame:
     """Drop genomes that select no feature."""
     return population.where(has_selection(F.col("genome")))
 
 
 def parse_fitness(text: Column) -> Column:
-    """Text -> float; unparsable text becomes NULL (dropped later)."""
-    return F.trim(text).try_cast("float")
+    """Text -> number; unparsable text becomes NULL (dropped later)."""
+    return F.trim(text).try_cast("double")
 
 
 def legacy_fitness_line(text: Column) -> Column:
-    """The reference keeps a printed line only if it starts with "0."."""
+    """The reference's test of a printed line.  It loses 1.0 and numbers
+    with an exponent; ``parse_fitness`` decides here."""
     return text.startswith("0.")
 
-
-def reset_fitness(population: DataFrame) -> DataFrame:
-    """Offspring start unscored."""
-    return population.withColumn("fitness", F.lit(None).cast("float"))

@@ -15,8 +15,8 @@ buffer in each reducer.  Here each step is a column or a window:
   of the reference's "last round" buffer, see D9/D10).
 * winners at p and p-1 are paired when (p - 5) is odd (W4).
 
-Partitions smaller than the tournament pass through unchanged.  Every
-window is partitioned by part_id, so one shuffle serves all of them.
+Parts smaller than the tournament wrap around more than once.  Every window
+is partitioned by part_id, so one shuffle serves all of them.
 """
 
 from __future__ import annotations
@@ -46,13 +46,12 @@ def tournament_winners(ordered: DataFrame, size: int = 5) -> DataFrame:
     """One winner per position p = size .. n + size - 1.
 
     Columns: part_id, n, p, winner_id, winner_genome, winner_fitness.
-    The first ``size`` rows are duplicated in place (explode, no union), so
-    the window reuses the part_id partitioning of ``ordered``.
+    Position q holds row q modulo n, so a part of any size n >= 1 has n
+    winners.  Rows are repeated in place (explode, no union), so the window
+    reuses the part_id partitioning of ``ordered``.
     """
-    full = ordered.where(F.col("n") >= size)
-    positions = F.when(F.col("p") < size, F.array(F.col("p"), F.col("p") + F.col("n"))) \
-        .otherwise(F.array(F.col("p")))
-    ext = full.select("part_id", "n", F.explode(positions).alias("p"), "individual_id", "genome", "fitness")
+    positions = F.sequence(F.col("p"), F.col("n") + F.lit(size - 1), F.col("n"))
+    ext = ordered.select("part_id", "n", F.explode(positions).alias("p"), "individual_id", "genome", "fitness")
     w = Window.partitionBy("part_id").orderBy("p").rowsBetween(-(size - 1), 0)
     best = F.max_by(
         F.struct(F.col("individual_id").alias("id"), F.col("genome").alias("genome"),

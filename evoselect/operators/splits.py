@@ -78,21 +78,20 @@ def split_candidates(hist: DataFrame, thresholds: DataFrame) -> DataFrame:
         (F.col("sp2").cast("double") / F.col("n_node").cast("double")).alias("parent"),
     )
     useful = (F.col("score") - F.col("parent")) > F.lit(GAIN_EPS) * F.col("parent")
-    return scored.join(F.broadcast(thresholds), ["f", "b"]) \
+    return scored.join(thresholds, ["f", "b"]) \
         .select("node", "f", "t", "n_left", "n_right", "score", useful.alias("useful"))
 
 
 def best_splits(hist: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(node, f, t, score): the best useful threshold of each (node, feature)."""
     cand = split_candidates(hist, thresholds).where("useful")
-    w = Window.partitionBy("node", "f").orderBy(F.col("score").desc(), F.col("t").asc())
-    return cand.withColumn("rk", F.row_number().over(w)).where("rk = 1") \
-        .select("node", "f", "t", "score")
+    best = F.min_by(F.struct("t", "score"), F.struct(-F.col("score"), "t"))
+    return cand.groupBy("node", "f").agg(best.alias("b")).select("node", "f", "b.t", "b.score")
 
 
 def majority(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Per group of ``keys``: majority class by training count (ties: lowest
     label) and the number of test rows of that class (= correct predictions)."""
-    w = Window.partitionBy(*keys).orderBy(F.col("n_train").desc(), F.col("y").asc())
-    return counts.withColumn("rk", F.row_number().over(w)).where("rk = 1") \
-        .select(*keys, F.col("y").alias("pred"), F.col("n_test").alias("correct"))
+    top = F.min_by(F.struct("y", "n_test"), F.struct(-F.col("n_train"), "y"))
+    return counts.groupBy(*keys).agg(top.alias("m")) \
+        .select(*keys, F.col("m.y").alias("pred"), F.col("m.n_test").alias("correct"))

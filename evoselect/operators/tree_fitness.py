@@ -19,14 +19,14 @@ application each.  Here one plan scores the whole population:
 
 Everything after the two histogram passes works on tables of size
 population x features.  Accuracy is exact: sum of correct test rows over
-blocks divided by (blocks x test rows), one division, stored as float.
+blocks divided by (blocks x test rows), one division, stored as double: two different numbers of correct rows never tie.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
@@ -36,6 +36,10 @@ from .histogram import child_histogram, root_histogram
 from .splits import best_splits, majority, next_train_bins
 
 
+#: tasks that the rows of one class are spread over
+CLASS_SALTS = 16
+
+
 @dataclass
 class TreeData:
     """Everything about the dataset the scorer needs, built once per run."""
@@ -70,7 +74,11 @@ def prepare(table: LabeledTable, block_size: int, n_bins: int = 32,
     spec = fit_bins(table, n_bins)
     binned = binned_rows(table, spec)
     if workdir:
-        small = "tinyint" if n_bins <= 127 else "int"
+        small = "tinyint" if n_bins < 127 else "int"
+        # clustered by class once (salted, a class may hold most rows): every
+        # histogram pass then meets few classes in a task, so its map-side
+        # aggregate collapses them however many classes there are
+        binned = binned.repartition(F.col("y"), F.pmod(F.xxhash64("bins"), F.lit(CLASS_SALTS)))
         binned.select("y", "is_test", F.col("bins").cast(f"array<{small}>").alias("bins")) \
             .write.mode("overwrite").parquet(f"{workdir}/binned")
         binned = spark.read.parquet(f"{workdir}/binned") \
@@ -105,10 +113,10 @@ def genes(population: DataFrame, block_size: int) -> DataFrame:
 def root_choices(data: TreeData, gene_df: DataFrame) -> DataFrame:
     """(individual_id, block, r, t_r): best useful root split among the
     individual's features of the block; absent when none is useful."""
-    cand = gene_df.join(F.broadcast(data.root_best), "f")      # <= one row per feature
-    w = Window.partitionBy("individual_id", "block").orderBy(F.col("score").desc(), F.col("f").asc())
-    return cand.withColumn("rk", F.row_number().over(w)).where("rk = 1") \
-        .select("individual_id", "block", F.col("f").alias("r"), F.col("t").alias("t_r"))
+    cand = gene_df.join(data.root_best, "f")
+    best = F.min_by(F.struct("f", "t"), F.struct(-F.col("score"), "f"))
+    return cand.groupBy("individual_id", "block").agg(best.alias("b")) \
+        .select("individual_id", "block", F.col("b.f").alias("r"), F.col("b.t").alias("t_r"))
 
 
 def needed_roots(choices: DataFrame) -> DataFrame:
@@ -128,8 +136,7 @@ def child_tables(data: TreeData, child_hist: DataFrame) -> tuple[DataFrame, Data
     only joins of genes against them.
     """
     best = best_splits(child_hist, data.thresholds)
-    # best: <= 2 nodes x block_size rows per root feature (schema-bounded)
-    cells = child_hist.join(F.broadcast(best.select("node", "f", "t")), ["node", "f"]) \
+    cells = child_hist.join(best.select("node", "f", "t"), ["node", "f"]) \
         .withColumn("side", (F.col("b") > F.col("t")).cast("int")) \
         .groupBy("node", "f", "side", "y") \
         .agg(F.sum("n_train").alias("n_train"), F.sum("n_test").alias("n_test"))
@@ -152,8 +159,9 @@ def score_population(data: TreeData, population: DataFrame,
     the roots this population needs.  Fitness is NULL when some block has no
     selected feature (no tree can be fit there) or there are no test rows.
     """
-    g = genes(population, data.block_size)
-    roots = root_choices(data, g)
+    # both are read by several joins below: written once
+    g = materialize(genes(population, data.block_size), "genes")
+    roots = materialize(root_choices(data, g), "roots")
     if child_best is None or node_correct is None:
         hist = materialize(child_histogram(data.binned, needed_roots(roots), data.block_size,
                                            data.n_features), "child_hist")
@@ -163,13 +171,12 @@ def score_population(data: TreeData, population: DataFrame,
                          F.explode(F.array(F.lit(0), F.lit(1))).alias("s")) \
         .withColumn("node", F.col("r") * 2 + F.col("s"))
     cand = sides.join(g, ["individual_id", "block"]) \
-        .join(F.broadcast(child_best.select("node", "f", "score", "correct")), ["node", "f"])
-    w = Window.partitionBy("individual_id", "block", "s").orderBy(F.col("score").desc(), F.col("f").asc())
-    chosen = cand.withColumn("rk", F.row_number().over(w)).where("rk = 1") \
-        .select("individual_id", "block", "s", F.col("correct").alias("split_correct"))
+        .join(child_best.select("node", "f", "score", "correct"), ["node", "f"])
+    chosen = cand.groupBy("individual_id", "block", "s").agg(
+        F.min_by("correct", F.struct(-F.col("score"), "f")).alias("split_correct"))
     # a side without a useful split is a leaf: the node's own majority
     per_side = sides.join(chosen, ["individual_id", "block", "s"], "left") \
-        .join(F.broadcast(node_correct.select("node", F.col("correct").alias("leaf_correct"))), "node", "left") \
+        .join(node_correct.select("node", F.col("correct").alias("leaf_correct")), "node", "left") \
         .select("individual_id", "block",
                 F.coalesce("split_correct", "leaf_correct").alias("correct"))
     with_root = per_side.groupBy("individual_id", "block").agg(F.sum("correct").alias("correct"))
@@ -186,5 +193,5 @@ def score_population(data: TreeData, population: DataFrame,
         "individual_id",
         F.coalesce("correct", F.lit(0)).cast("bigint").alias("correct"),
         F.coalesce("n_blocks_used", F.lit(0)).cast("int").alias("n_blocks_used"),
-        fitness.cast("float").alias("fitness"),
+        fitness.cast("double").alias("fitness"),
     )

@@ -1,14 +1,13 @@
 """One generation step as a single DataFrame plan.
 
 scored population g
-  -> drop unscored / failed rows (P7, P10)
+  -> drop failed rows (P10); a new random genome takes the place of each
   -> random parts + order + ordinal (O2, O1, W1)     [one shuffle on part_id]
   -> sliding tournament with wrap-around (W2-W5)      [windows on part_id]
   -> consecutive pairs, uniform crossover (W4, G2, U1)
   -> bit mutation (G3); children unscored (P15)
-  -> parts smaller than the tournament pass through
   -> optional elitism: the e best of g replace e children picked by hash
-= population g+1 (same size as the scored population of g)
+= population g+1 (as many rows as population g)
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.genome import random_genome
 from ..functions.hashing import hash_key
 from ..operators.crossover import bit_mutation, uniform_crossover
 from ..operators.elite import top_individuals
@@ -40,21 +40,35 @@ def offspring(scored_pop: DataFrame, generation: int, params: EvolveParams) -> D
     ordered = with_ordinal(assign_parts(valid, params.n_parts, params.seed))
     pairs = tournament_pairs(tournament_winners(ordered, s), s)
     kids = uniform_crossover(pairs, params.seed, generation) \
-        .withColumn("fitness", F.lit(None).cast("float"))
-    small = ordered.where(F.col("n") < s).select("part_id", F.col("p").alias("c"), "genome", "fitness")
+        .withColumn("fitness", F.lit(None).cast("double"))
     nxt = generation + 1
-    out = kids.unionByName(small).select(
+    out = kids.select(
         F.lit(nxt).cast("int").alias("generation"),
         (F.col("c").cast("bigint") * params.n_parts + F.col("part_id")).alias("individual_id"),
         "genome", "fitness")
     mutated = bit_mutation(F.col("genome"), params.mutation_rate, params.seed, F.lit(nxt),
                            F.col("individual_id"))
-    return out.withColumn("genome", F.when(F.col("fitness").isNull(), mutated).otherwise(F.col("genome")))
+    return out.withColumn("genome", mutated)
+
+
+def refill(population: DataFrame, generation: int, params: EvolveParams) -> DataFrame:
+    """A new random genome for each individual of ``population`` that could not
+    be scored, so that the next generation is no smaller.  Ids follow those
+    that children can have."""
+    failed = population.where(F.col("fitness").isNull())
+    nxt = generation + 1
+    size = population.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("genome")).alias("w")).first()
+    nth = F.row_number().over(Window.orderBy("individual_id")) - 1      # rows of one population
+    rows = failed.select((F.lit(size["n"] * params.n_parts) + nth).cast("bigint").alias("individual_id"))
+    return rows.select(
+        F.lit(nxt).cast("int").alias("generation"), "individual_id",
+        random_genome(size["w"] or 1, params.seed, nxt, F.col("individual_id")).alias("genome"),
+        F.lit(None).cast("double").alias("fitness"))
 
 
 def next_generation(scored_pop: DataFrame, generation: int, params: EvolveParams) -> DataFrame:
     """Population of generation + 1 (elites keep their fitness)."""
-    kids = offspring(scored_pop, generation, params)
+    kids = offspring(scored_pop, generation, params).unionByName(refill(scored_pop, generation, params))
     e = params.elitism
     if e <= 0:
         return kids

@@ -1,15 +1,16 @@
 """DuckDB SQL oracles for the registered queries.
 
-Written as plain relational SQL (long-form rows, joins, window functions)
-independently of the DataFrame code: e.g. child nodes are found by joining
-each row's root-feature bin back to its other features, where the Spark
-plan slices arrays.  Randomness is the same md5 rule, so both engines draw
+Plain relational SQL (long-form rows, joins, window functions).  Child nodes
+are found by joining each row's root-feature bin back to its other features,
+where the Spark plan slices arrays; the split search uses the same running
+sums, tie rules and margin as the Spark side, so the independent check of
+those is the plain-Python tree in the tests.  Randomness is the same md5 rule, so both engines draw
 the same bits.  DuckDB list indexes are 1-based.
 """
 
 from __future__ import annotations
 
-from .queries import DOCS, EMB, LINEITEM, ML_SETUP, Setup
+from .queries import DOCS, EMB, LINEITEM, MANY, Setup
 
 
 def _hex8(expr: str) -> str:
@@ -42,12 +43,12 @@ def ds_embeddings(s: Setup) -> str:
 FROM embeddings"""
 
 
-def ds_lineitem(s: Setup) -> str:
+def ds_lineitem(s: Setup, label: str = "l_returnflag") -> str:
     key = "concat_ws(':', l_orderkey, l_linenumber)"
     # no unique key: rows equal in every column are interchangeable here
     rid = ("row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, "
            "l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)")
-    return f"""SELECT {rid} AS rid, {key} AS row_key, l_returnflag AS y, {_holdout(s.seed, key)} AS is_test,
+    return f"""SELECT {rid} AS rid, {key} AS row_key, {label} AS y, {_holdout(s.seed, key)} AS is_test,
        [CAST(l_quantity AS DOUBLE), CAST(l_extendedprice AS DOUBLE), CAST(l_discount AS DOUBLE),
         CAST(l_tax AS DOUBLE), CAST(l_linenumber AS DOUBLE),
         CAST(datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE)] AS features
@@ -75,11 +76,12 @@ def binned_ctes(ds_sql: str, s: Setup) -> list[tuple[str, str]]:
         ("ds", ds_sql),
         ("vals", """SELECT rid, row_key, y, is_test, unnest(features) AS x,
        generate_subscripts(features, 1) - 1 AS f FROM ds"""),
-        ("bounds", "SELECT f, min(x) AS lo, max(x) AS hi FROM vals WHERE NOT is_test GROUP BY f"),
+        ("bounds", """SELECT f, min(x) AS lo, max(x) AS hi FROM vals
+WHERE NOT is_test AND NOT isnan(x) AND NOT isinf(x) GROUP BY f"""),
         ("lng", f"""SELECT v.rid, v.row_key, v.y, v.is_test, v.f,
-       CAST(CASE WHEN bd.hi > bd.lo AND v.x IS NOT NULL
-                 THEN least(greatest(floor((v.x - bd.lo) / (bd.hi - bd.lo) * {nb}), 0), {nb - 1})
-                 ELSE 0 END AS INTEGER) AS b
+       CAST(CASE WHEN v.x IS NULL OR isnan(v.x) THEN {nb} WHEN NOT bd.hi > bd.lo THEN 0
+                 WHEN v.x >= bd.hi THEN {nb - 1} WHEN v.x <= bd.lo THEN 0
+                 ELSE least(floor((v.x - bd.lo) / (bd.hi - bd.lo) * {nb}), {nb - 1}) END AS INTEGER) AS b
 FROM vals v JOIN bounds bd USING (f)"""),
     ]
 
@@ -192,7 +194,7 @@ GROUP BY k.individual_id"""),
         (f"{p}_fit", f"""SELECT pp.individual_id, CAST(coalesce(pi.correct, 0) AS BIGINT) AS correct,
        CAST(coalesce(pi.n_blocks_used, 0) AS INTEGER) AS n_blocks_used,
        CAST(CASE WHEN pi.n_blocks_used = nb.nb AND nt.n > 0
-                 THEN CAST(pi.correct AS DOUBLE) / CAST(nb.nb * nt.n AS DOUBLE) END AS FLOAT) AS fitness
+                 THEN CAST(pi.correct AS DOUBLE) / CAST(nb.nb * nt.n AS DOUBLE) END AS DOUBLE) AS fitness
 FROM {pop} pp LEFT JOIN {p}_per_ind pi ON pi.individual_id = pp.individual_id,
      {p}_ntest nt, {p}_nblocks nb"""),
     ]
@@ -245,9 +247,8 @@ def evolve_ctes(s: Setup, src: str, gen: int, prefix: str, elitism: int = 1) ->
   SELECT generation, individual_id, genome, fitness, {key} AS sk FROM {src} WHERE fitness IS NOT NULL)"""),
         (f"{p}_ord", f"""SELECT *, CAST(row_number() OVER (PARTITION BY part_id ORDER BY sk, individual_id) - 1 AS INTEGER) AS p,
        CAST(count(*) OVER (PARTITION BY part_id) AS INTEGER) AS n FROM {p}_parted"""),
-        (f"{p}_ext", f"""SELECT part_id, n, p, individual_id, genome, fitness FROM {p}_ord WHERE n >= 5
-UNION ALL
-SELECT part_id, n, p + n, individual_id, genome, fitness FROM {p}_ord WHERE n >= 5 AND p < 5"""),
+        (f"{p}_ext", f"""SELECT part_id, n, p, individual_id, genome, fitness FROM (
+  SELECT part_id, n, unnest(range(p, n + 5, n)) AS p, individual_id, genome, fitness FROM {p}_ord)"""),
         (f"{p}_win", f"""SELECT part_id, n, p, w.id AS winner_id, w.genome AS winner_genome, w.fitness AS winner_fitness
 FROM (SELECT part_id, n, p,
         arg_max({{'id': individual_id, 'genome': genome, 'fitness': fitness}},
@@ -276,9 +277,7 @@ SELECT part_id, 2 * k + 1,
        list_transform(p2_genome, lambda b, i: CASE WHEN {x_coin} = 1 THEN b ELSE p1_genome[i] END)
 FROM {p}_pairs WHERE p2_genome IS NOT NULL"""),
         (f"{p}_off0", f"""SELECT {nxt} AS generation, CAST(c AS BIGINT) * {n_parts} + part_id AS individual_id,
-       genome, CAST(NULL AS FLOAT) AS fitness FROM {p}_kids
-UNION ALL
-SELECT {nxt}, CAST(p AS BIGINT) * {n_parts} + part_id, genome, fitness FROM {p}_ord WHERE n < 5"""),
+       genome, CAST(NULL AS DOUBLE) AS fitness FROM {p}_kids"""),
         (f"{p}_off", f"""SELECT generation, individual_id, {mutate} AS genome, fitness FROM {p}_off0"""),
     ]
     if elitism <= 0:
@@ -324,8 +323,14 @@ FROM ds""")
         ("nf", "SELECT max(len(features)) AS n FROM ds"),
         ("g0", f"""SELECT list_transform(range(0, (SELECT n FROM nf)), lambda pos: {_coin(str(s.seed), '1', '0', 'pos')}) AS genome"""),
         ("kept", "SELECT ds.row_key, list_filter(ds.features, lambda x, i: g0.genome[i] = 1) AS kept FROM ds, g0"),
-    ], """SELECT row_key, CAST(len(kept) AS INTEGER) AS n_kept,
-       array_to_string(list_transform(kept, lambda x: printf('%.6f', x)), ',') AS kept FROM kept""")
+    ], """SELECT row_key, CAST(len(kept) AS INTEGER) AS n_kept, unnest(kept) AS value,
+       CAST(generate_subscripts(kept, 1) - 1 AS INTEGER) AS pos FROM kept""")
+    q["tree_fitness_many_classes"] = _fitness_report(ds_lineitem(MANY, "l_partkey"), MANY)
+    odd = ds_embeddings(s).replace("list_transform(embedding, lambda x: CAST(x AS DOUBLE))", """list_transform(embedding,
+       lambda x, i: CASE WHEN (vec_id + i - 1) % 97 = 0 THEN CAST('nan' AS DOUBLE) WHEN (vec_id + i - 1) % 89 = 0 THEN CAST('inf' AS DOUBLE)
+            WHEN (vec_id + i - 1) % 83 = 0 THEN CAST('-inf' AS DOUBLE) WHEN (vec_id + i - 1) % 79 = 0 THEN NULL
+            ELSE CAST(x AS DOUBLE) END)""")
+    q["feature_bins_missing"] = _with(binned_ctes(odd, s), "SELECT row_key, is_test, f, b AS bin FROM lng")
     q["root_histogram"] = _with(root_ctes(ds_embeddings(s), s), "SELECT f, b, y, n_train, n_test FROM root_hist")
     q["root_splits"] = _with(root_ctes(ds_embeddings(s), s),
                              "SELECT f, t, CAST(n_left AS BIGINT) AS n_left, CAST(n_right AS BIGINT) AS n_right, score FROM rs_best")
@@ -346,6 +351,14 @@ FROM e1_off WHERE fitness IS NULL""")
 FROM (SELECT part_id, arg_max({'id': individual_id, 'fitness': fitness}, (fitness, -p)) OVER (PARTITION BY part_id) AS b
       FROM e1_ord WHERE fitness IS NOT NULL)
 GROUP BY part_id, b.id, b.fitness""")
+    q["elites_read_back"] = _with(sc + ev + [("elites", """SELECT generation, individual_id, genome, fitness FROM e1_ord
+QUALIFY row_number() OVER (PARTITION BY part_id ORDER BY fitness DESC, p) = 1"""), ("best", _elite_sql("elites"))],
+        "SELECT generation, best_id, best_fitness, n_features, n_scored FROM best")
+    q["genome_decode"] = _with(sc, """SELECT individual_id, CAST(list_sum(genome) AS INTEGER) AS n_selected, true AS same,
+       array_to_string(genome, '') AS bits FROM scored""")
+    q["unscored_filter"] = _with(sc + ev, "SELECT generation, individual_id FROM e1_next WHERE fitness IS NULL")
+    q["valid_fitness"] = _with(sc, """SELECT individual_id, fitness, fitness >= 0 AND fitness < 1 AS legacy FROM scored
+WHERE individual_id % 5 <> 0""")
     q["elite_global"] = _with(sc + [("best", _elite_sql("scored"))], f"""SELECT generation, best_id, best_fitness, n_features, n_scored,
        printf('Iteration = %d\nFinal Individual - %s\nAccuracy = %.9f', generation, {_genome_text('best_genome')},
               CAST(best_fitness AS DOUBLE)) AS report FROM best""")
@@ -372,7 +385,7 @@ FROM e2_next n LEFT JOIN g3_fit f USING (individual_id)"""),
         ("hist", _elite_sql("scored") + "\nUNION ALL\n" + _elite_sql("scored2") + "\nUNION ALL\n"
          + _elite_sql("scored3")),
     ], f"""SELECT generation, best_id, best_fitness, n_features, n_scored, {report} AS report FROM hist""")
-    ms = ML_SETUP
+    ms = EMB
     q["tree_fitness_mllib"] = _with(root_ctes(ds_embeddings(ms), ms) + [
         ("nf", "SELECT max(len(features)) AS n FROM ds"),
         ("pop", population_cte(ms, "(SELECT n FROM nf)")),

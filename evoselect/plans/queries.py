@@ -13,16 +13,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.genome import block_popcounts, genome_text, has_selection, popcount
+from ..functions.genome import block_popcounts, genome_from_text, genome_text, has_selection, popcount
 from ..operators import tree_fitness as tf
 from ..operators.binning import bin_features, fit_bins
 from ..operators.crossover import bit_mutation, uniform_crossover
 from ..operators.elite import elite_global, elite_per_part, history_report, plateau
 from ..operators.histogram import root_histogram
-from ..operators.population import init_population, with_fitness
+from ..operators.population import (
+    init_population, legacy_fitness_line, nonempty, parse_fitness, unscored, with_fitness)
+from ..operators.population import scored as scored_rows
 from ..operators.selection import assign_parts, tournament_pairs, tournament_winners, with_ordinal
 from ..operators.splits import best_splits, next_train_bins, split_candidates
-from ..session import materialize
+from ..session import materialize, scratch_path
 from ..sources.datasets import LabeledTable, documents_table, embeddings_table, lineitem_table
 from .generation import EvolveParams, next_generation
 
@@ -90,9 +92,7 @@ def q_masked_projection(spark, sf_dir):
     g = init_population(spark, 1, t.n_features, EMB.seed).first()["genome"]   # one genome
     mask = F.lit(list(g))
     kept = F.filter("features", lambda x, i: F.element_at(mask, i + 1) == 1)
-    return t.df.select("row_key", F.size(kept).alias("n_kept"),
-                       F.array_join(F.transform(kept, lambda x: F.format_string("%.6f", x)), ",")
-                       .alias("kept"))
+    return t.df.select("row_key", F.size(kept).alias("n_kept"), F.posexplode(kept).alias("pos", "value"))
 
 
 def q_root_histogram(spark, sf_dir):
@@ -125,10 +125,35 @@ def q_tree_fitness_documents(spark, sf_dir):
     return _fitness_report(spark, documents_table(spark, sf_dir, DOCS.seed), DOCS)
 
 
+MANY = Setup(population=16, block_size=3)
+
+
+def q_tree_fitness_many_classes(spark, sf_dir):
+    """ML1a-c with as many classes as parts (``l_partkey``)."""
+    return _fitness_report(spark, lineitem_table(spark, sf_dir, MANY.seed, "l_partkey"), MANY)
+
+
+def with_missing(table: LabeledTable) -> LabeledTable:
+    """``table`` with NaN, infinities and NULLs at fixed places of its features."""
+    key = F.col("row_key").cast("bigint")
+
+    def one(x, i):
+        k = key + i
+        return F.when(k % 97 == 0, float("nan")).when(k % 89 == 0, float("inf")).when(k % 83 == 0, -float("inf")) \
+            .when(k % 79 == 0, F.lit(None).cast("double")).otherwise(x)
+    return LabeledTable(table.df.withColumn("features", F.transform("features", one)), table.feature_names)
+
+
+def q_feature_bins_missing(spark, sf_dir):
+    """Binning of embeddings with injected NaN, infinities and NULLs."""
+    t = with_missing(embeddings_table(spark, sf_dir, EMB.seed))
+    b = t.df.select("row_key", "is_test", bin_features(F.col("features"), fit_bins(t, EMB.n_bins)).alias("bins"))
+    return b.select("row_key", "is_test", F.posexplode("bins").alias("f", "bin"))
+
+
 def q_csv_label_attach(spark, sf_dir):
     """Embeddings written in the four-file CSV layout under
     the scratch folder, read back and labels attached by line position."""
-    from ..session import scratch_path
     from ..sources.csv import csv_table, write_csv_pair
     t = embeddings_table(spark, sf_dir, EMB.seed)
     d = scratch_path(spark, "csv")
@@ -197,6 +222,39 @@ def q_elite_per_part(spark, sf_dir):
     return e.select("part_id", "n_scored", "individual_id", "fitness")
 
 
+def q_elites_read_back(spark, sf_dir):
+    """Per-part elites written as a table; the global best read from it."""
+    from ..sources.population import read_table, write_part
+    path = scratch_path(spark, "elites")
+    write_part(elite_per_part(_ordered(spark, sf_dir), 1), path, 1)
+    best = elite_global(read_table(spark, path))
+    return best.select("generation", "best_id", "best_fitness", "n_features", "n_scored")
+
+
+def q_genome_decode(spark, sf_dir):
+    """Genomes of the scored population through their text and back."""
+    scored, _ = _scored(spark, embeddings_table(spark, sf_dir, EMB.seed), EMB)
+    back = genome_from_text(genome_text(F.col("genome")))
+    return scored.select("individual_id", popcount(back).alias("n_selected"), (back == F.col("genome")).alias("same"),
+                         F.array_join(back, "").alias("bits"))
+
+
+def q_unscored_filter(spark, sf_dir):
+    """The rows of generation 2 that wait for a fitness."""
+    scored, _ = _scored(spark, embeddings_table(spark, sf_dir, EMB.seed), EMB)
+    params = EvolveParams(n_parts=EMB.n_parts, seed=EMB.seed, mutation_rate=EMB.mutation_rate, elitism=1)
+    return unscored(next_generation(scored, 1, params)).select("generation", "individual_id")
+
+
+def q_valid_fitness(spark, sf_dir):
+    """Fitness printed as text and parsed; what cannot be parsed goes.
+    ``legacy`` is the reference's own line test (text that starts with "0.")."""
+    scored, _ = _scored(spark, embeddings_table(spark, sf_dir, EMB.seed), EMB)
+    text = F.when(F.col("individual_id") % 5 == 0, F.lit("no result")).otherwise(F.col("fitness").cast("string"))
+    return scored.select("individual_id", parse_fitness(text).alias("fitness"), legacy_fitness_line(text).alias("legacy")) \
+        .where(F.col("fitness").isNotNull())
+
+
 def q_elite_global(spark, sf_dir):
     """A5/O3/A8 + report line."""
     scored, _ = _scored(spark, embeddings_table(spark, sf_dir, EMB.seed), EMB)
@@ -209,8 +267,7 @@ def q_elite_global(spark, sf_dir):
 def q_scored_filter(spark, sf_dir):
     """Valid scored rows of generation 1 (NULL fitness dropped)."""
     scored, _ = _scored(spark, embeddings_table(spark, sf_dir, EMB.seed), EMB)
-    return scored.where(F.col("fitness").isNotNull() & (F.col("fitness") != 0) & has_selection(F.col("genome"))) \
-        .select("individual_id", "fitness")
+    return nonempty(scored_rows(scored)).select("individual_id", "fitness")
 
 
 def q_generation_plateau(spark, sf_dir):
@@ -240,28 +297,25 @@ def q_search_history(spark, sf_dir):
 
 
 # ----------------------------------------------------------- pyspark.ml path
-ML_SETUP = Setup(population=4)
-
-
 def q_tree_fitness_mllib(spark, sf_dir):
     """ML1/ML3/ML4 via pyspark.ml: DecisionTreeClassifier per (individual,
     block) on the binned columns; equals the batched tree exactly."""
     from ..operators.ml_fitness import prepare_ml, score_population_ml
-    t = embeddings_table(spark, sf_dir, ML_SETUP.seed)
-    data = tf.prepare(t, ML_SETUP.block_size, ML_SETUP.n_bins)
+    t = embeddings_table(spark, sf_dir, EMB.seed)
+    data = tf.prepare(t, EMB.block_size, EMB.n_bins)
     ml = prepare_ml(t, data.binned)
-    pop = init_population(spark, ML_SETUP.population, t.n_features, ML_SETUP.seed)
-    return score_population_ml(ml, pop, ML_SETUP.block_size, "tree")
+    pop = init_population(spark, EMB.population, t.n_features, EMB.seed)
+    return score_population_ml(ml, pop, EMB.block_size, "tree")
 
 
 def q_logistic_fitness(spark, sf_dir):
     """ML2/ML3/ML4: multinomial logistic regression (L-BFGS) per (individual,
     block).  No exact oracle (iterative optimiser): rows-only check."""
     from ..operators.ml_fitness import prepare_ml, score_population_ml
-    t = embeddings_table(spark, sf_dir, ML_SETUP.seed)
+    t = embeddings_table(spark, sf_dir, EMB.seed)
     ml = prepare_ml(t)
-    pop = init_population(spark, ML_SETUP.population, t.n_features, ML_SETUP.seed)
-    return score_population_ml(ml, pop, ML_SETUP.block_size, "logistic")
+    pop = init_population(spark, EMB.population, t.n_features, EMB.seed)
+    return score_population_ml(ml, pop, EMB.block_size, "logistic")
 
 
 QUERIES = {
@@ -274,6 +328,12 @@ QUERIES = {
     "tree_fitness_embeddings": q_tree_fitness_embeddings,
     "tree_fitness_lineitem": q_tree_fitness_lineitem,
     "tree_fitness_documents": q_tree_fitness_documents,
+    "tree_fitness_many_classes": q_tree_fitness_many_classes,
+    "feature_bins_missing": q_feature_bins_missing,
+    "elites_read_back": q_elites_read_back,
+    "genome_decode": q_genome_decode,
+    "unscored_filter": q_unscored_filter,
+    "valid_fitness": q_valid_fitness,
     "random_partition": q_random_partition,
     "tournament_winners": q_tournament_winners,
     "tournament_pairs": q_tournament_pairs,

@@ -12,8 +12,9 @@ generation that introduces no new root reads no data at all.
 
 from __future__ import annotations
 
+import json
 import time
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +24,11 @@ from ..operators import tree_fitness as tf
 from ..operators.elite import elite_global, elite_per_part, stop_generation
 from ..operators.selection import assign_parts, with_ordinal
 from ..operators.histogram import child_histogram
+from ..operators.ml_fitness import model_family
 from ..operators.population import init_population, with_fitness
 from ..session import scratch_path
 from ..sources.datasets import LabeledTable
-from ..sources.population import append_table, read_generation, write_generation
+from ..sources.population import read_table, write_part
 from .generation import EvolveParams, next_generation
 
 
@@ -35,9 +37,10 @@ class SearchParams:
     population_size: int = 40
     block_size: int = 16
     n_bins: int = 32
-    max_generations: int = 10
+    max_generations: int | None = None     # None: until the plateau
     plateau_k: int = 4
-    model: str = "tree"            # X5/P17: "tree" (batched) or "logistic" (pyspark.ml)
+    # X5/P17: "tree" is the batched tree; a name with d or l is one pyspark.ml fit per block
+    model: str = "tree"
     elite_min_rows: int = 1        # D8: the reference reports a part only from 10 scored rows
     fitness_memo: bool = True      # reuse the fitness of a genome scored in an earlier generation
     evolve: EvolveParams = field(default_factory=EvolveParams)
@@ -98,7 +101,7 @@ class ModelScorer:
 
     The vectorised dataset is written once; only genomes reach the driver."""
 
-    def __init__(self, table: LabeledTable, block_size: int, kind: str, parallelism: int = 4):
+    def __init__(self, table: LabeledTable, block_size: int, kind: str, parallelism: int = 8):
         from ..operators.ml_fitness import prepare_ml
         self.data = prepare_ml(table)
         self.block_size = block_size
@@ -110,62 +113,112 @@ class ModelScorer:
         return score_population_ml(self.data, population, self.block_size, self.kind, self.parallelism)
 
 
+def _fingerprint(table: LabeledTable, params: SearchParams) -> str:
+    """What a run depends on: parameters, features and the rows of the table."""
+    rows = table.df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("row_key", "label", "is_test", "features")
+                        .cast("decimal(38,0)")).alias("h")).first()
+    fixed = {k: v for k, v in asdict(params).items() if k not in ("max_generations", "fitness_memo")}
+    return json.dumps({"params": fixed, "features": list(table.feature_names), "rows": rows["n"],
+                       "hash": str(rows["h"])}, sort_keys=True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _start(spark: SparkSession, workdir: str, mark: str) -> int:
+    """First generation to run in ``workdir``: 1 in a new folder, the one after
+    the last full generation in a folder of the same run.  A folder of another
+    run (other data or parameters) is refused."""
+    run = f"{workdir}/run"
+    if not _exists(spark, f"{run}/_SUCCESS"):
+        spark.createDataFrame([(mark,)], "mark string").coalesce(1).write.mode("overwrite").text(run)
+        return 1
+    if spark.read.text(run, wholetext=True).first()[0].strip() != mark:
+        raise ValueError(f"{workdir} belongs to a run with other data or parameters")
+    g = 1
+    while _exists(spark, f"{workdir}/history/generation={g}/_SUCCESS"):
+        g += 1
+    return g
+
+
 def run_search(table: LabeledTable, params: SearchParams, workdir: str | None = None,
                log=None) -> SearchResult:
+    """Run, or go on with, the search in ``workdir`` until the plateau (or
+    ``max_generations``, if given).
+
+    Every table holds one partition per generation, replaced when it is
+    written; the history row comes last, so a generation counts only when it
+    is whole, and a run that was stopped goes on to the same history."""
     spark = table.df.sparkSession
     workdir = workdir or scratch_path(spark, "search")
     t0 = time.time()
-    if params.model.startswith("t"):
-        scorer = TreeScorer(table, params.block_size, params.n_bins, workdir)
-    else:
-        scorer = ModelScorer(table, params.block_size, params.model)
-    pop_root = f"{workdir}/population"
-    hist_path = f"{workdir}/history"
-    pop = init_population(spark, params.population_size, table.n_features, params.evolve.seed)
-    stopped = False
-    g = 1
-    memo_root = f"{workdir}/fitness_memo"
-    for g in range(1, params.max_generations + 1):
+    family = model_family(params.model)
+    batched = params.model == "tree"
+    first = _start(spark, workdir, _fingerprint(table, params))
+    hist_path, memo_root = f"{workdir}/history", f"{workdir}/fitness_memo"
+
+    def stopped() -> bool:
+        return stop_generation(read_table(spark, hist_path), params.plateau_k).first()[0] is not None
+
+    def result(g: int, plateau: bool) -> SearchResult:
+        return SearchResult(workdir, g, plateau, read_table(spark, hist_path).orderBy("generation"), time.time() - t0)
+
+    if first > 1:
+        done = first - 1
+        if stopped():
+            return result(done, True)
+        if params.max_generations is not None and done >= params.max_generations:
+            return result(done, False)
+    scorer = TreeScorer(table, params.block_size, params.n_bins, workdir) if batched \
+        else ModelScorer(table, params.block_size, family)
+
+    def read_scored(g: int) -> DataFrame:
+        return spark.read.schema("individual_id bigint, genome array<int>, fitness double") \
+            .parquet(f"{workdir}/population/generation={g}") \
+            .select(F.lit(g).alias("generation"), "individual_id", "genome", "fitness")
+
+    g = first
+    while True:
+        if g == 1:
+            pop = init_population(spark, params.population_size, table.n_features, params.evolve.seed)
+        else:
+            # offspring are read by several jobs of the round: write once
+            nxt = f"{workdir}/offspring/generation={g}"
+            next_generation(read_scored(g - 1), g - 1, params.evolve).drop("generation").write.mode("overwrite").parquet(nxt)
+            pop = spark.read.schema("individual_id bigint, genome array<int>, fitness double") \
+                .parquet(nxt).select(F.lit(g).alias("generation"), "individual_id", "genome", "fitness")
         todo = pop.where(F.col("fitness").isNull())
         known = None
         if params.fitness_memo and g > 1:
             # fitness is a function of the genome: a genome scored before is not
             # scored again (clones, copied winners).  The memo holds one row per
             # distinct genome scored so far (population x generations, a run bound).
-            memo = spark.read.parquet(memo_root).select("gkey", "fitness").dropDuplicates(["gkey"])
+            memo = read_table(spark, memo_root).where(F.col("generation") < g) \
+                .select("gkey", "fitness").dropDuplicates(["gkey"])
             keyed = todo.withColumn("gkey", F.md5(genome_text(F.col("genome"))))
             known = keyed.drop("fitness").join(memo, "gkey").select("individual_id", "fitness")
             todo = keyed.join(memo.select("gkey"), "gkey", "left_anti").drop("gkey")
         scores = scorer.score(todo).select("individual_id", "fitness")
         if known is not None:
             scores = scores.unionByName(known)
-        scored = with_fitness(pop, scores)
-        write_generation(scored, pop_root)
-        scored = read_generation(spark, pop_root, g)
+        write_part(with_fitness(pop, scores), f"{workdir}/population", g)
+        scored = read_scored(g)
         if params.fitness_memo:
             fresh = pop.where(F.col("fitness").isNull()).select("individual_id")
-            scored.join(fresh, "individual_id") \
-                .select(F.md5(genome_text(F.col("genome"))).alias("gkey"), "fitness") \
-                .write.mode("overwrite").parquet(f"{memo_root}/generation={g}")
+            write_part(scored.join(fresh, "individual_id")
+                       .select(F.md5(genome_text(F.col("genome"))).alias("gkey"), "fitness"), memo_root, g)
         # Per-part elites of the parts this generation is bred in; S8/A5:
         # the global best is the final step of the same two-phase argmax
         parted = with_ordinal(assign_parts(scored, params.evolve.n_parts, params.evolve.seed))
-        append_table(elite_per_part(parted, params.elite_min_rows).withColumn("generation", F.lit(g)),
-                     f"{workdir}/elites")
-        best = elite_global(scored)
-        append_table(best, hist_path)
+        write_part(elite_per_part(parted, params.elite_min_rows), f"{workdir}/elites", g)
+        write_part(elite_global(scored), hist_path, g)
         if log:
-            b = spark.read.parquet(hist_path).where(F.col("generation") == g).first()
+            b = read_table(spark, hist_path).where(F.col("generation") == g).first()
             log(f"generation {g}: best {b['best_fitness']:.6f} ({b['n_features']} features)")
-        stop = stop_generation(spark.read.parquet(hist_path), params.plateau_k).first()[0]
-        if stop is not None:
-            stopped = True
-            break
-        if g < params.max_generations:
-            # offspring are read by several jobs of the next round: write once
-            nxt = f"{workdir}/offspring/generation={g + 1}"
-            next_generation(scored, g, params.evolve).write.mode("overwrite").parquet(nxt)
-            pop = spark.read.schema("individual_id bigint, genome array<int>, fitness float") \
-                .parquet(nxt).select(F.lit(g + 1).alias("generation"), "individual_id", "genome", "fitness")
-    history = spark.read.parquet(hist_path).orderBy("generation")
-    return SearchResult(workdir, g, stopped, history, time.time() - t0)
+        if stopped():
+            return result(g, True)
+        if params.max_generations is not None and g >= params.max_generations:
+            return result(g, False)
+        g += 1

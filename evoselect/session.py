@@ -41,12 +41,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared scratch root: ``spark.checkpoint.dir`` if the cluster set it.
 
-    Only when it is unset (local tests) a private directory is created and
-    registered, so ``DataFrame.checkpoint()`` works too.
+    Only when it is unset in local mode (tests) a private directory is created
+    and registered, so ``DataFrame.checkpoint()`` works too.  On a cluster an
+    unset folder is an error: each node would write to its own disk.
     """
     conf = spark.sparkContext.getConf()
     root = conf.get(_CHECKPOINT_KEY, None) or spark.conf.get(_CHECKPOINT_KEY, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="evoselect-ckpt-")
         spark.conf.set(_CHECKPOINT_KEY, root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

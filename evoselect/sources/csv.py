@@ -16,32 +16,32 @@ from .datasets import LabeledTable
 
 
 def _indexed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with a dense 0-based index in file order, JVM-side.
+    """Lines with a dense 0-based index, in the order of file path and place
+    in the file, whatever order Spark scans the files in.
 
-    ``monotonically_increasing_id`` is (split number << 33) + position in the
-    split; a dense index adds the number of lines of all earlier splits.
-    The offset table has one row per input split (a few per file), so its
-    un-partitioned running sum and its broadcast are bounded by the split
-    count, not by the data.
+    Lines of one block of a file are neighbours in one task, so their position
+    is their id minus the block's smallest id.  A block's offset is a two-level
+    running sum: lines of earlier files, then of earlier blocks of the file.
+    The first level has one row per file.
     """
-    mid = F.monotonically_increasing_id()
     lines = spark.read.text(path).select(
-        F.shiftright(mid, 33).alias("split"), mid.bitwiseAND(F.lit((1 << 33) - 1)).alias("pos"), "value")
-    sizes = lines.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
-    offsets = sizes.select(
-        "split", (F.sum("n").over(Window.orderBy("split")) - F.col("n")).alias("offset"))
-    return lines.join(F.broadcast(offsets), "split") \
-        .select((F.col("offset") + F.col("pos")).alias("row_idx"), "value")
-
-
-def read_feature_csv(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """(row_idx, features array<double>); P1 split on ',' and P2 cast.
-
-    ``strict`` fails on unparsable text like the reference; otherwise such
-    values become NULL (and bin to 0)."""
-    cast = (lambda s: F.trim(s).cast("double")) if strict else (lambda s: F.trim(s).try_cast("double"))
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"), "value")
+    blocks = lines.groupBy("file", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    inside = blocks.withColumn(
+        "before", F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n"))
+    files = blocks.groupBy("file").agg(F.sum("n").alias("lines"))
+    files = files.select("file", (F.sum("lines").over(Window.orderBy("file")) - F.col("lines")).alias("earlier"))
+    offsets = inside.join(files, "file").select(
+        "file", "start", (F.col("earlier") + F.col("before") - F.col("first")).alias("shift"))
+    return lines.join(offsets, ["file", "start"]).select((F.col("id") + F.col("shift")).alias("row_idx"), "value")
+
+
+def read_feature_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(row_idx, features array<double>); P1 split on ',' and P2 cast, which
+    fails on unparsable text like the reference."""
     return _indexed_lines(spark, path).select(
-        "row_idx", F.transform(F.split("value", ","), cast).alias("features"))
+        "row_idx", F.transform(F.split("value", ","), lambda s: F.trim(s).cast("double")).alias("features"))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -50,8 +50,12 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def attach_labels(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """Row i of the data file gets line i of the label file."""
-    return features.join(labels, "row_idx", "inner")
+    """Row i of the data file gets line i of the label file.  A line
+    without its partner is an error, not a lost row."""
+    both = features.withColumn("_x", F.lit(1)).join(labels.withColumn("_y", F.lit(1)), "row_idx", "full_outer")
+    alone = F.col("_x").isNull() | F.col("_y").isNull()
+    return both.select("row_idx", "features", F.when(alone, F.raise_error(F.lit(
+        "data file and label file differ in their number of lines")).cast("double")).otherwise(F.col("label")).alias("label"))
 
 
 def csv_table(spark: SparkSession, train_data: str, train_labels: str, test_data: str,
@@ -70,10 +74,18 @@ def csv_table(spark: SparkSession, train_data: str, train_labels: str, test_data
     return LabeledTable(df, tuple(f"c{i}" for i in range(n_features)))
 
 
-def write_csv_pair(table: LabeledTable, data_path: str, label_path: str, test: bool) -> None:
-    """Write one side of a table in the four-file layout (single ordered file
-    each, for fixtures and exports)."""
-    side = table.df.where(F.col("is_test") == F.lit(test)).orderBy("row_key").coalesce(1)
-    side.select(F.array_join(F.transform("features", lambda x: x.cast("string")), ",").alias("value")) \
+def write_csv_pair(table: LabeledTable, data_path: str, label_path: str, test: bool,
+                   data_files: int = 3, label_files: int = 5) -> None:
+    """Write one side of a table in the four-file layout, as ordered folders of
+    about so many files.
+
+    Both folders are in the order of all columns, so rows that tie are equal
+    and line i of one folder belongs to line i of the other."""
+    order = ["row_key", "label", "features"]
+    side = table.df.where(F.col("is_test") == F.lit(test)).select(*order)
+
+    def ordered(files: int) -> DataFrame:
+        return side.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    ordered(data_files).select(F.array_join(F.transform("features", lambda x: x.cast("string")), ",").alias("value")) \
         .write.mode("overwrite").text(data_path)
-    side.select(F.col("label").cast("string").alias("value")).write.mode("overwrite").text(label_path)
+    ordered(label_files).select(F.col("label").cast("string").alias("value")).write.mode("overwrite").text(label_path)

@@ -1,44 +1,21 @@
 """Population, elite and history storage.
 
-Generations are one Parquet dataset partitioned by ``generation``; reading
-generation N prunes to its directory.  Writes go to fresh paths or replace
-only their own partition (dynamic partition overwrite), so a generation is
-never rewritten while it is being read (D17).
+Every table of a run is one Parquet dataset partitioned by ``generation``;
+reading generation N prunes to its directory.  A write replaces only its own
+partition, so a generation is never rewritten while it is being read (D17).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..functions.genome import genome_text
 
-POP_SCHEMA = "generation int, individual_id bigint, genome array<int>, fitness float"
-
-
-def write_generation(population: DataFrame, root: str) -> None:
-    """Replace the written generation(s) under ``root``."""
-    population.select("generation", "individual_id", "genome", F.col("fitness").cast("float")) \
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("generation").parquet(root)
-
-
-def read_generation(spark: SparkSession, root: str, generation: int) -> DataFrame:
-    """All parts of one generation (partition pruning on the path)."""
-    return spark.read.schema(POP_SCHEMA).parquet(root).where(F.col("generation") == generation)
-
-
-def append_table(df: DataFrame, path: str) -> None:
-    """Append rows (elites, history) to a Parquet table."""
-    df.write.mode("append").parquet(path)
+def write_part(df: DataFrame, path: str, generation: int) -> None:
+    """Replace one generation's rows (population, elites, history, memo) of a
+    table, so a generation that runs again leaves no second copy."""
+    df.drop("generation").write.mode("overwrite").parquet(f"{path}/generation={generation}")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Read every appended file back as one table."""
+    """Every generation of a table."""
     return spark.read.parquet(path)
-
-
-def population_as_text(population: DataFrame) -> DataFrame:
-    """DM11 view of a population: genome as ``b0|b1|...|`` text."""
-    return population.select("generation", "individual_id",
-                             genome_text(F.col("genome")).alias("genome_text"), "fitness")

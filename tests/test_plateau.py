@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from evoselect.operators.elite import history_report, plateau, stop_generation
 
@@ -51,4 +50,3 @@ def test_history_report_text(spark):
     h = spark.createDataFrame([(3, [1, 0, 1], 0.25)], "generation int, best_genome array<int>, best_fitness double")
     rep = history_report(h).first()["report"]
     assert rep == "Iteration = 3\nFinal Individual - 1|0|1|\nAccuracy = 0.250000000"
-    assert F is not None

@@ -1,10 +1,12 @@
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from evoselect.plans.generation import EvolveParams
 from evoselect.plans.search import SearchParams, run_search
-from evoselect.sources.datasets import embeddings_table
-from evoselect.sources.population import read_generation
+from evoselect.operators.ml_fitness import model_family
+from evoselect.sources.datasets import embeddings_table, lineitem_table
+from evoselect.sources.population import read_table
 
 
 def test_search_loop_runs_and_keeps_the_best(spark):
@@ -17,7 +19,7 @@ def test_search_loop_runs_and_keeps_the_best(spark):
     best = [r["best_fitness"] for r in hist]
     assert best == sorted(best)                      # elitism: never drops
     for g in range(1, res.generations + 1):
-        pop = read_generation(spark, f"{res.workdir}/population", g)
+        pop = read_table(spark, f"{res.workdir}/population").where(F.col("generation") == g)
         assert pop.count() == 20
         assert pop.where(F.col("fitness").isNull()).count() == 0
 
@@ -29,11 +31,49 @@ def test_search_stops_on_plateau(spark):
                           evolve=EvolveParams(n_parts=1, seed=1, mutation_rate=0.0, elitism=1))
     res = run_search(table, params)
     hist = [r["best_fitness"] for r in res.history.collect()]
-    if res.stopped_on_plateau:
-        assert hist[-1] == hist[-2]
-        assert all(hist[i] != hist[i + 1] for i in range(len(hist) - 2))
-    else:
-        assert res.generations == 8
+    assert res.stopped_on_plateau and res.generations == len(hist)
+    assert hist[-1] == hist[-2]
+    assert all(hist[i] != hist[i + 1] for i in range(len(hist) - 2))
+
+
+def _rows(df):
+    return [tuple(r) for r in df.select("generation", "best_id", "best_genome", "best_fitness", "n_scored").collect()]
+
+
+def test_a_stopped_run_goes_on_to_the_same_history(spark):
+    from evoselect.session import scratch_path
+    table = embeddings_table(spark, SF_SMALL, 42)
+
+    def params(most, seed=5):
+        return SearchParams(population_size=12, block_size=16, max_generations=most, plateau_k=9,
+                            evolve=EvolveParams(n_parts=2, seed=seed, mutation_rate=0.02, elitism=1))
+    whole = run_search(table, params(4))
+    d = scratch_path(spark, "stopped")
+    run_search(table, params(2), d)
+    spark.read.parquet(f"{d}/history/generation=2").write.mode("overwrite").parquet(f"{d}/elites/generation=3")  # half a generation
+    again = run_search(table, params(4), d)
+    assert _rows(again.history) == _rows(whole.history) and again.generations == 4
+    third = run_search(table, params(4), d)
+    assert _rows(third.history) == _rows(whole.history)
+    with pytest.raises(ValueError, match="other data or parameters"):
+        run_search(table, params(4, seed=6), d)
+
+
+def test_population_never_shrinks(spark):
+    table = lineitem_table(spark, SF_SMALL, 42)
+    params = SearchParams(population_size=40, block_size=3, max_generations=3, plateau_k=9,
+                          evolve=EvolveParams(n_parts=4, seed=2, mutation_rate=0.0, elitism=1))
+    res = run_search(table, params)
+    sizes = [spark.read.parquet(f"{res.workdir}/population/generation={g}").count() for g in (1, 2, 3)]
+    assert sizes == [40, 40, 40]
+    lost = spark.read.parquet(f"{res.workdir}/population/generation=1").where("fitness IS NULL").count()
+    assert lost > 0        # some could not be scored; others took their places
+
+
+def test_unknown_models_are_refused(spark):
+    with pytest.raises(ValueError, match="unknown model"):
+        run_search(embeddings_table(spark, SF_SMALL, 42), SearchParams(model="banana"))
+    assert [model_family(m) for m in ("tree", "decision", "d", "logistic")] == ["tree"] * 3 + ["logistic"]
 
 
 def test_search_with_logistic_model_and_elites(spark):
@@ -60,7 +100,7 @@ def test_fitness_memo_does_not_change_results(spark):
         res = run_search(table, params)
         pops = []
         for g in range(1, res.generations + 1):
-            pop = read_generation(spark, f"{res.workdir}/population", g)
+            pop = read_table(spark, f"{res.workdir}/population").where(F.col("generation") == g)
             pops.append(sorted((r["individual_id"], tuple(r["genome"]), r["fitness"]) for r in pop.collect()))
         runs.append((pops, [tuple(r) for r in res.history.select("generation", "best_id", "best_fitness").collect()]))
     assert runs[0] == runs[1]

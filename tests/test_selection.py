@@ -8,7 +8,7 @@ from evoselect.operators.elite import elite_global, elite_per_part
 from evoselect.operators.selection import assign_parts, tournament_pairs, tournament_winners, with_ordinal
 from evoselect.plans.generation import EvolveParams, next_generation, offspring
 
-SIZES = [4, 5, 6, 7, 9, 10, 11]
+SIZES = [1, 2, 3, 4, 5, 6, 7, 9, 10, 11]
 
 
 def _ordered_fixture(spark, seed=3):
@@ -19,7 +19,7 @@ def _ordered_fixture(spark, seed=3):
             fit = rnd.choice([0.25, 0.5, 0.5, 0.75, 1.0, rnd.random()])   # many ties
             rows.append((part, p, n, ident, [rnd.randint(0, 1) for _ in range(12)], float(fit)))
             ident += 1
-    df = spark.createDataFrame(rows, "part_id int, p int, n int, individual_id bigint, genome array<int>, fitness float")
+    df = spark.createDataFrame(rows, "part_id int, p int, n int, individual_id bigint, genome array<int>, fitness double")
     return df, rows
 
 
@@ -31,9 +31,7 @@ def _simulate(rows, size=5):
     for part, rs in by_part.items():
         rs.sort(key=lambda r: r[1])
         n = len(rs)
-        if n < size:
-            continue
-        ext = rs + rs[:size]
+        ext = [rs[q % n] for q in range(n + size)]
         for p in range(size, n + size):
             window = [(ext[q], q % size) for q in range(p - size + 1, p + 1)]
             # strict '>' scan over buffer slots 0..4 == max fitness, lowest slot
@@ -50,11 +48,11 @@ def test_tournament_winners_match_simulation(spark):
     df, rows = _ordered_fixture(spark)
     got = {(r["part_id"], r["p"]): r["winner_id"] for r in tournament_winners(df, 5).collect()}
     assert got == _simulate(rows)
-    # every part with n >= 5 yields n winners; winner fitness >= the row's own at that position
+    # a part of any size n yields n winners
     counts = {}
     for (part, _p) in got:
         counts[part] = counts.get(part, 0) + 1
-    assert counts == {i: n for i, n in enumerate(SIZES) if n >= 5}
+    assert counts == dict(enumerate(SIZES))
 
 
 def test_pairs_and_children(spark):
@@ -62,7 +60,7 @@ def test_pairs_and_children(spark):
     pairs = tournament_pairs(tournament_winners(df, 5), 5)
     kids = uniform_crossover(pairs, 42, 1)
     per_part = {r["part_id"]: r["cnt"] for r in kids.groupBy("part_id").agg(F.count("*").alias("cnt")).collect()}
-    assert per_part == {i: n for i, n in enumerate(SIZES) if n >= 5}     # n rows -> n children
+    assert per_part == dict(enumerate(SIZES))     # n rows -> n children
     joined = pairs.where("p2_genome IS NOT NULL").join(kids, "part_id").where("c DIV 2 = k")
     g = joined.groupBy("part_id", "k").agg(F.collect_list("genome").alias("cs"),
                                            F.first("p1_genome").alias("p1"), F.first("p2_genome").alias("p2"))
@@ -84,7 +82,7 @@ def _population(spark, size=37, nf=12):
     rnd = random.Random(5)
     rows = [(1, i, [rnd.randint(0, 1) for _ in range(nf)], float(rnd.choice([0.1, 0.2, 0.3, rnd.random()])))
             for i in range(size)]
-    return spark.createDataFrame(rows, "generation int, individual_id bigint, genome array<int>, fitness float")
+    return spark.createDataFrame(rows, "generation int, individual_id bigint, genome array<int>, fitness double")
 
 
 def test_next_generation_preserves_size_and_ids(spark):
@@ -114,11 +112,25 @@ def test_generation_is_deterministic_across_shuffle_partitions(spark):
     assert a == b
 
 
-def test_small_parts_pass_through(spark):
+def test_small_parts_breed(spark):
     pop = _population(spark, size=4)          # every part is smaller than the tournament
     kids = offspring(pop, 1, EvolveParams(n_parts=3, seed=1, elitism=0)).collect()
     assert len(kids) == 4
-    assert sorted(r["fitness"] for r in kids) == sorted(r["fitness"] for r in pop.collect())
+    assert all(r["fitness"] is None for r in kids)
+
+
+def test_close_accuracies_do_not_tie(spark):
+    """Equal as 32-bit floats, different in the number of correct rows."""
+    rows = [(1, i, [1, 0], (9 * 10**8 + i) / 10**9) for i in range(5)]
+    pop = spark.createDataFrame(rows, "generation int, individual_id bigint, genome array<int>, fitness double")
+    assert elite_global(pop).first()["best_id"] == 4
+    assert {r["winner_id"] for r in tournament_winners(with_ordinal(assign_parts(pop, 1, 9)), 5).collect()} == {4}
+
+
+def test_failed_individuals_are_replaced(spark):
+    pop = _population(spark).withColumn("fitness", F.when(F.col("individual_id") % 3 > 0, F.col("fitness")))
+    rows = next_generation(pop, 1, EvolveParams(n_parts=4, seed=9)).collect()
+    assert len(rows) == 37 and len({r["individual_id"] for r in rows}) == 37
 
 
 def test_elites(spark):

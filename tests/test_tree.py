@@ -143,8 +143,66 @@ def test_empty_block_gives_null_fitness(spark):
     data = tf.prepare(table, 16, 32)
     g = [1] * 16 + [0] * 16 + [1] * 32
     pop = spark.createDataFrame([(1, 0, g, None), (1, 1, [0] * 64, None)],
-                                "generation int, individual_id bigint, genome array<int>, fitness float")
+                                "generation int, individual_id bigint, genome array<int>, fitness double")
     res = {r["individual_id"]: r for r in tf.score_population(data, pop).collect()}
     assert res[0]["fitness"] is None and res[0]["n_blocks_used"] == 3
     assert res[1]["fitness"] is None and res[1]["n_blocks_used"] == 0
-    assert F is not None
+
+
+def test_odd_values_keep_other_bins(spark):
+    from evoselect.operators.binning import bin_features, fit_bins
+    from evoselect.sources.datasets import LabeledTable
+    nan, inf = float("nan"), float("inf")
+    rows = [(str(k), k % 2, k % 5 == 0, [float(k)]) for k in range(1, 101)]
+    plain = LabeledTable(spark.createDataFrame(rows, "row_key string, label int, is_test boolean, features array<double>"), ("x",))
+    odd = spark.createDataFrame([("n", 0, False, [nan]), ("i", 0, False, [inf]), ("m", 0, False, [-inf]), ("z", 0, False, [None])],
+                                plain.df.schema)
+    mixed = LabeledTable(plain.df.union(odd), ("x",))
+    assert fit_bins(mixed, 32) == fit_bins(plain, 32)
+    got = {r[0]: r[1][0] for r in mixed.df.select("row_key", bin_features(F.col("features"), fit_bins(mixed, 32))).collect()}
+    assert (got["n"], got["i"], got["m"], got["z"]) == (32, 31, 0, 32) and len(set(got.values())) == 33
+
+
+def _folder(spark, path, files):
+    """One text file per list, in name order whatever the sizes."""
+    os.makedirs(path)
+    for k, lines in enumerate(files):
+        with open(f"{path}/part-{k:05d}.txt", "w") as f:
+            f.writelines(f"{x}\n" for x in lines)
+
+
+def test_csv_folders_of_uneven_files(spark):
+    d = tempfile.mkdtemp(prefix="csvfix-")
+    ids = list(range(360))
+    _folder(spark, f"{d}/data", [[f"{k},{k}.5" for k in part] for part in (ids[:10], ids[10:310], ids[310:])])
+    _folder(spark, f"{d}/labels", [ids])
+    _folder(spark, f"{d}/short", [ids[:200]])
+    got = attach_labels(read_feature_csv(spark, f"{d}/data"), read_labels(spark, f"{d}/labels")).collect()
+    assert len(got) == 360 and all(r["label"] == r["features"][0] == r["row_idx"] for r in got)
+    with pytest.raises(Exception, match="number of lines"):
+        attach_labels(read_feature_csv(spark, f"{d}/data"), read_labels(spark, f"{d}/short")).collect()
+
+
+def test_scratch_is_refused_without_a_shared_folder():
+    from types import SimpleNamespace as N
+    from evoselect.session import checkpoint_root
+    conf = N(get=lambda *a: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            checkpoint_root(N(sparkContext=N(getConf=lambda: conf, master=master), conf=conf))
+
+
+def test_many_classes_and_a_hot_one(spark):
+    """200 classes, a third of the rows in one."""
+    table = lineitem_table(spark, SF_SMALL, 42, "l_partkey")
+    hot = table.df.withColumn("label", F.when(F.crc32(F.encode("row_key", "UTF-8")) % 3 == 0, F.lit(1)).otherwise(F.col("label")))
+    table = type(table)(hot, table.feature_names)
+    data = tf.prepare(table, 3, 32)
+    rows = data.binned.collect()
+    train = [(r["bins"], r["y"]) for r in rows if not r["is_test"]]
+    test = [(r["bins"], r["y"]) for r in rows if r["is_test"]]
+    seen = {f: [(a + b) // 2 for a, b in zip(v, v[1:])] for f, v in
+            ((f, sorted({r[0][f] for r in train})) for f in range(table.n_features))}
+    pop = spark.createDataFrame([(1, 0, [1, 0, 1, 0, 1, 1], None)], "generation int, individual_id bigint, genome array<int>, fitness double")
+    (got,) = tf.score_population(data, pop).collect()
+    assert got["correct"] == _py_tree_correct(train, test, [0, 2], seen) + _py_tree_correct(train, test, [4, 5], seen)
