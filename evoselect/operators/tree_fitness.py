@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
 from ..sources.datasets import LabeledTable
-from .binning import BinSpec, binned_rows, fit_bins
+from .binning import BinSpec, binned_rows, fit_bins, fit_quantile_bins
 from .histogram import child_histogram, root_histogram
 from .splits import best_splits, majority, next_train_bins
 
@@ -59,8 +59,9 @@ class TreeData:
 
 
 def prepare(table: LabeledTable, block_size: int, n_bins: int = 32,
-            workdir: str | None = "auto") -> TreeData:
-    """Bin the table and build the root statistics.
+            workdir: str | None = "auto", quantiles: bool = False) -> TreeData:
+    """Bin the table (by equal widths, or by quantiles) and build the root
+    statistics.
 
     The binned rows and root tables are written under ``workdir`` (default: a
     fresh folder below ``spark.checkpoint.dir``; ``None`` keeps them lazy) and
@@ -71,7 +72,7 @@ def prepare(table: LabeledTable, block_size: int, n_bins: int = 32,
     spark: SparkSession = table.df.sparkSession
     if workdir == "auto":
         workdir = scratch_path(spark, "tree_data")
-    spec = fit_bins(table, n_bins)
+    spec = fit_quantile_bins(table, n_bins) if quantiles else fit_bins(table, n_bins)
     binned = binned_rows(table, spec)
     if workdir:
         small = "tinyint" if n_bins < 127 else "int"

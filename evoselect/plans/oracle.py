@@ -86,6 +86,19 @@ FROM vals v JOIN bounds bd USING (f)"""),
     ]
 
 
+def quantile_ctes(ds_sql: str, s: Setup) -> list[tuple[str, str]]:
+    """``binned_ctes`` with borders at the training values of rank ceil(k n / n_bins)."""
+    return [c for c in binned_ctes(ds_sql, s) if c[0] in ("ds", "vals")] + [
+        ("cuts", f"""SELECT f, x AS cut FROM (
+  SELECT f, x, row_number() OVER (PARTITION BY f ORDER BY x) AS rn, count(*) OVER (PARTITION BY f) AS n
+  FROM vals WHERE NOT is_test AND NOT isnan(x) AND NOT isinf(x)) JOIN range(1, {s.n_bins}) k(i)
+  ON rn = CAST(ceil(i * n / CAST({s.n_bins} AS DOUBLE)) AS BIGINT)"""),
+        ("lng", f"""SELECT v.rid, v.row_key, v.y, v.is_test, v.f,
+       CAST(CASE WHEN any_value(v.x) IS NULL OR isnan(any_value(v.x)) THEN {s.n_bins} ELSE count(c.cut) END AS INTEGER) AS b
+FROM vals v LEFT JOIN cuts c ON c.f = v.f AND c.cut < v.x GROUP BY ALL"""),
+    ]
+
+
 def _counts_sql(src: str, keys: str) -> str:
     return f"""SELECT {keys},
        sum(CASE WHEN is_test THEN 0 ELSE 1 END) AS n_train,
@@ -125,8 +138,8 @@ QUALIFY row_number() OVER (PARTITION BY node, f ORDER BY score DESC, t) = 1"""),
     ]
 
 
-def root_ctes(ds_sql: str, s: Setup) -> list[tuple[str, str]]:
-    return binned_ctes(ds_sql, s) + [
+def root_ctes(ds_sql: str, s: Setup, quantiles: bool = False) -> list[tuple[str, str]]:
+    return (quantile_ctes if quantiles else binned_ctes)(ds_sql, s) + [
         ("root_hist", "SELECT -1 AS node, * FROM (" + _counts_sql("lng", "f, b, y") + ")"),
         ("thr", """SELECT f, b, CAST(floor((b + lead(b) OVER (PARTITION BY f ORDER BY b)) / 2) AS INTEGER) AS t
 FROM (SELECT DISTINCT f, b FROM root_hist WHERE n_train > 0)"""),
@@ -204,8 +217,8 @@ def _genome_text(col: str) -> str:
     return f"(array_to_string({col}, '|') || '|')"
 
 
-def _fitness_report(ds_sql: str, s: Setup) -> str:
-    ctes = root_ctes(ds_sql, s) + [
+def _fitness_report(ds_sql: str, s: Setup, quantiles: bool = False) -> str:
+    ctes = root_ctes(ds_sql, s, quantiles) + [
         ("nf", "SELECT max(len(features)) AS n FROM ds"),
         ("pop", population_cte(s, "(SELECT n FROM nf)")),
     ] + fitness_ctes(s, "pop", "g1")
@@ -325,6 +338,7 @@ FROM ds""")
         ("kept", "SELECT ds.row_key, list_filter(ds.features, lambda x, i: g0.genome[i] = 1) AS kept FROM ds, g0"),
     ], """SELECT row_key, CAST(len(kept) AS INTEGER) AS n_kept, unnest(kept) AS value,
        CAST(generate_subscripts(kept, 1) - 1 AS INTEGER) AS pos FROM kept""")
+    q["tree_fitness_quantile"] = _fitness_report(ds_embeddings(s), s, quantiles=True)
     q["tree_fitness_many_classes"] = _fitness_report(ds_lineitem(MANY, "l_partkey"), MANY)
     odd = ds_embeddings(s).replace("list_transform(embedding, lambda x: CAST(x AS DOUBLE))", """list_transform(embedding,
        lambda x, i: CASE WHEN (vec_id + i - 1) % 97 = 0 THEN CAST('nan' AS DOUBLE) WHEN (vec_id + i - 1) % 89 = 0 THEN CAST('inf' AS DOUBLE)

@@ -52,8 +52,8 @@ def _scored(spark: SparkSession, table: LabeledTable, s: Setup) -> tuple[DataFra
     return materialize(with_fitness(pop, scores.select("individual_id", "fitness")), "scored"), data
 
 
-def _fitness_report(spark: SparkSession, table: LabeledTable, s: Setup) -> DataFrame:
-    data = tf.prepare(table, s.block_size, s.n_bins)
+def _fitness_report(spark: SparkSession, table: LabeledTable, s: Setup, quantiles: bool = False) -> DataFrame:
+    data = tf.prepare(table, s.block_size, s.n_bins, quantiles=quantiles)
     pop = init_population(spark, s.population, table.n_features, s.seed)
     scores = tf.score_population(data, pop)
     return pop.drop("fitness").join(scores, "individual_id").select(
@@ -125,6 +125,11 @@ def q_tree_fitness_documents(spark, sf_dir):
     return _fitness_report(spark, documents_table(spark, sf_dir, DOCS.seed), DOCS)
 
 
+def q_tree_fitness_quantile(spark, sf_dir):
+    """ML1 on raw features: 32 thresholds from each feature's quantiles."""
+    return _fitness_report(spark, embeddings_table(spark, sf_dir, EMB.seed), EMB, quantiles=True)
+
+
 MANY = Setup(population=16, block_size=3)
 
 
@@ -329,6 +334,7 @@ QUERIES = {
     "tree_fitness_lineitem": q_tree_fitness_lineitem,
     "tree_fitness_documents": q_tree_fitness_documents,
     "tree_fitness_many_classes": q_tree_fitness_many_classes,
+    "tree_fitness_quantile": q_tree_fitness_quantile,
     "feature_bins_missing": q_feature_bins_missing,
     "elites_read_back": q_elites_read_back,
     "genome_decode": q_genome_decode,
