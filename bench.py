@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from evoselect.plans import queries as Q  # noqa: E402
-from evoselect.session import local_session, scratch_path  # noqa: E402
+from evoselect.session import clear_scratch, local_session, scratch_path  # noqa: E402
 
 
 def _run(spark, fn, sf_dir):
@@ -104,6 +104,7 @@ def main():
         "microseconds_per_row": micros,
         "cpus": cpus,
     }
+    clear_scratch(spark)
     print(json.dumps(out))
 
 

@@ -8,7 +8,9 @@ case for local tests.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -51,6 +53,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="evoselect-ckpt-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set(_CHECKPOINT_KEY, root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(root)
@@ -58,9 +61,19 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
-    """A fresh path below the shared checkpoint root for one run."""
-    return os.path.join(checkpoint_root(spark), "evoselect",
-                        uuid.uuid4().hex[:12], *parts)
+    """A fresh path below this application's folder in the shared root."""
+    return os.path.join(_own_root(spark), uuid.uuid4().hex[:12], *parts)
+
+
+def _own_root(spark: SparkSession) -> str:
+    return os.path.join(checkpoint_root(spark), "evoselect", spark.sparkContext.applicationId)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all that this application wrote to scratch.  For the end of a
+    job: DataFrames that were built on it can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df, name: str = "stage"):

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .datasets import LabeledTable
 
 
@@ -69,6 +70,7 @@ def csv_table(spark: SparkSession, train_data: str, train_labels: str, test_data
         F.concat(F.when(F.col("is_test"), F.lit("test:")).otherwise(F.lit("train:")),
                  F.col("row_idx").cast("string")).alias("row_key"),
         "label", "is_test", "features")
+    df = materialize(df, "csv")      # the files are indexed and joined once
     if n_features is None:
         n_features = int(df.select(F.max(F.size("features"))).first()[0])
     return LabeledTable(df, tuple(f"c{i}" for i in range(n_features)))

@@ -206,3 +206,9 @@ def test_many_classes_and_a_hot_one(spark):
     pop = spark.createDataFrame([(1, 0, [1, 0, 1, 0, 1, 1], None)], "generation int, individual_id bigint, genome array<int>, fitness double")
     (got,) = tf.score_population(data, pop).collect()
     assert got["correct"] == _py_tree_correct(train, test, [0, 2], seen) + _py_tree_correct(train, test, [4, 5], seen)
+
+
+def test_scratch_can_be_cleared(spark):
+    from evoselect.session import checkpoint_root, materialize
+    own = materialize(spark.range(3), "x").inputFiles()[0]
+    assert spark.sparkContext.applicationId in own and checkpoint_root(spark) in own
