@@ -213,8 +213,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of ``docs``: the columns ``carry`` (default: the id),
     ``n_shingles``, ``component_id`` (smallest id that links reach) and
     ``keeper`` (true for one row of each component, and for rows without a
-    word).  ``share`` is in percent."""
-    carry = [id_col] if carry is None else carry
+    word).  Carried columns of these three names are replaced.  ``share`` is in
+    percent."""
+    carry = [c for c in carry or [id_col] if c not in ("n_shingles", "component_id", "keeper")]
     use = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, id_col, text_col])])
     dealt = X.deal(use, text_col, chunk_bytes)
     field = T.StructField("_row", T.StructType([f for f in use.schema if f.name != text_col or text_col in carry]), False)

@@ -56,3 +56,9 @@ def test_components_of_paths_and_stars(spark):
     assert all(got[k] == 0 for k in range(31)) and all(got[100 + k] == 100 for k in range(20))
     assert got[300] == got[200] == 200
     assert connected_components(spark.createDataFrame([], "x long, y long")).collect() == []
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 7, 8, 9)], "doc_id long, text string, keeper int, n int, _chunk int")
+    (r,) = near_duplicates(docs, carry=docs.columns).collect()
+    assert (r.doc_id, r.text, r.keeper, r.n, r["_chunk"], r.n_shingles, r.component_id) == (1, "a b c", True, 8, 9, 1, 1)
