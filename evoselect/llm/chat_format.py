@@ -97,8 +97,10 @@ def format_trees(messages: DataFrame, learn: tuple[str, ...] = ("assistant",), b
         ends = ends.where(F.col("branch") <= branches)
     ends = materialize(ends, "branches")
 
+    # far jumps first: until the last ones there are few rows, about twice the
+    # messages of the chosen branches in all rounds together
     path = ends.select("leaf", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("up"))
-    for k, step in enumerate(jumps):
+    for k, step in reversed(list(enumerate(jumps))):
         path = path.join(step.select("id", "anc"), "id", "left").select("leaf", F.explode(F.array_compact(F.array(
             F.struct("id", "up"),
             F.when(F.col("anc").isNotNull(), F.struct(F.col("anc").alias("id"), (F.col("up") + (1 << k)).alias("up")))
