@@ -6,19 +6,21 @@
    corpus) goes to the driver.  A *configuration* is a multiset of lengths
    that fits into one sequence.  The covering linear program "fewest
    configurations that cover the histogram" is solved by multiplicative
-   weights: each length has a price, a knapsack dynamic program finds the
-   configuration of the highest price, it is used for a part of what is left
-   of its scarcest length, and the prices of the lengths it covers fall.
-3. Rounded down, the solution gives whole sequences; what it leaves over is
-   packed best fit, longest first, also on counts of lengths.
+   weights in whole uses: each length has a price that falls as its pieces are
+   covered, a knapsack dynamic program prices all configurations, and those
+   within ``NEAR`` of the highest price are used, each for a part of the
+   pieces of its scarcest length, until every length is covered.
+3. Full configurations are whole sequences; the pieces of the others are
+   packed best fit, longest first, also on counts of lengths.  If best fit
+   alone needs fewer sequences, its plan is taken.
 4. Pieces of one length are interchangeable, so a piece's number among those
    of its length says which sequence and offset it gets.  The numbers are made
    from counts of (length, salt), so a length that a third of all pieces has
    is no single task's work.
 
-The plan sent to the tasks has at most about 3 * capacity + ``ROUNDS``
-patterns of at most sqrt(2 * capacity) different lengths each; its size does
-not depend on the number of documents.
+A length is the scarcest of at most about 8 uses and the logarithm of its
+count, so the plan sent to the tasks has some ten patterns a length, of at most
+sqrt(2 * capacity) different lengths each, whatever the number of documents.
 
 Null text counts as empty, and an empty text is one piece, ``end_id`` alone.
 Repeated rows are packed each; null ids are kept; an empty table gives an
@@ -45,8 +47,8 @@ from .words import hash_words, split_words
 
 CAPACITY = 4096
 END_ID = 1
-#: pricing rounds of the linear program
-ROUNDS = 300
+#: part of the highest price that a configuration used in the same round may lack
+NEAR = 0.02
 #: text bytes that a task holds in words at once
 SLICE_BYTES = 4 << 20
 #: distinct words whose ids a worker remembers
@@ -199,67 +201,102 @@ def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
 
 # ------------------------------------------------------------------ the plan
+def _knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(highest total price within each room, a length to begin with there).
+    Equal prices go to the larger length."""
+    best = np.zeros(capacity + 1)
+    pick = np.zeros(capacity + 1, np.int64)
+    falling = price[::-1].copy()
+    for room in range(1, capacity + 1):
+        total = best[:room] + falling[capacity - room:capacity]
+        k = int(total.argmax())
+        if total[k] > best[room - 1]:
+            best[room], pick[room] = total[k], room - k
+        else:
+            best[room], pick[room] = best[room - 1], pick[room - 1]
+    return best, pick
+
+
 def best_configuration(price: np.ndarray, capacity: int) -> dict[int, int]:
     """Knapsack with repetition by dynamic programming: the multiset of
     lengths within ``capacity`` of the highest total price.  ``price[l]`` is
     the price of length l, -inf if there is none; ``price[0]`` is unused."""
-    best = np.zeros(capacity + 1)
-    for room in range(1, capacity + 1):
-        best[room] = max((best[room - 1::-1][:room] + price[1:room + 1]).max(), best[room - 1])
+    _, pick = _knapsack(price, capacity)
+    out: dict[int, int] = {}
+    room = capacity
+    while length := int(pick[room]):
+        out[length] = out.get(length, 0) + 1
+        room -= length
+    return out
+
+
+def _configuration_with(length: int, price: np.ndarray, best: np.ndarray, pick: np.ndarray, capacity: int,
+                        free: np.ndarray) -> dict[int, int]:
+    """A configuration of a high price with ``length`` in it, and with no more
+    copies of a length than ``free`` has."""
     out: dict[int, int] = {}
     room = capacity
-    while room > 0:
-        if best[room] == best[room - 1]:
-            room -= 1
-            continue
-        length = int(np.argmax(best[room - 1::-1][:room] + price[1:room + 1])) + 1
+    while length:
         out[length] = out.get(length, 0) + 1
         room -= length
+        length = int(pick[room])
+        if length and free[length] <= out.get(length, 0):
+            total = np.where(free[1:room + 1] > 0, best[room - 1::-1][:room] + price[1:room + 1], -np.inf)
+            for x, n in out.items():
+                if x <= room and free[x] <= n:
+                    total[x - 1] = -np.inf
+            k = room - 1 - int(total[::-1].argmax())
+            length = k + 1 if total[k] > -np.inf else 0
     return out
 
 
-def solve_configurations(demand: np.ndarray, capacity: int, rounds: int = ROUNDS,
-                         rate: float = 0.5, step: float = 0.25) -> list[tuple[dict[int, int], float]]:
+def solve_configurations(demand: np.ndarray, capacity: int, rounds: int | None = None,
+                         rate: float = 0.5, step: float = 0.25, near: float = NEAR) -> list[tuple[dict[int, int], int]]:
     """Configurations and how often each is used, by multiplicative weights.
     ``demand[l]``: pieces of length l.  Prices start at l / capacity, which is
-    what a length costs at least, and fall as ``exp(-rate * covered)``."""
-    covered = np.zeros(capacity + 1)
-    there = demand > 0
+    what a length costs at least, and fall as ``exp(-rate * covered)``.  The
+    uses cover every piece once, unless ``rounds`` ends them before."""
+    free = demand.astype(np.int64).copy()
     need = np.maximum(demand, 1).astype(float)
     size = np.arange(capacity + 1) / capacity
-    used: list[tuple[dict[int, int], float]] = []
-    for _ in range(rounds):
-        left = there & (covered < 1)
-        if not left.any():
-            break
-        price = np.where(left, size * np.exp(-rate * covered), -np.inf)
-        config = best_configuration(price, capacity)
-        times = min(need[length] * max(step, 1 - covered[length] if covered[length] >= 1 - 2 * step else step) / k
-                    for length, k in config.items())
-        for length, k in config.items():
-            covered[length] += k * times / need[length]
-        used.append((config, times))
+
+    def price_of(lengths):
+        return size[lengths] * np.exp(-rate * (1 - free[lengths] / need[lengths]))
+
+    used: list[tuple[dict[int, int], int]] = []
+    done = 0
+    while free.any() and (rounds is None or done < rounds):
+        done += 1
+        lengths = np.flatnonzero(free)[::-1]
+        price = np.full(capacity + 1, -np.inf)
+        price[lengths] = price_of(lengths)
+        best, pick = _knapsack(price, capacity)
+        lengths = lengths[np.argsort(-(price[lengths] + best[capacity - lengths]), kind="stable")]
+        enough = (1 - near) * best[capacity]
+        for k, length in enumerate(lengths.tolist()):
+            if k and price[length] + best[capacity - length] < enough:
+                break
+            if not free[length]:
+                continue
+            config = _configuration_with(length, price, best, pick, capacity, free)
+            held, copies = np.array(list(config)), np.array(list(config.values()))
+            # prices have fallen since the round began; its first use is always made
+            if k and price_of(held) @ copies < enough:
+                continue
+            times = min(int(np.maximum(1, step * need[held] / copies).min()), int((free[held] // copies).min()))
+            free[held] -= copies * times
+            used.append((config, times))
     return used
 
 
-def pack_histogram(demand: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Patterns (lengths with their numbers) and whole numbers of sequences
-    that hold exactly the pieces of ``demand``."""
-    left = demand.astype(np.int64).copy()
-    patterns: list[tuple[dict[int, int], int]] = []
-    if left[capacity]:
-        patterns.append(({capacity: 1}, int(left[capacity])))
-        left[capacity] = 0
-    merged: dict[tuple, float] = defaultdict(float)
-    for config, times in solve_configurations(left, capacity, rounds):
-        merged[tuple(sorted(config.items()))] += times
+def _best_fit(demand: np.ndarray, capacity: int, whole: dict[tuple, int]) -> list[tuple[dict[int, int], int]]:
+    """The full sequences ``whole``, and the other pieces best fit."""
+    left = demand.copy()
     open_bins: dict[int, list[tuple[dict[int, int], int]]] = defaultdict(list)
-    for config, times in merged.items():
-        n = min(int(times + 1e-9), *(int(left[length]) // k for length, k in config))
-        if n:
-            for length, k in config:
-                left[length] -= n * k
-            open_bins[capacity - sum(length * k for length, k in config)].append((dict(config), n))
+    for config, n in whole.items():
+        for length, k in config:
+            left[length] -= n * k
+        open_bins[0].append((dict(config), n))
     rooms = sorted(open_bins)
 
     def put(room: int, config: dict[int, int], n: int) -> None:
@@ -287,7 +324,24 @@ def pack_histogram(demand: np.ndarray, capacity: int = CAPACITY, rounds: int = R
                 put(room, config, many - use)
             put(room - length, {**config, length: config.get(length, 0) + 1}, use)
             n -= use
-    return patterns + [x for room in sorted(open_bins) for x in open_bins[room]]
+    return [x for room in sorted(open_bins) for x in open_bins[room]]
+
+
+def pack_histogram(demand: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> list[tuple[dict[int, int], int]]:
+    """Patterns (lengths with their numbers) and whole numbers of sequences
+    that hold exactly the pieces of ``demand``; never more sequences than best
+    fit alone."""
+    left = demand.astype(np.int64).copy()
+    patterns: list[tuple[dict[int, int], int]] = []
+    if left[capacity]:
+        patterns.append(({capacity: 1}, int(left[capacity])))
+        left[capacity] = 0
+    whole: dict[tuple, int] = defaultdict(int)
+    for config, times in solve_configurations(left, capacity, rounds):
+        if sum(length * k for length, k in config.items()) == capacity:
+            whole[tuple(sorted(config.items()))] += times
+    ways = [_best_fit(left, capacity, whole), _best_fit(left, capacity, {})]
+    return patterns + min(ways, key=lambda way: sum(n for _, n in way))
 
 
 def _slots(patterns: list[tuple[dict[int, int], int]]) -> np.ndarray:
@@ -309,7 +363,7 @@ def _slots(patterns: list[tuple[dict[int, int], int]]) -> np.ndarray:
 _NUMBER = 1 << 48
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int | None = None) -> DataFrame:
     """``pieces`` (with a column ``length``) with ``sequence_id`` and ``offset``."""
     spark = pieces.sparkSession
     pieces = materialize(pieces.withColumn("_pid", F.monotonically_increasing_id()), "pieces")

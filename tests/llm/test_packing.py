@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from evoselect.llm.packing import best_configuration, pack_documents, pack_histogram
+from evoselect.llm.packing import best_configuration, pack_documents, pack_histogram, solve_configurations
 from helpers import DOCS, awkward_docs
 from tokenizers import Tokenizer
 
@@ -71,5 +71,29 @@ def test_histograms_are_packed_whole_and_tight():
         assert n <= max(-(-int((demand * np.arange(65)).sum()) // 64), big) * 1.1 + 2
 
 
+def test_the_program_covers_every_length():
+    cap = 512
+    rng = np.random.default_rng(5)
+    demand = np.zeros(cap + 1, np.int64)
+    demand[1:cap] = rng.integers(1, 5, cap - 1)
+    used = np.zeros(cap + 1, np.int64)
+    full = 0
+    for config, times in solve_configurations(demand, cap):
+        tokens = sum(k * c for k, c in config.items())
+        assert times >= 1 and tokens <= cap
+        full += times * tokens * (tokens == cap)
+        for k, c in config.items():
+            used[k] += c * times
+    assert (used == demand).all()
+    total = int(demand @ np.arange(cap + 1))
+    assert full > total / 2
+    assert sum(n for _, n in pack_histogram(demand, cap)) <= sum(n for _, n in pack_histogram(demand, cap, 0))
+
+
+def test_equal_prices_go_to_large_lengths():
+    price = np.arange(65) / 64
+    assert best_configuration(price, 64) == {64: 1}
+
+
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], DOCS), PATH).collect() == []
