@@ -19,9 +19,9 @@ blocks are dealt by row number, so equal vectors spread.  No query meets all
 candidates in one task: the k-th scores are aggregated from k rows a block.
 
 Rows with a null id take no part; neither do null vectors nor vectors that hold
-null or non-finite components.  Shorter vectors count as padded with zeros.  An
-id that repeats is its own query for all its rows, and its rows are candidates
-of others one by one.  Ties go to the smaller id.  Exact scores are 64-bit
+null or non-finite components.  Shorter vectors count as padded with zeros.  Each
+row that asks is a query of its own, also if its id repeats; rows that share
+the query's id are not its candidates, and are candidates of others one by one.  Ties go to the smaller id.  Exact scores are 64-bit
 whole numbers; components beyond 2**30 after scaling are refused.  An empty
 table gives an empty result.
 """
@@ -47,7 +47,7 @@ def _matrix(blobs, dims: int, dtype) -> np.ndarray:
 
 
 def _pack_blocks(rows: DataFrame, block_col: str, dims: int, low: np.ndarray, width: np.ndarray, exact: bool) -> DataFrame:
-    """One row per block: ids, and the cells (or the integers) of all vectors."""
+    """One row per block: ids, row numbers, and the cells (or the integers) of all vectors."""
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
         lists = table["x"].combine_chunks()
@@ -61,8 +61,9 @@ def _pack_blocks(rows: DataFrame, block_col: str, dims: int, low: np.ndarray, wi
         data = x.astype(np.int32) if exact else ((x - low) // width).astype(np.uint8)
         return pa.table({block_col: table[block_col].slice(0, 1),
                          "ids": pa.array([table["id"].to_numpy().astype(np.int64).tobytes()], pa.binary()),
+                         "keys": pa.array([table["row"].to_numpy().astype(np.int64).tobytes()], pa.binary()),
                          "data": pa.array([data.tobytes()], pa.binary())})
-    return rows.groupBy(block_col).applyInArrow(run, f"{block_col} int, ids binary, data binary")
+    return rows.groupBy(block_col).applyInArrow(run, f"{block_col} int, ids binary, keys binary, data binary")
 
 
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
@@ -95,16 +96,17 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     blocks, query_blocks = -(-size["n"] // block), -(-size["q"] // query_block)
 
     cells = _pack_blocks(rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")), "block",
-                         dims, low, width, False)
-    asked = rows.where("asks").dropDuplicates(["id"])
-    asked = _pack_blocks(asked.withColumn("qblock", F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int")), "qblock",
-                         dims, low, width, True)
+                         dims, low, width, False).drop("keys")
+    # a query's key is its row number
+    asks = materialize(rows.where("asks").withColumn(
+        "qblock", F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int")), "asks")
+    asked = _pack_blocks(asks, "qblock", dims, low, width, True)
     work = materialize(cells.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))), "cells") \
-        .join(asked.withColumnRenamed("ids", "qids").withColumnRenamed("data", "queries"), "qblock")
+        .join(asked.withColumnsRenamed({"ids": "qids", "keys": "qkeys", "data": "queries"}), "qblock")
     work = materialize(work.repartition(max(1, min(blocks * query_blocks, 4096)), "block", "qblock"), "work")
 
     def bounds(r):
-        """(query ids, vector ids, lower bounds, upper bounds), queries in rows."""
+        """(query keys, vector ids, lower bounds, upper bounds), queries in rows."""
         q = _matrix([r["queries"]], dims, np.int32).astype(np.float64)
         c = _matrix([r["data"]], dims, np.uint8).astype(np.float64) * width + low
         base = q @ c.T
@@ -117,7 +119,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
         own = qi[:, None] == vi[None, :]
         lower[own] = -np.inf
         upper[own] = -np.inf
-        return qi, vi, lower, upper
+        return np.frombuffer(r["qkeys"], np.int64), vi, lower, upper
 
     def lows(batches):
         for batch in batches:
@@ -129,12 +131,10 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
                 yield pa.RecordBatch.from_arrays([pa.array(qi[at]), pa.array(best[np.isfinite(best)])], ["q", "low"])
 
     w = Window.partitionBy("q").orderBy(F.desc("low"))
-    kth = work.select("qids", "queries", "ids", "data").mapInArrow(lows, "q long, low double") \
+    kth = work.select("qids", "qkeys", "queries", "ids", "data").mapInArrow(lows, "q long, low double") \
         .withColumn("r", F.row_number().over(w)).where(F.col("r") <= k) \
         .groupBy("q").agg(F.when(F.count(F.lit(1)) == k, F.min("low")).otherwise(F.lit(float("-inf"))).alias("kth"))
-    asked_of = rows.where("asks").dropDuplicates(["id"]).select(
-        F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int").alias("qblock"), F.col("id").alias("q"))
-    kth = asked_of.join(kth, "q", "left").groupBy("qblock").agg(
+    kth = asks.select("qblock", F.col("row").alias("q")).join(kth, "q", "left").groupBy("qblock").agg(
         F.sort_array(F.collect_list(F.struct("q", F.coalesce("kth", F.lit(float("-inf"))).alias("kth")))).alias("need"))
 
     def candidates(batches):
@@ -145,19 +145,20 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
                 a, b = np.nonzero((upper >= np.array([need[x] for x in qi.tolist()])[:, None]) & np.isfinite(upper))
                 yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(vi[b]), pa.array(upper[a, b])], ["q", "v", "up"])
 
-    found = work.join(kth, "qblock").select("qids", "queries", "ids", "data", "need") \
+    found = work.join(kth, "qblock").select("qids", "qkeys", "queries", "ids", "data", "need") \
         .mapInArrow(candidates, "q long, v long, up double")
     found = materialize(found.withColumn("o", F.row_number().over(
         Window.partitionBy("q").orderBy(F.desc("up"), "v"))), "candidates")
 
     # an id that repeats has several vectors: candidates name ids, all its rows are read once
     exact = rows.select(F.col("id").alias("v"), F.col("x").alias("vx"))
-    asks = rows.where("asks").dropDuplicates(["id"]).select(F.col("id").alias("q"), F.col("x").alias("qx"))
+    asks = asks.select(F.col("row").alias("q"), F.col("id").alias("query_id"), F.col("x").alias("qx"))
 
     def read(some: DataFrame) -> DataFrame:
         product = F.aggregate(F.zip_with("qx", "vx", lambda a, b: F.coalesce(a * b, F.lit(0).cast("long"))),
                               F.lit(0).cast("long"), lambda s, x: s + x)
-        return some.select("q", "v").distinct().join(exact, "v").join(asks, "q").select("q", "v", product.alias("score"))
+        return some.select("q", "v").distinct().join(exact, "v").join(asks, "q") \
+            .select("q", "query_id", "v", product.alias("score"))
 
     best = Window.partitionBy("q").orderBy(F.desc("score"), "v")
     head = read(found.where(F.col("o") <= FIRST * k))
@@ -166,7 +167,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
         .where(F.col("kth").isNull() | (F.col("up") >= F.col("kth")))
     done = found.where(F.col("o") <= FIRST * k).select("q", "v").union(rest.select("q", "v"))
     return read(done).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
-        .select(F.col("q").alias("query_id"), "rank", F.col("v").alias(id_col), "score")
+        .select("query_id", "rank", F.col("v").alias(id_col), "score")
 
 
 def _empty(vectors: DataFrame, id_col: str) -> DataFrame:

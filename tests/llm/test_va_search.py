@@ -28,6 +28,24 @@ def test_equals_brute_force(spark, bits, block):
     assert sorted(map(tuple, got)) == brute(rows, 4)
 
 
+def test_each_row_of_a_repeated_query_id_is_searched(spark):
+    rng = random.Random(7)
+
+    def vector():
+        return [rng.gauss(0, 0.2) for _ in range(6)]
+    rows = [(i, vector()) for i in range(60)]
+    rows += [(i, vector()) for i in (5, 5, 10, 15, 20, 7, 7)] + [(25, rows[25][1])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    want = []
+    for q, v in rows:
+        if q % 5 == 0:
+            best = sorted((-sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(v, x)), i)
+                          for i, x in rows if i != q)[:4]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    got = search(df, F.col("vec_id") % 5 == 0, k=4, block=9, query_block=3).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_few_rows_and_none(spark):
     kind = "vec_id long, embedding array<float>"
     asks = F.col("vec_id") % 5 == 0
