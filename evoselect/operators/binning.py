@@ -3,8 +3,9 @@
 Quantile bins take their borders from the feature's distribution, which is
 what the reference's tree does with 32 bins: border i is the training value of
 rank ceil(i n / 32), and a value's bin is the number of borders below it.
-Ranks are exact up to ``QUANTILE_ACCURACY`` training rows and off by at most
-one in that many beyond (a mergeable summary, so no task sorts a feature).
+Ranks are exact at every size: values are counted, ranges of them are summed,
+and running counts within a range are made only where a border lies, so no task
+sorts a feature with more than about ``RANGE_VALUES`` distinct values.
 
 Bounds are the per-feature min/max over training rows.  They are the only
 thing brought to the driver: 2 numbers per feature, bounded by the schema
@@ -21,9 +22,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ..sources.datasets import LabeledTable
 
 
@@ -49,15 +51,40 @@ def fit_bins(table: LabeledTable, n_bins: int = 32) -> BinSpec:
     return BinSpec(lo, hi, n_bins)
 
 
-QUANTILE_ACCURACY = 10_000
+#: distinct values that a range of a feature has at most, nearly
+RANGE_VALUES = 1_000_000
 
 
-def fit_quantile_bins(table: LabeledTable, n_bins: int = 32) -> BinSpec:
+def fit_quantile_bins(table: LabeledTable, n_bins: int = 32, range_values: int = RANGE_VALUES) -> BinSpec:
     long = table.df.where(~F.col("is_test")).select(F.posexplode("features").alias("f", "x"))
-    rows = long.where(~F.isnan("x") & (F.abs("x") < float("inf"))).groupBy("f").agg(
-        F.percentile_approx("x", [k / n_bins for k in range(1, n_bins)], QUANTILE_ACCURACY).alias("q"))
-    by_f = {r["f"]: tuple(r["q"]) for r in rows.collect()}      # n_bins - 1 numbers a feature
-    cuts = tuple(by_f.get(i, ()) for i in range(table.n_features))
+    values = materialize(long.where(~F.isnan("x") & (F.abs("x") < float("inf")))
+                         .groupBy("f", "x").agg(F.count(F.lit(1)).alias("n")), "values")
+    most = values.groupBy("f").count().agg(F.max("count")).first()[0] or 0
+    ranges = max(1, -(-most // range_values))
+    if ranges > 1:
+        # approximate edges make ranges of like size; the borders don't depend on them
+        edges = values.groupBy("f").agg(
+            F.percentile_approx("x", [k / ranges for k in range(1, ranges)], 10 * ranges).alias("edges"))
+        values = materialize(values.join(edges, "f").select(
+            "f", "x", "n", F.size(F.filter("edges", lambda e: e < F.col("x"))).alias("r")), "ranges")
+    else:
+        values = values.withColumn("r", F.lit(0))
+
+    def borders(upto):
+        """How many of the borders lie in the first ``upto`` values: rank ceil(i n / n_bins) <= upto."""
+        return F.least(F.call_function("div", upto * n_bins, F.col("total")).cast("int"), F.lit(n_bins - 1))
+
+    sums = values.groupBy("f", "r").agg(F.sum("n").alias("m"))
+    sums = sums.withColumn("before", F.sum("m").over(Window.partitionBy("f").orderBy("r")) - F.col("m")) \
+        .withColumn("total", F.sum("m").over(Window.partitionBy("f"))) \
+        .where(borders(F.col("before") + F.col("m")) > borders(F.col("before")))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("f", "r").orderBy("x"))
+    found = values.join(sums, ["f", "r"]).withColumn("upto", upto) \
+        .withColumn("times", borders(F.col("upto")) - borders(F.col("upto") - F.col("n"))).where("times > 0")
+    by_f: dict[int, list[float]] = {}
+    for r in found.select("f", "x", "times").collect():      # n_bins - 1 numbers a feature at most
+        by_f.setdefault(r["f"], []).extend([r["x"]] * r["times"])
+    cuts = tuple(tuple(sorted(by_f.get(i, ()))) for i in range(table.n_features))
     return BinSpec((), (), n_bins, cuts)
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from evoselect.operators import tree_fitness as tf
+from evoselect.operators.binning import fit_quantile_bins
 from evoselect.operators.population import init_population
 from evoselect.sources.csv import attach_labels, csv_table, read_feature_csv, read_labels, write_csv_pair
-from evoselect.sources.datasets import documents_table, embeddings_table, lineitem_table
+from evoselect.sources.datasets import LabeledTable, documents_table, embeddings_table, lineitem_table
 
 
 def _py_tree_correct(train, test, feats, thresholds_of):
@@ -212,3 +213,19 @@ def test_scratch_can_be_cleared(spark):
     from evoselect.session import checkpoint_root, materialize
     own = materialize(spark.range(3), "x").inputFiles()[0]
     assert spark.sparkContext.applicationId in own and checkpoint_root(spark) in own
+
+
+def test_quantile_borders_are_exact_ranks(spark):
+    n = 200_003
+    df = spark.range(n, numPartitions=7).select(
+        F.col("id").cast("string").alias("row_key"), F.lit("a").alias("label"), (F.col("id") % 9 == 0).alias("is_test"),
+        F.array(F.pmod(F.xxhash64("id"), F.lit(10_000_019)).cast("double"), F.sqrt(F.pmod(F.hash("id"), F.lit(90_000))),
+                F.when(F.col("id") % 3 > 0, 4.0).when(F.col("id") % 5 > 0, F.col("id") / 7).otherwise(float("nan")),
+                F.when(F.col("id") < 20, F.col("id").cast("double")), F.lit(None).cast("double")).alias("features"))
+    table = LabeledTable(df, ("a", "b", "c", "d", "e"))
+    want = []
+    for column in zip(*[r["features"] for r in df.where("not is_test").collect()]):
+        x = sorted(v for v in column if v is not None and v == v)
+        want.append(tuple(x[-(-i * len(x) // 32) - 1] for i in range(1, 32)) if x else ())
+    assert fit_quantile_bins(table).cuts == tuple(want)
+    assert fit_quantile_bins(table, range_values=3_000).cuts == tuple(want)
