@@ -76,18 +76,23 @@ def csv_table(spark: SparkSession, train_data: str, train_labels: str, test_data
     return LabeledTable(df, tuple(f"c{i}" for i in range(n_features)))
 
 
+#: rows that a file holds at most, nearly
+ROWS_PER_FILE = 1_000_000
+
+
 def write_csv_pair(table: LabeledTable, data_path: str, label_path: str, test: bool,
-                   data_files: int = 3, label_files: int = 5) -> None:
+                   data_files: int = 3, label_files: int = 5, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Write one side of a table in the four-file layout, as ordered folders of
-    about so many files.
+    about so many files, and one more for every ``rows_per_file`` rows.
 
     Both folders are in the order of all columns, so rows that tie are equal
     and line i of one folder belongs to line i of the other."""
     order = ["row_key", "label", "features"]
     side = table.df.where(F.col("is_test") == F.lit(test)).select(*order)
+    more = side.count() // rows_per_file
 
     def ordered(files: int) -> DataFrame:
         return side.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    ordered(data_files).select(F.array_join(F.transform("features", lambda x: x.cast("string")), ",").alias("value")) \
+    ordered(data_files + more).select(F.array_join(F.transform("features", lambda x: x.cast("string")), ",").alias("value")) \
         .write.mode("overwrite").text(data_path)
-    ordered(label_files).select(F.col("label").cast("string").alias("value")).write.mode("overwrite").text(label_path)
+    ordered(label_files + more).select(F.col("label").cast("string").alias("value")).write.mode("overwrite").text(label_path)

@@ -229,3 +229,15 @@ def test_quantile_borders_are_exact_ranks(spark):
         want.append(tuple(x[-(-i * len(x) // 32) - 1] for i in range(1, 32)) if x else ())
     assert fit_quantile_bins(table).cuts == tuple(want)
     assert fit_quantile_bins(table, range_values=3_000).cuts == tuple(want)
+
+
+def test_csv_files_grow_in_number_with_the_rows(spark, tmp_path):
+    df = spark.range(2_000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("row_key"),
+                                   F.col("id").alias("label"), F.lit(False).alias("is_test"),
+                                   F.array(F.col("id").cast("double")).alias("features"))
+    d, lab = str(tmp_path / "data"), str(tmp_path / "labels")
+    write_csv_pair(LabeledTable(df, ("a",)), d, lab, test=False, rows_per_file=100)
+    files = [sum(f.endswith(".txt") for f in os.listdir(x)) for x in (d, lab)]
+    assert files[0] >= 20 and files[1] >= 20 and files[0] != files[1]
+    rows = attach_labels(read_feature_csv(spark, d), read_labels(spark, lab)).collect()
+    assert len(rows) == 2_000 and all(float(r["label"]) == r["features"][0] for r in rows)
