@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from sf_dirs import SF_SMALL
 from evoselect.plans.generation import EvolveParams
 from evoselect.plans.search import SearchParams, run_search
 from evoselect.operators.ml_fitness import model_family

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from sf_dirs import SF_SMALL
 from evoselect.operators import tree_fitness as tf
 from evoselect.operators.binning import fit_quantile_bins
 from evoselect.operators.population import init_population
