@@ -2,6 +2,41 @@
 
 from __future__ import annotations
 
+
+
+def _vector_codes(rounds: int = 6) -> str:
+    """Product codes by plain comparison of every part with every entry."""
+    steps = ["""WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS MATERIALIZED (
+  SELECT vec_id, label, k, e[k * len(e) // 8 + 1 : (k + 1) * len(e) // 8] AS x FROM v, range(8) t(k)),
+c0 AS MATERIALIZED (
+  SELECT k, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS entry, x
+  FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 16))"""]
+    gap = "list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT p.vec_id, p.label, p.k, p.x, arg_min(c.entry, ({gap}, c.entry)) AS entry, CAST(min({gap}) AS BIGINT) AS error
+  FROM p JOIN c{r} c ON c.k = p.k GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+  SELECT k, entry, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS y FROM a{r}, range(1, 513) t(i)
+  WHERE i <= len(x) GROUP BY k, entry, i),
+c{r + 1} AS MATERIALIZED (
+  SELECT c.k, c.entry, coalesce(n.x, c.x) AS x FROM c{r} c
+  LEFT JOIN (SELECT k, entry, list(y ORDER BY i) AS x FROM m{r} GROUP BY k, entry) n USING (k, entry))""")
+    last = f"a{rounds}"
+    return ",\n".join(steps) + f""",
+d AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY k) AS code,
+             CAST(sum(error) AS BIGINT) AS error FROM {last} GROUP BY vec_id, label),
+b AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY k, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM d, b
+"""
+
+
 SQL: dict[str, str] = {
     "op4_va_search": """
 WITH v AS (
@@ -32,4 +67,22 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(size) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """,
+    "op11_fill_in_middle": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+h AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || d[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || d[9:16] AS BIGINT) % (len(u) + 1) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR CAST('0x' || d[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+              WHEN CAST('0x' || d[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+s AS (
+  SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+         array_to_string(u[greatest(a, b) + 1:], '') AS e FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || e || '<M>' || m
+              ELSE '<S>' || e || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM s
+""",
+    "op12_vector_codes": _vector_codes(),
 }
