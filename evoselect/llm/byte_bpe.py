@@ -314,22 +314,24 @@ def odd_code_points() -> dict[int, int]:
     return {c: _STAND_INS[right.get(c, "")] for c in sorted(odd)}
 
 
-def _kept(rows: DataFrame, new: str) -> list[str]:
-    return [c for c in rows.columns if c != new]
+def _kept(rows: DataFrame, new: str) -> tuple[list[str], str]:
+    """Columns besides ``new``, and a name that none of them has."""
+    kept = [c for c in rows.columns if c.lower() != new.lower()]
+    return kept, "_" * (1 + max(map(len, kept), default=0))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the ids of every whole text."""
     odd = odd_code_points()
-    kept = _kept(docs, ids_col)
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.make_valid_utf8(F.col(f"`{text_col}`")).alias("\0text"))
+    kept, source = _kept(docs, ids_col)
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.make_valid_utf8(F.col(f"`{text_col}`")).alias(source))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(load_ranks(path), Splitter(pattern, odd))
         for batch in batches:
-            for part in slices(batch, "\0text"):
+            for part in slices(batch, source):
                 each = [np.array(encoder.encode(t), np.int32) if t else np.zeros(0, np.int32)
-                        for t in part.column("\0text").to_pylist()]
+                        for t in part.column(source).to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in each])])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(each)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], [*kept, ids_col])
@@ -338,17 +340,17 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``rows`` with the bytes that the ids of each stand for."""
-    kept = _kept(rows, bytes_col)
-    source = rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids_col}`").alias("\0ids"))
+    kept, ids = _kept(rows, bytes_col)
+    coded = rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids_col}`").alias(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = load_ranks(path).words
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                out = [b"".join(map(words.__getitem__, ids or ())) for ids in part.column("\0ids").to_pylist()]
+                out = [b"".join(map(words.__getitem__, x or ())) for x in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.binary())], [*kept, bytes_col])
-    return source.mapInArrow(run, source.select(*[F.col(f"`{c}`") for c in kept]).schema.add(bytes_col, "binary"))
+    return coded.mapInArrow(run, coded.select(*[F.col(f"`{c}`") for c in kept]).schema.add(bytes_col, "binary"))
 
 
 def op13_byte_bpe(spark, sf_dir: str) -> DataFrame:
