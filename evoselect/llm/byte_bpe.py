@@ -38,6 +38,7 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +46,9 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from .packing import slices
 
-#: distinct pieces whose ids a worker remembers, and the longest of them
-REMEMBERED, REMEMBERED_CHARS = 500_000, 64
+#: distinct pieces whose ids a worker remembers at least (twice as many at most),
+#: and the longest of them
+REMEMBERED, REMEMBERED_CHARS = 250_000, 64
 #: pairs of tokens whose verdict a worker remembers
 PAIRS = 2_000_000
 BITS = 32
@@ -141,8 +143,8 @@ class PrefixTable:
     """The last token of every prefix of ``data``; -1 for the empty one."""
 
     def __init__(self, ranks: Ranks, data: bytes = b""):
-        self.ranks, self.data, self.last = ranks, b"", [-1]
-        self.append(data)
+        self.ranks, self.data, self.last = ranks, data, [-1]
+        self._extend()
 
     def _extend(self, enough=None) -> None:
         """Find the last token of every prefix that has none yet, until
@@ -228,18 +230,23 @@ class Splitter:
 
 
 class Encoder(dict):
-    """Ids of pieces, remembered."""
+    """Ids of pieces, remembered: those used since the last full round are
+    kept, the ones before are forgotten."""
 
     def __init__(self, ranks: Ranks, splitter: Splitter):
         super().__init__()
         self.ranks, self.splitter = ranks, splitter
-
-    def __missing__(self, piece: str) -> list[int]:
-        data = piece.encode()
-        whole = self.ranks.ids.get(data)
-        out = [whole] if whole is not None else PrefixTable(self.ranks, data).tokens()
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        out = self.older.get(piece)
+        if out is None:
+            data = piece.encode()
+            whole = self.ranks.ids.get(data)
+            out = (whole,) if whole is not None else tuple(PrefixTable(self.ranks, data).tokens())
         if len(piece) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = out
         return out
@@ -254,7 +261,7 @@ class EncodedText:
     def __init__(self, encoder: Encoder, text: str = ""):
         self.encoder, self.text = encoder, ""
         self.begins: list[int] = []
-        self.found: list[list[int]] = []
+        self.found: list[tuple[int, ...]] = []
         self.append(text)
 
     def ids(self) -> list[int]:
@@ -289,10 +296,25 @@ class EncodedText:
         return done
 
 
+def _read(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
 @lru_cache(maxsize=4)
 def load_ranks(path: str) -> Ranks:
-    with open(path, "rb") as f:
-        return Ranks({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
+    return Ranks(_read(path))
+
+
+@lru_cache(maxsize=4)
+def load_words(path: str) -> dict[int, bytes]:
+    return {i: w for w, i in _read(path).items()}
+
+
+@lru_cache(maxsize=4)
+def _encoder(path: str, pattern: str, odd: tuple[tuple[int, int], ...]) -> Encoder:
+    """A worker's encoder, kept from task to task."""
+    return Encoder(load_ranks(path), Splitter(pattern, dict(odd)))
 
 
 @lru_cache(maxsize=1)
@@ -322,16 +344,15 @@ def _kept(rows: DataFrame, new: str) -> tuple[list[str], str]:
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the ids of every whole text."""
-    odd = odd_code_points()
+    odd = tuple(odd_code_points().items())
     kept, source = _kept(docs, ids_col)
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.make_valid_utf8(F.col(f"`{text_col}`")).alias(source))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load_ranks(path), Splitter(pattern, odd))
+        encoder = _encoder(path, pattern, odd)
         for batch in batches:
             for part in slices(batch, source):
-                each = [np.array(encoder.encode(t), np.int32) if t else np.zeros(0, np.int32)
-                        for t in part.column(source).to_pylist()]
+                each = [np.fromiter(encoder.encode(t or ""), np.int32) for t in part.column(source).to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in each])])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(each)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], [*kept, ids_col])
@@ -344,11 +365,13 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "d
     coded = rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids_col}`").alias(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = load_ranks(path).words
+        word = load_words(path).__getitem__
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                out = [b"".join(map(words.__getitem__, x or ())) for x in part.column(ids).to_pylist()]
+                flat = part.column(ids).flatten().to_numpy().tolist()
+                ends = np.cumsum(pc.list_value_length(part.column(ids)).fill_null(0).to_numpy()).tolist()
+                out = [b"".join(map(word, flat[a:b])) for a, b in zip([0, *ends], ends)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.binary())], [*kept, bytes_col])
     return coded.mapInArrow(run, coded.select(*[F.col(f"`{c}`") for c in kept]).schema.add(bytes_col, "binary"))
 
