@@ -1,8 +1,8 @@
 """Model-based fitness through ``pyspark.ml`` (ML1, ML2, ML3, P3, P12-P14, X5).
 
 The pluggable-model contract of the reference (genome in, accuracy out) for
-models that have no histogram form, chiefly multinomial logistic
-regression (L-BFGS).  Per individual and block the selected columns are cut
+any ``pyspark.ml`` model; the search uses it for a tree on raw features, and the
+tests hold the batched tree and the batched logistic regression against it.  Per individual and block the selected columns are cut
 out with ``VectorSlicer`` (P3), a model is fit on the training rows and
 ``transform`` predicts the test rows (ML3); accuracy is the share of test
 rows whose prediction equals the label (P12, A2), averaged over blocks the

@@ -26,7 +26,7 @@ def _holdout(seed: int, key: str) -> str:
     return f"({_hex8(digest)} % 5 < 1)"
 
 
-_MATERIALIZE = {"ds", "lng"}
+_MATERIALIZE = {"ds", "lng", "sel", "said", "scores", "models"} | {f"{c}{k}" for c in "wg" for k in range(100)}
 
 
 def _with(ctes: list[tuple[str, str]], final: str) -> str:
@@ -317,6 +317,51 @@ FROM (SELECT generation, arg_max({{'id': individual_id, 'genome': genome, 'fitne
       FROM {src} WHERE fitness IS NOT NULL GROUP BY generation)"""
 
 
+# ---------------------------------------------------------------- logistic
+def logistic_ctes(s: Setup, steps: int = 40) -> list[tuple[str, str]]:
+    """The optimum of every (individual, block)'s logistic regression by plain
+    gradient steps with Barzilai-Borwein lengths -> CTE ``w{steps}`` (m, c, w)."""
+    bs, r = s.block_size, range(steps)
+    ctes = [
+        ("ds", ds_embeddings(s)),
+        ("nf", "SELECT max(len(features)) AS n FROM ds"),
+        ("pop", population_cte(s, "(SELECT n FROM nf)")),
+        ("spread", """SELECT f, stddev_samp(x) AS sd FROM (SELECT unnest(features) AS x, generate_subscripts(features, 1) - 1 AS f
+FROM ds WHERE NOT is_test) GROUP BY f"""),
+        ("sds", "SELECT list(sd ORDER BY f) AS sd FROM spread"),
+        ("models", f"""SELECT individual_id, k AS block, individual_id * 1000 + k AS m,
+       list_filter(range(k * {bs} + 1, least((k + 1) * {bs}, len(genome)) + 1), lambda i: genome[i] = 1 AND sds.sd[i] > 0) AS chosen
+FROM pop, sds, (SELECT unnest(range(0, CAST(ceil(n / {bs}) AS BIGINT))) AS k FROM nf)"""),
+        ("sel", """SELECT ds.rid, ds.row_key, ds.y, ds.is_test, mo.m, list_transform(mo.chosen, lambda i: ds.features[i] / sds.sd[i]) AS xs
+FROM ds, models mo, sds WHERE len(mo.chosen) > 0 AND ds.y IS NOT NULL"""),
+        ("classes", "SELECT DISTINCT y AS c FROM ds WHERE NOT is_test AND y IS NOT NULL"),
+        ("ntr", "SELECT count(*) AS n FROM ds WHERE NOT is_test AND y IS NOT NULL"),
+        ("w0", """SELECT m, c, list_transform(chosen, lambda i: CAST(0 AS DOUBLE)) AS w, CAST(NULL AS DOUBLE[]) AS pw,
+       CAST(NULL AS DOUBLE[]) AS pg FROM models, classes WHERE len(chosen) > 0"""),
+    ]
+    for k in r:
+        ctes += [
+            (f"p{k}", f"""SELECT m, c, xs, e / sum(e) OVER (PARTITION BY rid, m) - CAST(y = c AS INTEGER) AS d
+FROM (SELECT sel.rid, sel.y, sel.m, sel.xs, w.c, exp(list_dot_product(sel.xs, w.w)) AS e
+      FROM sel JOIN w{k} w USING (m) WHERE NOT sel.is_test)"""),
+            (f"g{k}", f"""SELECT m, c, list(g ORDER BY f) AS g FROM (
+  SELECT m, c, f, sum(d * xs[f]) / any_value(ntr.n) AS g FROM p{k}, range(1, {bs + 1}) t(f), ntr WHERE f <= len(xs) GROUP BY m, c, f)
+GROUP BY m, c"""),
+            (f"a{k}", f"""SELECT m, coalesce(CASE WHEN sum(list_dot_product(dw, dg)) > 0
+       THEN sum(list_dot_product(dw, dw)) / sum(list_dot_product(dw, dg)) END, CASE WHEN count(dw) = 0 THEN 1 ELSE 0 END) AS a
+FROM (SELECT m, list_transform(w.w, lambda x, i: x - w.pw[i]) AS dw, list_transform(g.g, lambda x, i: x - w.pg[i]) AS dg
+      FROM w{k} w JOIN g{k} g USING (m, c)) GROUP BY m""" if k else "SELECT m, 1 AS a FROM models"),
+            (f"w{k + 1}", f"""SELECT w.m, w.c, list_transform(w.w, lambda x, i: x - a.a * g.g[i]) AS w, w.w AS pw, g.g AS pg
+FROM w{k} w JOIN g{k} g USING (m, c) JOIN a{k} a USING (m)"""),
+        ]
+    ctes += [
+        ("scores", f"""SELECT sel.rid, sel.row_key, sel.y, sel.is_test, sel.m, w.c, list_dot_product(sel.xs, w.w) AS z
+FROM sel JOIN w{steps} w USING (m)"""),
+        ("said", """SELECT row_key, rid, m, y, arg_max(c, (z, -c)) AS predicted FROM scores WHERE is_test GROUP BY ALL"""),
+    ]
+    return ctes
+
+
 # ------------------------------------------------------------------ queries
 def oracle_queries() -> dict[str, str]:
     s = EMB
@@ -404,4 +449,16 @@ FROM e2_next n LEFT JOIN g3_fit f USING (individual_id)"""),
         ("nf", "SELECT max(len(features)) AS n FROM ds"),
         ("pop", population_cte(ms, "(SELECT n FROM nf)")),
     ] + fitness_ctes(ms, "pop", "g1"), "SELECT individual_id, correct, fitness FROM g1_fit")
+    q["logistic_predictions"] = _with(logistic_ctes(ms), """SELECT row_key, CAST(m // 1000 AS BIGINT) AS individual_id,
+       CAST(m % 1000 AS INTEGER) AS block, predicted FROM said""")
+    q["logistic_fitness"] = _with(logistic_ctes(ms) + [
+        ("hits", "SELECT m, sum(CAST(y = predicted AS INTEGER)) AS right_rows, count(*) AS n FROM said GROUP BY m"),
+        ("losses", """SELECT m, avg(ln(total) - own) AS loss FROM (
+  SELECT m, rid, sum(exp(z)) AS total, sum(CASE WHEN c = y THEN z END) AS own FROM scores WHERE NOT is_test GROUP BY m, rid)
+GROUP BY m"""),
+        ("each", """SELECT mo.individual_id, count(*) AS blocks, count(h.m) AS fitted, CAST(coalesce(sum(h.right_rows), 0) AS BIGINT) AS correct,
+       any_value(h.n) AS n, avg(lo.loss) AS loss FROM models mo LEFT JOIN hits h USING (m) LEFT JOIN losses lo USING (m)
+GROUP BY mo.individual_id"""),
+    ], """SELECT individual_id, correct, CASE WHEN fitted = blocks THEN CAST(correct AS DOUBLE) / CAST(blocks * n AS DOUBLE) END AS fitness,
+       round(CASE WHEN fitted = blocks THEN loss END, 9) AS train_loss FROM each""")
     return q

@@ -314,13 +314,24 @@ def q_tree_fitness_mllib(spark, sf_dir):
 
 
 def q_logistic_fitness(spark, sf_dir):
-    """ML2/ML3/ML4: multinomial logistic regression (L-BFGS) per (individual,
-    block).  No exact oracle (iterative optimiser): rows-only check."""
-    from ..operators.ml_fitness import prepare_ml, score_population_ml
+    """ML2/ML4: multinomial logistic regression of every (individual, block),
+    all fitted by the same passes over the data."""
+    from ..operators.logistic import prepare_logistic, score_population_logistic
+    t = embeddings_table(spark, sf_dir, EMB.seed)
+    pop = init_population(spark, EMB.population, t.n_features, EMB.seed)
+    scores = score_population_logistic(prepare_logistic(t, EMB.block_size), pop)
+    return scores.withColumn("train_loss", F.round("train_loss", 9))
+
+
+def q_logistic_predictions(spark, sf_dir):
+    """ML3: what the logistic model of each (individual, block) says of every test row."""
+    from ..operators import logistic as lg
     t = embeddings_table(spark, sf_dir, EMB.seed)
-    ml = prepare_ml(t)
+    data = lg.prepare_logistic(t, EMB.block_size)
     pop = init_population(spark, EMB.population, t.n_features, EMB.seed)
-    return score_population_ml(ml, pop, EMB.block_size, "logistic")
+    genomes = {r["individual_id"]: list(r["genome"]) for r in pop.collect()}     # population-sized
+    own = lg.distinct_models(genomes, data)
+    return lg.individual_predictions(data, own).select("row_key", "individual_id", "block", F.col("class").alias("predicted"))
 
 
 QUERIES = {
@@ -353,4 +364,5 @@ QUERIES = {
     "search_history": q_search_history,
     "tree_fitness_mllib": q_tree_fitness_mllib,
     "logistic_fitness": q_logistic_fitness,
+    "logistic_predictions": q_logistic_predictions,
 }

@@ -39,7 +39,8 @@ class SearchParams:
     n_bins: int = 32
     max_generations: int | None = None     # None: until the plateau
     plateau_k: int = 4
-    # X5/P17: "tree" is the batched tree; a name with d or l is one pyspark.ml fit per block
+    # X5/P17: "tree" is the batched tree, a name with l the batched logistic
+    # regression, one with d a pyspark.ml tree per (individual, block)
     model: str = "tree"
     elite_min_rows: int = 1        # D8: the reference reports a part only from 10 scored rows
     fitness_memo: bool = True      # reuse the fitness of a genome scored in an earlier generation
@@ -97,7 +98,7 @@ class TreeScorer:
 
 
 class ModelScorer:
-    """Fitness through a pyspark.ml model per (individual, block) (ML2).
+    """Fitness through a pyspark.ml model per (individual, block).
 
     The vectorised dataset is written once; only genomes reach the driver."""
 
@@ -113,6 +114,27 @@ class ModelScorer:
         return score_population_ml(self.data, population, self.block_size, self.kind, self.parallelism)
 
 
+class LogisticScorer:
+    """Batched logistic regression: all models of a generation share the passes."""
+
+    def __init__(self, table: LabeledTable, block_size: int):
+        from ..operators.logistic import prepare_logistic
+        self.data = prepare_logistic(table, block_size)
+
+    def score(self, population: DataFrame) -> DataFrame:
+        from ..operators.logistic import score_population_logistic
+        return score_population_logistic(self.data, population)
+
+
+def _scorer(table: LabeledTable, params: SearchParams, workdir: str):
+    """What scores a population, by the model's name."""
+    if params.model == "tree":
+        return TreeScorer(table, params.block_size, params.n_bins, workdir)
+    family = model_family(params.model)
+    return LogisticScorer(table, params.block_size) if family == "logistic" \
+        else ModelScorer(table, params.block_size, family)
+
+
 def _fingerprint(table: LabeledTable, params: SearchParams) -> str:
     """What a run depends on: parameters, features and the rows of the table."""
     rows = table.df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("row_key", "label", "is_test", "features")
@@ -154,8 +176,7 @@ def run_search(table: LabeledTable, params: SearchParams, workdir: str | None =
     spark = table.df.sparkSession
     workdir = workdir or scratch_path(spark, "search")
     t0 = time.time()
-    family = model_family(params.model)
-    batched = params.model == "tree"
+    model_family(params.model)          # an unknown name is refused before anything is written
     first = _start(spark, workdir, _fingerprint(table, params))
     hist_path, memo_root = f"{workdir}/history", f"{workdir}/fitness_memo"
 
@@ -171,8 +192,7 @@ def run_search(table: LabeledTable, params: SearchParams, workdir: str | None =
             return result(done, True)
         if params.max_generations is not None and done >= params.max_generations:
             return result(done, False)
-    scorer = TreeScorer(table, params.block_size, params.n_bins, workdir) if batched \
-        else ModelScorer(table, params.block_size, family)
+    scorer = _scorer(table, params, workdir)
 
     def read_scored(g: int) -> DataFrame:
         return spark.read.schema("individual_id bigint, genome array<int>, fitness double") \
