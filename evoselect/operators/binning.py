@@ -1,4 +1,5 @@
-"""Feature binning (the 32 bins of ML1): equal width, or by quantiles.
+"""Feature binning (the 32 bins of ML1): equal width, by quantiles, or by the
+strides that ``pyspark.ml``'s tree picks its thresholds with.
 
 Quantile bins take their borders from the feature's distribution, which is
 what the reference's tree does with 32 bins: border i is the training value of
@@ -34,13 +35,14 @@ class BinSpec:
     lo: tuple[float, ...]
     hi: tuple[float, ...]
     n_bins: int = 32
+    rows: int = 0                                          # training rows, nearly (for the number of tasks)
     cuts: tuple[tuple[float, ...], ...] | None = None      # quantile borders, by feature
 
 
 def feature_bounds(table: LabeledTable) -> DataFrame:
-    """(f, lo, hi) over finite values of training rows; one partial+final aggregate."""
+    """(f, lo, hi, n) over finite values of training rows; one partial+final aggregate."""
     long = table.df.where(~F.col("is_test")).select(F.posexplode("features").alias("f", "x"))
-    return long.where(~F.isnan("x") & (F.abs("x") < float("inf"))).groupBy("f").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    return long.where(~F.isnan("x") & (F.abs("x") < float("inf"))).groupBy("f").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
 
 
 def fit_bins(table: LabeledTable, n_bins: int = 32) -> BinSpec:
@@ -48,27 +50,34 @@ def fit_bins(table: LabeledTable, n_bins: int = 32) -> BinSpec:
     by_f = {r["f"]: (r["lo"], r["hi"]) for r in rows}
     lo = tuple(float(by_f.get(i, (0.0, 0.0))[0] or 0.0) for i in range(table.n_features))
     hi = tuple(float(by_f.get(i, (0.0, 0.0))[1] or 0.0) for i in range(table.n_features))
-    return BinSpec(lo, hi, n_bins)
+    return BinSpec(lo, hi, n_bins, max((r["n"] for r in rows), default=0))
 
 
 #: distinct values that a range of a feature has at most, nearly
 RANGE_VALUES = 1_000_000
 
 
-def fit_quantile_bins(table: LabeledTable, n_bins: int = 32, range_values: int = RANGE_VALUES) -> BinSpec:
+def _counted(table: LabeledTable, range_values: int) -> tuple[DataFrame, int, int]:
+    """(f, x, n, r): training values with their counts, in ranges ``r`` of at most
+    about ``range_values`` distinct values; the number of ranges; the most rows
+    that a feature has."""
     long = table.df.where(~F.col("is_test")).select(F.posexplode("features").alias("f", "x"))
+    # -0.0 and 0.0 are one value
     values = materialize(long.where(~F.isnan("x") & (F.abs("x") < float("inf")))
-                         .groupBy("f", "x").agg(F.count(F.lit(1)).alias("n")), "values")
-    most = values.groupBy("f").count().agg(F.max("count")).first()[0] or 0
-    ranges = max(1, -(-most // range_values))
-    if ranges > 1:
-        # approximate edges make ranges of like size; the borders don't depend on them
-        edges = values.groupBy("f").agg(
-            F.percentile_approx("x", [k / ranges for k in range(1, ranges)], 10 * ranges).alias("edges"))
-        values = materialize(values.join(edges, "f").select(
-            "f", "x", "n", F.size(F.filter("edges", lambda e: e < F.col("x"))).alias("r")), "ranges")
-    else:
-        values = values.withColumn("r", F.lit(0))
+                         .groupBy("f", (F.col("x") + 0.0).alias("x")).agg(F.count(F.lit(1)).alias("n")), "values")
+    size = values.groupBy("f").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).agg(F.max("v"), F.max("n")).first()
+    ranges = max(1, -(-(size[0] or 0) // range_values))
+    if ranges == 1:
+        return values.withColumn("r", F.lit(0)), 1, size[1] or 0
+    # approximate edges make ranges of like size; the borders don't depend on them
+    edges = values.groupBy("f").agg(
+        F.percentile_approx("x", [k / ranges for k in range(1, ranges)], 10 * ranges).alias("edges"))
+    return materialize(values.join(edges, "f").select(
+        "f", "x", "n", F.size(F.filter("edges", lambda e: e < F.col("x"))).alias("r")), "ranges"), ranges, size[1] or 0
+
+
+def fit_quantile_bins(table: LabeledTable, n_bins: int = 32, range_values: int = RANGE_VALUES) -> BinSpec:
+    values, _, rows = _counted(table, range_values)
 
     def borders(upto):
         """How many of the borders lie in the first ``upto`` values: rank ceil(i n / n_bins) <= upto."""
@@ -85,7 +94,63 @@ def fit_quantile_bins(table: LabeledTable, n_bins: int = 32, range_values: int =
     for r in found.select("f", "x", "times").collect():      # n_bins - 1 numbers a feature at most
         by_f.setdefault(r["f"], []).extend([r["x"]] * r["times"])
     cuts = tuple(tuple(sorted(by_f.get(i, ()))) for i in range(table.n_features))
-    return BinSpec((), (), n_bins, cuts)
+    return BinSpec((), (), n_bins, rows, cuts)
+
+
+def fit_stride_bins(table: LabeledTable, n_bins: int = 32, range_values: int = RANGE_VALUES) -> BinSpec:
+    """Borders by the rule of ``pyspark.ml``'s tree, over all training rows.
+
+    With at most ``n_bins`` distinct values every midpoint of two neighbours is a
+    border.  Otherwise the targets are the multiples of rows / n_bins.  The first
+    value whose half-way count (rows before it plus half its own) is beyond a
+    target ends that target's border, a midpoint with the value before it; a
+    value ends one border at most, so a later target moves on to the next value.
+    Hence target k ends at value max over j <= k of (first value beyond target j)
+    + k - j.  Values are numbered by range, then within it, and only the values
+    that end a border are looked up."""
+    values, _, rows = _counted(table, range_values)
+    sums = values.groupBy("f", "r").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("v"))
+    by_f, by_r = Window.partitionBy("f"), Window.partitionBy("f").orderBy("r")
+    sums = sums.select("f", "r", (F.sum("m").over(by_r) - F.col("m")).alias("rows_before"),
+                       (F.sum("v").over(by_r) - F.col("v")).alias("values_before"),
+                       F.sum("m").over(by_f).alias("total"), F.sum("v").over(by_f).alias("distinct"))
+    in_range = Window.partitionBy("f", "r").orderBy("x")
+    placed = values.join(sums, ["f", "r"]).select(
+        "f", "x", "distinct", (F.col("values_before") + F.row_number().over(in_range) - 1).alias("place"),
+        # half-way count and targets in units of rows / (2 n_bins)
+        ((F.lit(2) * (F.col("rows_before") + F.sum("n").over(in_range)) - F.col("n")) * n_bins).alias("half"),
+        (F.col("total") * 2).alias("stride"))
+    placed = materialize(placed, "placed")
+    few = F.col("distinct") <= n_bins
+    # the first value beyond each target, in its range and then of all
+    last = F.least(F.call_function("div", F.col("half") - 1, F.col("stride")), F.col("distinct") + n_bins).cast("int")
+    firsts = placed.where(~few & (F.col("place") > 0) & (F.col("half") > F.col("stride"))) \
+        .groupBy("f", last.alias("k")).agg(F.min("place").alias("place")).collect()      # about n_bins a feature
+    ends: dict[int, set[int]] = {}
+    seen: dict[int, dict[int, int]] = {}
+    for r in firsts:
+        seen.setdefault(r["f"], {})[r["k"]] = r["place"]
+    for f, beyond in seen.items():
+        at, top = -1, max(beyond)
+        reach = {}
+        for k in range(top, 0, -1):          # a value beyond target k + 1 is beyond target k
+            reach[k] = min(beyond.get(k, 1 << 62), reach.get(k + 1, 1 << 62))
+        for k in range(1, top + 1):
+            at = max(at + 1, reach[k])
+            ends.setdefault(f, set()).add(at)
+    wanted = table.df.sparkSession.createDataFrame(
+        [(f, p + d) for f, places in ends.items() for p in places for d in (-1, 0)] or [(-1, -1)], "f int, place long").distinct()
+    got = placed.where(few).select("f", "place", "x").unionByName(
+        placed.where(~few).join(wanted, ["f", "place"]).select("f", "place", "x")).collect()   # 2 n_bins a feature at most
+    by_place: dict[int, dict[int, float]] = {}
+    for r in got:
+        by_place.setdefault(r["f"], {})[r["place"]] = r["x"]
+    cuts = []
+    for f in range(table.n_features):
+        x = by_place.get(f, {})
+        places = sorted(ends.get(f, [p for p in x if p]))
+        cuts.append(tuple((x[p - 1] + x[p]) / 2 for p in places if p in x and p - 1 in x))
+    return BinSpec((), (), n_bins, rows, tuple(cuts))
 
 
 def bin_features(features: Column, spec: BinSpec) -> Column:

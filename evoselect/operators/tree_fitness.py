@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
 from ..sources.datasets import LabeledTable
-from .binning import BinSpec, binned_rows, fit_bins, fit_quantile_bins
+from .binning import BinSpec, binned_rows, fit_bins, fit_quantile_bins, fit_stride_bins
 from .histogram import child_histogram, root_histogram
 from .splits import best_splits, majority, next_train_bins
 
 
-#: tasks that the rows of one class are spread over
-CLASS_SALTS = 16
+#: tasks that the rows of one class are spread over, at least; one more for so many rows
+CLASS_SALTS, SALT_ROWS = 16, 1_000_000
 
 
 @dataclass
@@ -59,9 +59,9 @@ class TreeData:
 
 
 def prepare(table: LabeledTable, block_size: int, n_bins: int = 32,
-            workdir: str | None = "auto", quantiles: bool = False) -> TreeData:
-    """Bin the table (by equal widths, or by quantiles) and build the root
-    statistics.
+            workdir: str | None = "auto", borders: str = "widths") -> TreeData:
+    """Bin the table (``borders``: equal "widths", "quantiles", or the "strides"
+    of pyspark.ml's tree) and build the root statistics.
 
     The binned rows and root tables are written under ``workdir`` (default: a
     fresh folder below ``spark.checkpoint.dir``; ``None`` keeps them lazy) and
@@ -72,19 +72,22 @@ def prepare(table: LabeledTable, block_size: int, n_bins: int = 32,
     spark: SparkSession = table.df.sparkSession
     if workdir == "auto":
         workdir = scratch_path(spark, "tree_data")
-    spec = fit_quantile_bins(table, n_bins) if quantiles else fit_bins(table, n_bins)
+    spec = {"widths": fit_bins, "quantiles": fit_quantile_bins, "strides": fit_stride_bins}[borders](table, n_bins)
     binned = binned_rows(table, spec)
     if workdir:
         small = "tinyint" if n_bins < 127 else "int"
         # clustered by class once (salted, a class may hold most rows): every
         # histogram pass then meets few classes in a task, so its map-side
         # aggregate collapses them however many classes there are
-        binned = binned.repartition(F.col("y"), F.pmod(F.xxhash64("bins"), F.lit(CLASS_SALTS)))
+        salts = max(CLASS_SALTS, spec.rows // SALT_ROWS)
+        # by row number: equal rows spread too
+        salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts))
+        binned = binned.withColumn("_salt", salt).repartition(F.col("y"), F.col("_salt")).sortWithinPartitions("y")
         binned.select("y", "is_test", F.col("bins").cast(f"array<{small}>").alias("bins")) \
             .write.mode("overwrite").parquet(f"{workdir}/binned")
         binned = spark.read.parquet(f"{workdir}/binned") \
             .select("y", "is_test", F.col("bins").cast("array<int>").alias("bins"))
-    hist = root_histogram(binned)
+    hist = root_histogram(binned, n_bins + 1)
     if workdir:
         hist.write.mode("overwrite").parquet(f"{workdir}/root_hist")
         hist = spark.read.parquet(f"{workdir}/root_hist")
@@ -165,7 +168,7 @@ def score_population(data: TreeData, population: DataFrame,
     roots = materialize(root_choices(data, g), "roots")
     if child_best is None or node_correct is None:
         hist = materialize(child_histogram(data.binned, needed_roots(roots), data.block_size,
-                                           data.n_features), "child_hist")
+                                           data.n_features, data.root_hist, data.spec.n_bins + 1), "child_hist")
         child_best, node_correct = child_tables(data, hist)
 
     sides = roots.select("individual_id", "block", "r",

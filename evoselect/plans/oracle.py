@@ -10,7 +10,7 @@ the same bits.  DuckDB list indexes are 1-based.
 
 from __future__ import annotations
 
-from .queries import DOCS, EMB, LINEITEM, MANY, Setup
+from .queries import DOCS, EMB, LINEITEM, MANY, WIDE, Setup
 
 
 def _hex8(expr: str) -> str:
@@ -43,6 +43,12 @@ def ds_embeddings(s: Setup) -> str:
 FROM embeddings"""
 
 
+def ds_wide(s: Setup) -> str:
+    pairs = "(SELECT list([i, j] ORDER BY i, j) FROM range(1, 65) a(i), range(1, 65) b(j) WHERE i <= j)[1:760]"
+    return f"""SELECT rid, row_key, y, is_test, list_transform(p, lambda k: coalesce(features[k[1]], 0) * coalesce(features[k[2]], 0)) AS features
+FROM ({ds_embeddings(s)}), (SELECT {pairs} AS p)"""
+
+
 def ds_lineitem(s: Setup, label: str = "l_returnflag") -> str:
     key = "concat_ws(':', l_orderkey, l_linenumber)"
     # no unique key: rows equal in every column are interchangeable here
@@ -99,6 +105,25 @@ FROM vals v LEFT JOIN cuts c ON c.f = v.f AND c.cut < v.x GROUP BY ALL"""),
     ]
 
 
+def stride_ctes(ds_sql: str, s: Setup) -> list[tuple[str, str]]:
+    """``binned_ctes`` with the borders of pyspark.ml's tree: running counts of
+    the distinct values; a value ends the next border when the count half-way
+    through it is beyond the next multiple of rows / n_bins."""
+    nb = s.n_bins
+    return [c for c in binned_ctes(ds_sql, s) if c[0] in ("ds", "vals")] + [
+        ("vc", """SELECT f, x, n, row_number() OVER w AS i, lag(x) OVER w AS px, sum(n) OVER w AS upto,
+       sum(n) OVER (PARTITION BY f) AS total, count(*) OVER (PARTITION BY f) AS d
+FROM (SELECT f, x, count(*) AS n FROM vals WHERE NOT is_test AND NOT isnan(x) AND NOT isinf(x) GROUP BY f, x)
+WINDOW w AS (PARTITION BY f ORDER BY x)"""),
+        ("tgt", f"""SELECT t.k, v.f, min(v.i) AS i FROM vc v JOIN range(1, 100) t(k)
+  ON v.upto - v.n / 2.0 > t.k * (v.total / CAST({nb} AS DOUBLE)) WHERE v.i > 1 AND v.d > {nb} GROUP BY t.k, v.f"""),
+        ("ends", "SELECT f, max(i - k) OVER (PARTITION BY f ORDER BY k) + k AS i FROM tgt"),
+        ("cuts", f"""SELECT f, (px + x) / 2 AS cut FROM vc WHERE i > 1 AND d <= {nb}
+UNION ALL SELECT f, (px + x) / 2 FROM vc JOIN ends USING (f, i)"""),
+        next(c for c in quantile_ctes(ds_sql, s) if c[0] == "lng"),
+    ]
+
+
 def _counts_sql(src: str, keys: str) -> str:
     return f"""SELECT {keys},
        sum(CASE WHEN is_test THEN 0 ELSE 1 END) AS n_train,
@@ -138,8 +163,8 @@ QUALIFY row_number() OVER (PARTITION BY node, f ORDER BY score DESC, t) = 1"""),
     ]
 
 
-def root_ctes(ds_sql: str, s: Setup, quantiles: bool = False) -> list[tuple[str, str]]:
-    return (quantile_ctes if quantiles else binned_ctes)(ds_sql, s) + [
+def root_ctes(ds_sql: str, s: Setup, borders: str = "widths") -> list[tuple[str, str]]:
+    return {"widths": binned_ctes, "quantiles": quantile_ctes, "strides": stride_ctes}[borders](ds_sql, s) + [
         ("root_hist", "SELECT -1 AS node, * FROM (" + _counts_sql("lng", "f, b, y") + ")"),
         ("thr", """SELECT f, b, CAST(floor((b + lead(b) OVER (PARTITION BY f ORDER BY b)) / 2) AS INTEGER) AS t
 FROM (SELECT DISTINCT f, b FROM root_hist WHERE n_train > 0)"""),
@@ -217,8 +242,8 @@ def _genome_text(col: str) -> str:
     return f"(array_to_string({col}, '|') || '|')"
 
 
-def _fitness_report(ds_sql: str, s: Setup, quantiles: bool = False) -> str:
-    ctes = root_ctes(ds_sql, s, quantiles) + [
+def _fitness_report(ds_sql: str, s: Setup, borders: str = "widths") -> str:
+    ctes = root_ctes(ds_sql, s, borders) + [
         ("nf", "SELECT max(len(features)) AS n FROM ds"),
         ("pop", population_cte(s, "(SELECT n FROM nf)")),
     ] + fitness_ctes(s, "pop", "g1")
@@ -383,7 +408,9 @@ FROM ds""")
         ("kept", "SELECT ds.row_key, list_filter(ds.features, lambda x, i: g0.genome[i] = 1) AS kept FROM ds, g0"),
     ], """SELECT row_key, CAST(len(kept) AS INTEGER) AS n_kept, unnest(kept) AS value,
        CAST(generate_subscripts(kept, 1) - 1 AS INTEGER) AS pos FROM kept""")
-    q["tree_fitness_quantile"] = _fitness_report(ds_embeddings(s), s, quantiles=True)
+    q["tree_fitness_quantile"] = _fitness_report(ds_embeddings(s), s, "quantiles")
+    q["tree_fitness_raw"] = _fitness_report(ds_embeddings(s), s, "strides")
+    q["tree_fitness_wide"] = _fitness_report(ds_wide(WIDE), WIDE)
     q["tree_fitness_many_classes"] = _fitness_report(ds_lineitem(MANY, "l_partkey"), MANY)
     odd = ds_embeddings(s).replace("list_transform(embedding, lambda x: CAST(x AS DOUBLE))", """list_transform(embedding,
        lambda x, i: CASE WHEN (vec_id + i - 1) % 97 = 0 THEN CAST('nan' AS DOUBLE) WHEN (vec_id + i - 1) % 89 = 0 THEN CAST('inf' AS DOUBLE)
@@ -449,6 +476,25 @@ FROM e2_next n LEFT JOIN g3_fit f USING (individual_id)"""),
         ("nf", "SELECT max(len(features)) AS n FROM ds"),
         ("pop", population_cte(ms, "(SELECT n FROM nf)")),
     ] + fitness_ctes(ms, "pop", "g1"), "SELECT individual_id, correct, fitness FROM g1_fit")
+    # the leaf that a row falls into: its side of the root, then of the child's split
+    q["tree_predictions"] = _with(root_ctes(ds_embeddings(ms), ms) + [
+        ("nf", "SELECT max(len(features)) AS n FROM ds"),
+        ("pop", population_cte(ms, "(SELECT n FROM nf)")),
+    ] + fitness_ctes(ms, "pop", "g1") + [
+        ("split_class", """SELECT node, f, t, side, y FROM g1_split_cells
+QUALIFY row_number() OVER (PARTITION BY node, f, t, side ORDER BY n_train DESC, y) = 1"""),
+        ("node_class", "SELECT node, y FROM g1_node_cells QUALIFY row_number() OVER (PARTITION BY node ORDER BY n_train DESC, y) = 1"),
+        ("trees", "SELECT DISTINCT individual_id, block FROM g1_genes"),
+        ("routed", """SELECT l.rid, l.row_key, t.individual_id, t.block, CASE WHEN r.r IS NULL THEN -1
+       WHEN l.b <= r.t_r THEN 2 * r.r ELSE 2 * r.r + 1 END AS node
+FROM trees t LEFT JOIN g1_root r USING (individual_id, block)
+JOIN lng l ON l.is_test AND l.f = coalesce(r.r, 0)"""),
+        ("deep", """SELECT ro.*, c.f, c.t, CASE WHEN l.b <= c.t THEN 0 ELSE 1 END AS side
+FROM routed ro LEFT JOIN g1_chosen c ON c.individual_id = ro.individual_id AND c.block = ro.block AND c.node = ro.node
+LEFT JOIN lng l ON l.rid = ro.rid AND l.f = c.f"""),
+    ], """SELECT d.row_key, d.individual_id, CAST(d.block AS INTEGER) AS block, CASE WHEN d.f IS NULL THEN n.y ELSE s.y END AS predicted
+FROM deep d LEFT JOIN node_class n ON n.node = d.node
+LEFT JOIN split_class s ON s.node = d.node AND s.f = d.f AND s.t = d.t AND s.side = d.side""")
     q["logistic_predictions"] = _with(logistic_ctes(ms), """SELECT row_key, CAST(m // 1000 AS BIGINT) AS individual_id,
        CAST(m % 1000 AS INTEGER) AS block, predicted FROM said""")
     q["logistic_fitness"] = _with(logistic_ctes(ms) + [

@@ -25,7 +25,7 @@ from ..operators.population import scored as scored_rows
 from ..operators.selection import assign_parts, tournament_pairs, tournament_winners, with_ordinal
 from ..operators.splits import best_splits, next_train_bins, split_candidates
 from ..session import materialize, scratch_path
-from ..sources.datasets import LabeledTable, documents_table, embeddings_table, lineitem_table
+from ..sources.datasets import LabeledTable, documents_table, embeddings_table, lineitem_table, wide_table
 from .generation import EvolveParams, next_generation
 
 
@@ -52,8 +52,8 @@ def _scored(spark: SparkSession, table: LabeledTable, s: Setup) -> tuple[DataFra
     return materialize(with_fitness(pop, scores.select("individual_id", "fitness")), "scored"), data
 
 
-def _fitness_report(spark: SparkSession, table: LabeledTable, s: Setup, quantiles: bool = False) -> DataFrame:
-    data = tf.prepare(table, s.block_size, s.n_bins, quantiles=quantiles)
+def _fitness_report(spark: SparkSession, table: LabeledTable, s: Setup, borders: str = "widths") -> DataFrame:
+    data = tf.prepare(table, s.block_size, s.n_bins, borders=borders)
     pop = init_population(spark, s.population, table.n_features, s.seed)
     scores = tf.score_population(data, pop)
     return pop.drop("fitness").join(scores, "individual_id").select(
@@ -127,7 +127,29 @@ def q_tree_fitness_documents(spark, sf_dir):
 
 def q_tree_fitness_quantile(spark, sf_dir):
     """ML1 on raw features: 32 thresholds from each feature's quantiles."""
-    return _fitness_report(spark, embeddings_table(spark, sf_dir, EMB.seed), EMB, quantiles=True)
+    return _fitness_report(spark, embeddings_table(spark, sf_dir, EMB.seed), EMB, "quantiles")
+
+
+WIDE = Setup(block_size=200)
+
+
+def q_tree_fitness_wide(spark, sf_dir):
+    """ML1a-c at the reference's width: 760 features in blocks of 200, 200, 200 and 160."""
+    return _fitness_report(spark, wide_table(spark, sf_dir, WIDE.seed), WIDE)
+
+
+def q_tree_predictions(spark, sf_dir):
+    """ML3: the fitted tree of every (individual, block), and the class it gives every test row."""
+    from ..operators.trees import fitted_trees, tree_predictions
+    t = embeddings_table(spark, sf_dir, EMB.seed)
+    data = tf.prepare(t, EMB.block_size, EMB.n_bins)
+    pop = init_population(spark, EMB.population, t.n_features, EMB.seed)
+    return tree_predictions(t, data, fitted_trees(data, pop)).select("row_key", "individual_id", "block", "predicted")
+
+
+def q_tree_fitness_raw(spark, sf_dir):
+    """ML1 on raw features, with the thresholds that pyspark.ml's tree picks from them."""
+    return _fitness_report(spark, embeddings_table(spark, sf_dir, EMB.seed), EMB, "strides")
 
 
 MANY = Setup(population=16, block_size=3)
@@ -346,6 +368,9 @@ QUERIES = {
     "tree_fitness_documents": q_tree_fitness_documents,
     "tree_fitness_many_classes": q_tree_fitness_many_classes,
     "tree_fitness_quantile": q_tree_fitness_quantile,
+    "tree_fitness_raw": q_tree_fitness_raw,
+    "tree_fitness_wide": q_tree_fitness_wide,
+    "tree_predictions": q_tree_predictions,
     "feature_bins_missing": q_feature_bins_missing,
     "elites_read_back": q_elites_read_back,
     "genome_decode": q_genome_decode,

@@ -83,7 +83,8 @@ class TreeScorer:
         roots.select("r", "t_r", "block").write.mode("overwrite").parquet(f"{rnd}/roots")
         fresh = self.spark.read.parquet(f"{rnd}/roots")
         if fresh.count() > 0:                 # at most one row per feature
-            child_histogram(self.data.binned, fresh, self.data.block_size, self.data.n_features) \
+            child_histogram(self.data.binned, fresh, self.data.block_size, self.data.n_features,
+                            self.data.root_hist, self.data.spec.n_bins + 1) \
                 .write.mode("overwrite").parquet(f"{rnd}/child_hist")
             hist = self.spark.read.parquet(f"{rnd}/child_hist")
             best, nodes = tf.child_tables(self.data, hist)

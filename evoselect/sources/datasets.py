@@ -58,6 +58,19 @@ def embeddings_table(spark: SparkSession, sf_dir: str, seed: int = 42,
     return LabeledTable(df, tuple(f"e{i}" for i in range(n_features)))
 
 
+def wide_table(spark: SparkSession, sf_dir: str, seed: int = 42, n_features: int = 760,
+               width: int = 64) -> LabeledTable:
+    """``embeddings`` widened: feature k is the product of the k-th pair of
+    components (i <= j, ordered by i and j)."""
+    pairs = [(i, j) for i in range(width) for j in range(i, width)][:n_features]
+    e = embeddings_table(spark, sf_dir, seed, width)
+    left, right = F.lit([i + 1 for i, _ in pairs]), F.lit([j + 1 for _, j in pairs])
+    # a shorter vector counts as padded with zeros
+    at = lambda k: F.coalesce(F.try_element_at("features", k), F.lit(0.0))
+    wide = F.transform(left, lambda i, k: at(i) * at(F.element_at(right, k + 1)))
+    return LabeledTable(e.df.withColumn("features", wide), tuple(f"p{i}_{j}" for i, j in pairs))
+
+
 # fixed values: the numeric lineitem columns used as features, in this order
 LINEITEM_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax",
                      "l_linenumber", "ship_day")
