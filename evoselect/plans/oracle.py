@@ -10,7 +10,7 @@ the same bits.  DuckDB list indexes are 1-based.
 
 from __future__ import annotations
 
-from .queries import DOCS, EMB, LINEITEM, MANY, WIDE, Setup
+from .queries import DOCS, EMB, LINEITEM, MANY, ORDERS, WIDE, Setup
 
 
 def _hex8(expr: str) -> str:
@@ -429,6 +429,9 @@ FROM ds""")
     q["random_partition"] = _with(sc + ev, "SELECT individual_id, part_id, p, n, fitness FROM e1_ord")
     q["tournament_winners"] = _with(sc + ev, "SELECT part_id, n, p, winner_id, winner_fitness FROM e1_win")
     q["tournament_pairs"] = _with(sc + ev, "SELECT part_id, k, p1_id, p2_id FROM e1_pairs")
+    q["tournament_ranges"] = _with([("pop", """SELECT 1 AS generation, o_orderkey AS individual_id, [1] AS genome,
+       CAST(o_totalprice AS DOUBLE) AS fitness FROM orders""")] + evolve_ctes(ORDERS, "pop", 1, "e1", elitism=0),
+        "SELECT part_id, n, k, p1_id, p2_id FROM e1_pairs")
     q["uniform_crossover"] = _with(sc + ev, f"SELECT part_id, c, {_genome_text('genome')} AS genome_text FROM e1_kids")
     q["bit_mutation"] = _with(sc + ev, f"""SELECT individual_id, {_genome_text('genome')} AS genome_text
 FROM e1_off WHERE fitness IS NULL""")

@@ -22,7 +22,7 @@ from ..operators.histogram import root_histogram
 from ..operators.population import (
     init_population, legacy_fitness_line, nonempty, parse_fitness, unscored, with_fitness)
 from ..operators.population import scored as scored_rows
-from ..operators.selection import assign_parts, tournament_pairs, tournament_winners, with_ordinal
+from ..operators.selection import assign_parts, ranges_of, tournament_pairs, tournament_winners, with_ordinal
 from ..operators.splits import best_splits, next_train_bins, split_candidates
 from ..session import materialize, scratch_path
 from ..sources.datasets import LabeledTable, documents_table, embeddings_table, lineitem_table, wide_table
@@ -218,6 +218,22 @@ def q_tournament_pairs(spark, sf_dir):
     return pr.select("part_id", "k", "p1_id", "p2_id")
 
 
+ORDERS = Setup(n_parts=1)
+ORDERS_RANGE = 1000
+
+
+def q_tournament_ranges(spark, sf_dir):
+    """W1-W5 on a part longer than a task: every order is an individual of one
+    part, which is cut into ranges of a thousand."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    pop = orders.select(F.lit(1).alias("generation"), F.col("o_orderkey").alias("individual_id"),
+                        F.array(F.lit(1)).alias("genome"), F.col("o_totalprice").cast("double").alias("fitness"))
+    ranges = ranges_of(orders.count(), ORDERS.n_parts, ORDERS_RANGE)
+    ordered = with_ordinal(assign_parts(pop, ORDERS.n_parts, ORDERS.seed, ranges), ranges)
+    pairs = tournament_pairs(tournament_winners(ordered, 5, ORDERS_RANGE), 5)
+    return pairs.select("part_id", "n", "k", "p1_id", "p2_id")
+
+
 def q_uniform_crossover(spark, sf_dir):
     """Children of generation 1, before mutation."""
     pr = tournament_pairs(tournament_winners(_ordered(spark, sf_dir), 5), 5)
@@ -379,6 +395,7 @@ QUERIES = {
     "random_partition": q_random_partition,
     "tournament_winners": q_tournament_winners,
     "tournament_pairs": q_tournament_pairs,
+    "tournament_ranges": q_tournament_ranges,
     "uniform_crossover": q_uniform_crossover,
     "bit_mutation": q_bit_mutation,
     "next_generation": q_next_generation,

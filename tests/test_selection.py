@@ -147,3 +147,53 @@ def test_elites(spark):
     g = elite_global(pop).first()
     top = max(r["fitness"] for r in rows)
     assert g["best_id"] == min(r["individual_id"] for r in rows if r["fitness"] == top)
+
+
+def _many(spark, n):
+    return spark.range(n).select(
+        F.lit(1).alias("generation"), F.col("id").alias("individual_id"),
+        F.array(F.lit(1), (F.col("id") % 2).cast("int")).alias("genome"),
+        (F.pmod(F.xxhash64("id"), F.lit(50)) / 50).alias("fitness"))       # many ties
+
+
+def test_winners_do_not_depend_on_ranges(spark):
+    from evoselect.operators.selection import ranges_of
+    for n in (1, 4, 7, 2500):
+        pop = _many(spark, n)
+        ordered = with_ordinal(assign_parts(pop, 2, 9))
+        want = sorted(map(tuple, tournament_pairs(tournament_winners(ordered, 5), 5).collect()))
+        for rows in (2, 7, 300):
+            ranges = ranges_of(n, 2, rows)
+            cut = with_ordinal(assign_parts(pop, 2, 9, ranges), ranges)
+            assert sorted(map(tuple, cut.select("part_id", "individual_id", "p", "n").collect())) == \
+                sorted(map(tuple, ordered.select("part_id", "individual_id", "p", "n").collect()))
+            assert sorted(map(tuple, tournament_pairs(tournament_winners(cut, 5, rows), 5).collect())) == want, (n, rows)
+
+
+def test_a_long_part_runs_in_many_tasks(spark):
+    from evoselect.operators.selection import ranges_of
+    rows, size = 200_000, 10_000
+    ranges = ranges_of(rows, 1, size)
+    assert ranges == 20
+    parted = assign_parts(_many(spark, rows), 1, 9, ranges)
+    ordered = with_ordinal(parted, ranges)
+    sizes = [r["count"] for r in parted.groupBy("range_id").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 1.1 * size
+    won = tournament_winners(ordered, 5, size).groupBy("range_id").count().collect()
+    assert [r["count"] for r in won] == [size] * 20
+
+
+def test_refill_numbers_are_those_of_the_old_ids(spark, monkeypatch):
+    from evoselect.plans import generation
+    monkeypatch.setattr(generation, "ID_RANGE", 10)
+    pop = _many(spark, 95).withColumn("fitness", F.when(F.col("individual_id") % 3 > 0, F.col("fitness")))
+    new = generation.refill(pop, 1, EvolveParams(n_parts=4), 95, 8).collect()
+    assert sorted(r["individual_id"] for r in new) == list(range(380, 380 + 32))
+
+
+def test_next_generation_does_not_depend_on_ranges(spark):
+    pop = _many(spark, 300).withColumn("fitness", F.when(F.col("individual_id") % 10 > 0, F.col("fitness")))
+    got = [sorted((r["individual_id"], tuple(r["genome"]), r["fitness"]) for r in
+                  next_generation(pop, 1, EvolveParams(n_parts=3, mutation_rate=0.1, range_rows=rows)).collect())
+           for rows in (100_000, 20)]
+    assert got[0] == got[1] and len(got[0]) == 300
