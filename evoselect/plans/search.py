@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from ..functions.genome import genome_text
 from ..operators import tree_fitness as tf
 from ..operators.elite import elite_global, elite_per_part, stop_generation
-from ..operators.selection import assign_parts, with_ordinal
+from ..operators.selection import assign_parts, ranges_of, with_ordinal
 from ..operators.histogram import child_histogram
 from ..operators.ml_fitness import model_family
 from ..operators.population import init_population, with_fitness
 from ..session import scratch_path
 from ..sources.datasets import LabeledTable
-from ..sources.population import read_table, write_part
+from ..sources.population import committed, read_table, write_part
 from .generation import EvolveParams, next_generation
 
 
@@ -160,8 +160,9 @@ def _start(spark: SparkSession, workdir: str, mark: str) -> int:
         return 1
     if spark.read.text(run, wholetext=True).first()[0].strip() != mark:
         raise ValueError(f"{workdir} belongs to a run with other data or parameters")
+    whole = committed(spark, f"{workdir}/history")
     g = 1
-    while _exists(spark, f"{workdir}/history/generation={g}/_SUCCESS"):
+    while g in whole:
         g += 1
     return g
 
@@ -171,9 +172,9 @@ def run_search(table: LabeledTable, params: SearchParams, workdir: str | None =
     """Run, or go on with, the search in ``workdir`` until the plateau (or
     ``max_generations``, if given).
 
-    Every table holds one partition per generation, replaced when it is
-    written; the history row comes last, so a generation counts only when it
-    is whole, and a run that was stopped goes on to the same history."""
+    A generation of a table is there as a whole or not at all; the history row
+    comes last, so a generation counts only when all its tables are whole, and
+    a run that was stopped goes on to the same history."""
     spark = table.df.sparkSession
     workdir = workdir or scratch_path(spark, "search")
     t0 = time.time()
@@ -196,9 +197,8 @@ def run_search(table: LabeledTable, params: SearchParams, workdir: str | None =
     scorer = _scorer(table, params, workdir)
 
     def read_scored(g: int) -> DataFrame:
-        return spark.read.schema("individual_id bigint, genome array<int>, fitness double") \
-            .parquet(f"{workdir}/population/generation={g}") \
-            .select(F.lit(g).alias("generation"), "individual_id", "genome", "fitness")
+        return read_table(spark, f"{workdir}/population", g).select(
+            F.lit(g).alias("generation"), "individual_id", "genome", "fitness")
 
     g = first
     while True:
@@ -206,10 +206,9 @@ def run_search(table: LabeledTable, params: SearchParams, workdir: str | None =
             pop = init_population(spark, params.population_size, table.n_features, params.evolve.seed)
         else:
             # offspring are read by several jobs of the round: write once
-            nxt = f"{workdir}/offspring/generation={g}"
-            next_generation(read_scored(g - 1), g - 1, params.evolve).drop("generation").write.mode("overwrite").parquet(nxt)
-            pop = spark.read.schema("individual_id bigint, genome array<int>, fitness double") \
-                .parquet(nxt).select(F.lit(g).alias("generation"), "individual_id", "genome", "fitness")
+            write_part(next_generation(read_scored(g - 1), g - 1, params.evolve), f"{workdir}/offspring", g)
+            pop = read_table(spark, f"{workdir}/offspring", g).select(
+                F.lit(g).alias("generation"), "individual_id", "genome", "fitness")
         todo = pop.where(F.col("fitness").isNull())
         known = None
         if params.fitness_memo and g > 1:
@@ -232,7 +231,8 @@ def run_search(table: LabeledTable, params: SearchParams, workdir: str | None =
                        .select(F.md5(genome_text(F.col("genome"))).alias("gkey"), "fitness"), memo_root, g)
         # Per-part elites of the parts this generation is bred in; S8/A5:
         # the global best is the final step of the same two-phase argmax
-        parted = with_ordinal(assign_parts(scored, params.evolve.n_parts, params.evolve.seed))
+        ranges = ranges_of(params.population_size, params.evolve.n_parts, params.evolve.range_rows)
+        parted = with_ordinal(assign_parts(scored, params.evolve.n_parts, params.evolve.seed, ranges), ranges)
         write_part(elite_per_part(parted, params.elite_min_rows), f"{workdir}/elites", g)
         write_part(elite_global(scored), hist_path, g)
         if log:

@@ -50,7 +50,7 @@ def test_a_stopped_run_goes_on_to_the_same_history(spark):
     whole = run_search(table, params(4))
     d = scratch_path(spark, "stopped")
     run_search(table, params(2), d)
-    spark.read.parquet(f"{d}/history/generation=2").write.mode("overwrite").parquet(f"{d}/elites/generation=3")  # half a generation
+    read_table(spark, f"{d}/history", 2).write.parquet(f"{d}/elites/data/generation=3/attempt=lost")  # half a generation
     again = run_search(table, params(4), d)
     assert _rows(again.history) == _rows(whole.history) and again.generations == 4
     third = run_search(table, params(4), d)
@@ -64,9 +64,9 @@ def test_population_never_shrinks(spark):
     params = SearchParams(population_size=40, block_size=3, max_generations=3, plateau_k=9,
                           evolve=EvolveParams(n_parts=4, seed=2, mutation_rate=0.0, elitism=1))
     res = run_search(table, params)
-    sizes = [spark.read.parquet(f"{res.workdir}/population/generation={g}").count() for g in (1, 2, 3)]
+    sizes = [read_table(spark, f"{res.workdir}/population", g).count() for g in (1, 2, 3)]
     assert sizes == [40, 40, 40]
-    lost = spark.read.parquet(f"{res.workdir}/population/generation=1").where("fitness IS NULL").count()
+    lost = read_table(spark, f"{res.workdir}/population", 1).where("fitness IS NULL").count()
     assert lost > 0        # some could not be scored; others took their places
 
 
@@ -83,7 +83,7 @@ def test_search_with_logistic_model_and_elites(spark):
     res = run_search(table, params)
     hist = res.history.collect()
     assert len(hist) == 2 and hist[1]["best_fitness"] >= hist[0]["best_fitness"]
-    elites = spark.read.parquet(f"{res.workdir}/elites").collect()
+    elites = read_table(spark, f"{res.workdir}/elites").collect()
     assert sorted({r["generation"] for r in elites}) == [1, 2]
     for h in hist:     # the global best is the best of the per-part elites
         mine = [e["fitness"] for e in elites if e["generation"] == h["generation"]]
@@ -104,3 +104,40 @@ def test_fitness_memo_does_not_change_results(spark):
             pops.append(sorted((r["individual_id"], tuple(r["genome"]), r["fitness"]) for r in pop.collect()))
         runs.append((pops, [tuple(r) for r in res.history.select("generation", "best_id", "best_fitness").collect()]))
     assert runs[0] == runs[1]
+
+
+def test_readers_see_whole_generations_only(spark):
+    """A reader loops while a generation is replaced, and while writes fail."""
+    import threading
+    from evoselect.session import scratch_path
+    from evoselect.sources.population import committed, write_part
+    path = scratch_path(spark, "table")
+    with pytest.raises(FileNotFoundError):
+        read_table(spark, path)
+    rows = spark.range(2000).repartition(8)
+    write_part(rows.withColumn("mark", F.lit(0)), path, 1)
+    write_part(rows.limit(5).withColumn("mark", F.lit(0)), path, 2)
+    seen, done, wrong = set(), threading.Event(), []
+
+    def reader():
+        while not done.is_set():
+            try:
+                got = [(r["mark"], r["count"]) for r in read_table(spark, path, 1).groupBy("mark").count().collect()]
+            except Exception as e:        # a missing or half-written folder
+                wrong.append(e)
+                return
+            seen.update(m for m, _ in got)
+            if [n for _, n in got] != [2000]:
+                wrong.append(got)
+    thread = threading.Thread(target=reader)
+    thread.start()
+    for k in range(1, 7):
+        write_part(rows.withColumn("mark", F.lit(k)), path, 1)
+        with pytest.raises(Exception):
+            write_part(rows.withColumn("mark", F.raise_error(F.lit("stopped")).cast("int")), path, 1)
+    done.set()
+    thread.join()
+    assert not wrong and seen and seen <= set(range(7))
+    assert read_table(spark, path, 1).select("mark").distinct().collect() == [(6,)]
+    assert sorted(committed(spark, path)) == [1, 2]
+    assert read_table(spark, path).groupBy("generation").count().orderBy("generation").collect() == [(1, 2000), (2, 5)]
