@@ -6,21 +6,19 @@
    corpus) goes to the driver.  A *configuration* is a multiset of lengths
    that fits into one sequence.  The covering linear program "fewest
    configurations that cover the histogram" is solved by multiplicative
-   weights in whole uses: each length has a price that falls as its pieces are
-   covered, a knapsack dynamic program prices all configurations, and those
-   within ``NEAR`` of the highest price are used, each for a part of the
-   pieces of its scarcest length, until every length is covered.
-3. Full configurations are whole sequences; the pieces of the others are
-   packed best fit, longest first, also on counts of lengths.  If best fit
-   alone needs fewer sequences, its plan is taken.
+   weights: a knapsack dynamic program finds the configuration of the highest
+   price, whose use lowers the prices of its lengths.  Prices give a lower
+   bound of any packing, and the rounds end at a stated gap to it.
+3. The uses are rounded down, then up where pieces are left; what the rounded
+   uses don't hold is packed best fit, longest first, also on counts of lengths.
 4. Pieces of one length are interchangeable, so a piece's number among those
    of its length says which sequence and offset it gets.  The numbers are made
    from counts of (length, salt), so a length that a third of all pieces has
    is no single task's work.
 
-A length is the scarcest of at most about 8 uses and the logarithm of its
-count, so the plan sent to the tasks has some ten patterns a length, of at most
-sqrt(2 * capacity) different lengths each, whatever the number of documents.
+The plan sent to the tasks has one pattern for each configuration used, at
+most a few thousand, of at most sqrt(2 * capacity) different lengths each,
+whatever the number of documents.
 
 Null text counts as empty, and an empty text is one piece, ``end_id`` alone.
 Repeated rows are packed each; null ids are kept; an empty table gives an
@@ -31,10 +29,12 @@ from __future__ import annotations
 
 import bisect
 import gc
+import math
 import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,10 @@ from .words import hash_words, split_words
 CAPACITY = 4096
 END_ID = 1
 #: part of the highest price that a configuration used in the same round may lack
-NEAR = 0.02
+NEAR = 0.01
+#: the program's gap to its bound, the first step of a length's share, and steps of the
+#: knapsack (one for each length and round) after which it ends
+GAP, STEP, WORK = 0.001, 0.4, 60_000
 #: text bytes that a task holds in words at once
 SLICE_BYTES = 4 << 20
 #: distinct words whose ids a worker remembers
@@ -201,27 +204,27 @@ def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
 
 # ------------------------------------------------------------------ the plan
-def _knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(highest total price within each room, a length to begin with there).
-    Equal prices go to the larger length."""
+def _knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(highest total price within each room, a length to begin with there), by
+    dynamic programming over the lengths: 1, 2, 4, ... more copies of each."""
     best = np.zeros(capacity + 1)
     pick = np.zeros(capacity + 1, np.int64)
-    falling = price[::-1].copy()
-    for room in range(1, capacity + 1):
-        total = best[:room] + falling[capacity - room:capacity]
-        k = int(total.argmax())
-        if total[k] > best[room - 1]:
-            best[room], pick[room] = total[k], room - k
-        else:
-            best[room], pick[room] = best[room - 1], pick[room - 1]
+    for length, value in zip(lengths.tolist(), price.tolist()):
+        copies = 1
+        while copies * length <= capacity:
+            total = best[:capacity + 1 - copies * length] + copies * value
+            room = np.flatnonzero(total > best[copies * length:] * (1 + 1e-12))
+            best[room + copies * length] = total[room]
+            pick[room + copies * length] = length
+            copies *= 2
     return best, pick
 
 
 def best_configuration(price: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack with repetition by dynamic programming: the multiset of
-    lengths within ``capacity`` of the highest total price.  ``price[l]`` is
-    the price of length l, -inf if there is none; ``price[0]`` is unused."""
-    _, pick = _knapsack(price, capacity)
+    """The multiset of lengths within ``capacity`` of the highest total price.
+    ``price[l]`` is the price of length l, -inf if there is none; ``price[0]`` is unused."""
+    lengths = np.flatnonzero(price[1:] > 0) + 1
+    _, pick = _knapsack(lengths, price[lengths], capacity)
     out: dict[int, int] = {}
     room = capacity
     while length := int(pick[room]):
@@ -230,63 +233,114 @@ def best_configuration(price: np.ndarray, capacity: int) -> dict[int, int]:
     return out
 
 
-def _configuration_with(length: int, price: np.ndarray, best: np.ndarray, pick: np.ndarray, capacity: int,
-                        free: np.ndarray) -> dict[int, int]:
-    """A configuration of a high price with ``length`` in it, and with no more
-    copies of a length than ``free`` has."""
+@dataclass
+class Program:
+    """A solution of the covering program: uses of configurations, their sum
+    when every piece is covered, and a lower bound of any solution's."""
+    uses: dict[tuple[tuple[int, int], ...], float]
+    value: float
+    bound: float
+    rounds: int
+
+
+def solve_configurations(demand: np.ndarray, capacity: int, gap: float = GAP, rounds: int | None = None) -> Program:
+    """The fractional covering program "fewest configurations that cover
+    ``demand``", by multiplicative weights.
+
+    A length's price is its size times ``exp(-share)``, where its share is how
+    often its pieces are covered so far: prices multiply up and down as the
+    configurations used cover more or less of a length than of the others.  A
+    round prices all configurations by one knapsack; prices divided by the
+    highest total are feasible for the dual program, which gives the bound.  The
+    best configuration is used, and others within ``NEAR`` of it that need
+    lengths the round has not used up; a round raises no share by more than its
+    step, which falls with the square root of the rounds (the width of the
+    program, bounded).  All uses divided by the smallest share cover
+    everything; the rounds end when that is within ``gap`` of the bound or of the
+    next whole number, or after ``WORK`` steps of the knapsack."""
+    lengths = np.flatnonzero(demand)
+    need = demand[lengths].astype(float)
+    number = np.zeros(capacity + 1, np.int64)
+    number[lengths] = np.arange(len(lengths))
+    covered, prices = np.zeros(len(lengths)), np.zeros(len(lengths))
+    uses: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
+    total = bound = 0.0
+    most = max(20, WORK // max(1, len(lengths))) if rounds is None else rounds
+    done, value = 0, float("inf")
+    while len(lengths) and done < most and value > max((1 + gap) * bound, math.ceil(bound)):
+        done += 1
+        share = covered / need
+        price = lengths * np.exp(share.min() - share)
+        best, pick = _knapsack(lengths, price, capacity)
+        top = best[capacity]
+        prices += price / top
+        bound = max(bound, need @ price / top)
+        if done % 16 == 0:                      # the mean of all prices is feasible too, and steadier
+            bound = max(bound, need @ prices / _knapsack(lengths, prices, capacity)[0][capacity])
+        left = STEP / math.sqrt(1 + done / 8) * need
+        value_with = price + best[capacity - lengths]
+        fresh = np.ones(capacity + 1, bool)     # lengths that the round may still use
+        for k in np.argsort(-value_with, kind="stable").tolist():
+            if value_with[k] < (1 - NEAR) * top:
+                break
+            if not fresh[lengths[k]]:
+                continue
+            config = _with_length(int(lengths[k]), lengths, price, best, pick, capacity, fresh)
+            held = number[list(config)]
+            copies = np.fromiter(config.values(), float)
+            if price[held] @ copies < (1 - NEAR) * top:
+                continue
+            times = float((left[held] / copies).min())
+            left[held] -= copies * times
+            fresh[lengths[held[left[held] <= 1e-9 * need[held]]]] = False
+            covered[held] += copies * times
+            uses[tuple(sorted(config.items()))] += times
+            total += times
+        least = (covered / need).min()
+        value = total / least if least > 0 else float("inf")
+    scale = (covered / need).min() if done else 1.0
+    return Program({c: n / scale if scale > 0 else n for c, n in uses.items()}, value if done else 0.0, bound, done)
+
+
+def _with_length(length: int, lengths: np.ndarray, price: np.ndarray, best: np.ndarray, pick: np.ndarray,
+                 capacity: int, fresh: np.ndarray) -> dict[int, int]:
+    """A configuration of a high price with ``length`` in it, of fresh lengths."""
     out: dict[int, int] = {}
     room = capacity
     while length:
         out[length] = out.get(length, 0) + 1
         room -= length
         length = int(pick[room])
-        if length and free[length] <= out.get(length, 0):
-            total = np.where(free[1:room + 1] > 0, best[room - 1::-1][:room] + price[1:room + 1], -np.inf)
-            for x, n in out.items():
-                if x <= room and free[x] <= n:
-                    total[x - 1] = -np.inf
-            k = room - 1 - int(total[::-1].argmax())
-            length = k + 1 if total[k] > -np.inf else 0
+        if length and not fresh[length]:
+            fit = lengths[:np.searchsorted(lengths, room, "right")]
+            worth = np.where(fresh[fit], price[:len(fit)] + best[room - fit], -1.0)
+            k = int(worth.argmax())
+            length = int(fit[k]) if worth[k] >= 0 else 0
     return out
 
 
-def solve_configurations(demand: np.ndarray, capacity: int, rounds: int | None = None,
-                         rate: float = 0.5, step: float = 0.25, near: float = NEAR) -> list[tuple[dict[int, int], int]]:
-    """Configurations and how often each is used, by multiplicative weights.
-    ``demand[l]``: pieces of length l.  Prices start at l / capacity, which is
-    what a length costs at least, and fall as ``exp(-rate * covered)``.  The
-    uses cover every piece once, unless ``rounds`` ends them before."""
+def round_uses(program: Program, demand: np.ndarray, capacity: int, waste: int, part: float = 1.0) -> dict[tuple, int]:
+    """Whole uses of configurations with at most ``waste`` tokens free: first
+    the uses (or ``part`` of each) rounded down, then one more of those with the
+    largest fractions, as long as pieces are left for them."""
     free = demand.astype(np.int64).copy()
-    need = np.maximum(demand, 1).astype(float)
-    size = np.arange(capacity + 1) / capacity
-
-    def price_of(lengths):
-        return size[lengths] * np.exp(-rate * (1 - free[lengths] / need[lengths]))
-
-    used: list[tuple[dict[int, int], int]] = []
-    done = 0
-    while free.any() and (rounds is None or done < rounds):
-        done += 1
-        lengths = np.flatnonzero(free)[::-1]
-        price = np.full(capacity + 1, -np.inf)
-        price[lengths] = price_of(lengths)
-        best, pick = _knapsack(price, capacity)
-        lengths = lengths[np.argsort(-(price[lengths] + best[capacity - lengths]), kind="stable")]
-        enough = (1 - near) * best[capacity]
-        for k, length in enumerate(lengths.tolist()):
-            if k and price[length] + best[capacity - length] < enough:
-                break
-            if not free[length]:
-                continue
-            config = _configuration_with(length, price, best, pick, capacity, free)
-            held, copies = np.array(list(config)), np.array(list(config.values()))
-            # prices have fallen since the round began; its first use is always made
-            if k and price_of(held) @ copies < enough:
-                continue
-            times = min(int(np.maximum(1, step * need[held] / copies).min()), int((free[held] // copies).min()))
-            free[held] -= copies * times
-            used.append((config, times))
-    return used
+    whole: dict[tuple, int] = {}
+    some = [(c, n * part) for c, n in program.uses.items() if capacity - sum(x * k for x, k in c) <= waste]
+    some.sort(key=lambda x: (-x[1], x[0]))
+    parts = []
+    for config, n in some:
+        times = min([math.floor(n + 1e-6), *(free[x] // k for x, k in config)])
+        parts.append((math.floor(n) - n, config))
+        if times > 0:
+            whole[config] = int(times)
+            for x, k in config:
+                free[x] -= k * times
+    for _, config in sorted(parts):
+        if all(free[x] >= k for x, k in config):
+            whole[config] = whole.get(config, 0) + 1
+            for x, k in config:
+                free[x] -= k
+    return whole
 
 
 def _best_fit(demand: np.ndarray, capacity: int, whole: dict[tuple, int]) -> list[tuple[dict[int, int], int]]:
@@ -329,19 +383,37 @@ def _best_fit(demand: np.ndarray, capacity: int, whole: dict[tuple, int]) -> lis
 
 def pack_histogram(demand: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> list[tuple[dict[int, int], int]]:
     """Patterns (lengths with their numbers) and whole numbers of sequences
-    that hold exactly the pieces of ``demand``; never more sequences than best
-    fit alone."""
+    that hold exactly the pieces of ``demand``."""
+    return plan_histogram(demand, capacity, rounds)[0]
+
+
+def plan_histogram(demand: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) \
+        -> tuple[list[tuple[dict[int, int], int]], dict]:
+    """The same, and figures: bound, value and rounds of the program, sequences
+    in all, and the share of tokens in sequences that the program placed (of
+    those in pieces shorter than a sequence)."""
     left = demand.astype(np.int64).copy()
     patterns: list[tuple[dict[int, int], int]] = []
     if left[capacity]:
         patterns.append(({capacity: 1}, int(left[capacity])))
         left[capacity] = 0
-    whole: dict[tuple, int] = defaultdict(int)
-    for config, times in solve_configurations(left, capacity, rounds):
-        if sum(length * k for length, k in config.items()) == capacity:
-            whole[tuple(sorted(config.items()))] += times
-    ways = [_best_fit(left, capacity, whole), _best_fit(left, capacity, {})]
-    return patterns + min(ways, key=lambda way: sum(n for _, n in way))
+    program = solve_configurations(left, capacity, rounds=rounds)
+    # all roundings keep uses of the program; they differ in the free room that these
+    # may leave and in how much is left to the packing of the rest
+    ways = []
+    steady = program.bound / program.value if program.value else 1.0     # 1 at the optimum
+    for waste, part in ((capacity, 1.0), (capacity, steady), (0, steady), (capacity, steady / 2),
+                        *((0, steady / k) for k in (2, 4, 8, 16, 32))):
+        whole = round_uses(program, left, capacity, waste, part)
+        way = _best_fit(left, capacity, whole)
+        ways.append((sum(n for _, n in way), -len(ways), way, whole))
+        if ways[-1][0] <= math.ceil(program.bound - 1e-6):
+            break
+    count, _, way, whole = min(ways, key=lambda w: w[:2])
+    tokens = int(left @ np.arange(capacity + 1))
+    placed = sum(n * x * k for config, n in whole.items() for x, k in config)
+    return patterns + way, {"bound": program.bound, "value": program.value, "rounds": program.rounds,
+                            "sequences": count, "placed": placed / tokens if tokens else 1.0}
 
 
 def _slots(patterns: list[tuple[dict[int, int], int]]) -> np.ndarray:

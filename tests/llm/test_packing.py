@@ -1,11 +1,13 @@
 import collections
+import functools
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
-from evoselect.llm.packing import best_configuration, pack_documents, pack_histogram, solve_configurations
+from evoselect.llm.packing import (
+    _best_fit, best_configuration, pack_documents, pack_histogram, plan_histogram, solve_configurations)
 from helpers import DOCS, awkward_docs
 from tokenizers import Tokenizer
 
@@ -71,28 +73,69 @@ def test_histograms_are_packed_whole_and_tight():
         assert n <= max(-(-int((demand * np.arange(65)).sum()) // 64), big) * 1.1 + 2
 
 
-def test_the_program_covers_every_length():
-    cap = 512
+def fewest(pieces, cap):
+    """The least number of sequences, by trying every way (small cases)."""
+    pieces = tuple(sorted(pieces, reverse=True))
+
+    @functools.lru_cache(None)
+    def can(left, rooms):
+        if not left:
+            return True
+        x, rest = left[0], left[1:]
+        return any(can(rest, tuple(sorted((*rooms[:k], r - x, *rooms[k + 1:])))) for k, r in enumerate(rooms)
+                   if r >= x and (k == 0 or rooms[k - 1] != r))
+    n = -(-sum(pieces) // cap)
+    while not can(pieces, (cap,) * n):
+        n += 1
+    return n
+
+
+def test_small_histograms_need_the_optimum():
+    rng = random.Random(4)
+    over = 0
+    for _ in range(40):
+        cap = rng.randint(20, 40)
+        pieces = [rng.randint(cap // 5, cap - 1) for _ in range(rng.randint(1, 12))]
+        demand = np.bincount(pieces, minlength=cap + 1)
+        plan, figures = plan_histogram(demand, cap)
+        best = fewest(pieces, cap)
+        assert figures["bound"] <= best + 1e-6
+        assert sum(n for _, n in plan) == figures["sequences"]
+        over += figures["sequences"] - best
+    assert over <= 1
+
+
+def test_the_program_beats_best_fit():
+    """Two of its sequences in three hold three lengths, and none is full."""
+    demand = np.zeros(4097, np.int64)
+    demand[[1366, 2000, 2100, 700]] = 300, 300, 300, 200
+    plan, figures = plan_histogram(demand)
+    assert figures["sequences"] == sum(n for _, n in plan) == 484
+    assert 483 < figures["bound"] <= figures["value"] <= 484 + 1e-9 and figures["placed"] > 0.9
+    assert sum(n for _, n in _best_fit(demand, 4096, {})) == 490
+
+
+def test_the_fractional_solution_covers_everything():
+    cap = 64
     rng = np.random.default_rng(5)
-    demand = np.zeros(cap + 1, np.int64)
-    demand[1:cap] = rng.integers(1, 5, cap - 1)
-    used = np.zeros(cap + 1, np.int64)
-    full = 0
-    for config, times in solve_configurations(demand, cap):
-        tokens = sum(k * c for k, c in config.items())
-        assert times >= 1 and tokens <= cap
-        full += times * tokens * (tokens == cap)
-        for k, c in config.items():
-            used[k] += c * times
-    assert (used == demand).all()
-    total = int(demand @ np.arange(cap + 1))
-    assert full > total / 2
-    assert sum(n for _, n in pack_histogram(demand, cap)) <= sum(n for _, n in pack_histogram(demand, cap, 0))
-
-
-def test_equal_prices_go_to_large_lengths():
+    for _ in range(5):
+        demand = np.zeros(cap + 1, np.int64)
+        demand[rng.choice(np.arange(1, cap), 6, replace=False)] = rng.integers(1, 50, 6)
+        program = solve_configurations(demand, cap)
+        got = np.zeros(cap + 1)
+        for config, n in program.uses.items():
+            assert sum(x * k for x, k in config) <= cap and n >= 0
+            for x, k in config:
+                got[x] += n * k
+        assert (got >= demand - 1e-6).all()
+        assert sum(program.uses.values()) == pytest.approx(program.value)
+        assert program.bound >= demand @ np.arange(cap + 1) / cap - 1e-6
+        assert program.value <= max(1.005 * program.bound, np.ceil(program.bound)) + 1e-9
+
+
+def test_prices_by_size_fill_a_sequence():
     price = np.arange(65) / 64
-    assert best_configuration(price, 64) == {64: 1}
+    assert sum(k * n for k, n in best_configuration(price, 64).items()) == 64
 
 
 def test_empty_table(spark):
