@@ -85,4 +85,37 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT)
               ELSE '<S>' || e || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM s
 """,
     "op12_vector_codes": _vector_codes(),
+    "op1_substring_dedup": r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS u FROM documents),
+w AS MATERIALIZED (
+  SELECT rid, i, u[i] AS word, CASE WHEN i + 34 <= len(u) THEN md5(array_to_string(u[i:i + 34], ' ')) END AS h
+  FROM d, unnest(range(1, len(u) + 1)) t(i)),
+r AS (SELECT h FROM w WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+c AS (
+  SELECT w.rid, w.i, w.word, max(CASE WHEN r.h IS NOT NULL THEN 1 ELSE 0 END)
+         OVER (PARTITION BY w.rid ORDER BY w.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM w LEFT JOIN r ON r.h = w.h),
+k AS (SELECT rid, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY rid)
+SELECT doc_id, CAST(len(u) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+""",
+    "op10_jaccard_join": r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS u FROM documents),
+s AS MATERIALIZED (
+  SELECT rid, doc_id, list_distinct(CASE WHEN len(u) >= 5
+         THEN list_transform(range(1, len(u) - 3), lambda i: md5(array_to_string(u[i:i + 4], ' ')))
+         WHEN len(u) > 0 THEN [md5(array_to_string(u, ' '))] ELSE [] END) AS k FROM d),
+t AS MATERIALIZED (SELECT rid, len(k) AS n, unnest(k) AS h FROM s),
+links AS MATERIALIZED (
+  SELECT a.rid AS x, b.rid AS y FROM t a JOIN t b ON a.h = b.h AND a.rid <> b.rid
+  GROUP BY a.rid, b.rid, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT rid AS x, rid AS y FROM s
+  UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT s.doc_id, CAST(len(s.k) AS BIGINT) AS n_shingles, m.c AS component_id
+FROM s JOIN (SELECT r.x, min(o.doc_id) AS c FROM reach r JOIN s o ON o.rid = r.y GROUP BY r.x) m ON m.x = s.rid
+""",
 }
