@@ -401,6 +401,13 @@ def oracle_queries() -> dict[str, str]:
        CAST(y AS DOUBLE) AS label, CAST(len(features) AS INTEGER) AS n_values,
        features[1] AS first_value, features[-1] AS last_value
 FROM ds""")
+    q["csv_rejects"] = """WITH e AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_idx, vec_id, len(embedding) AS n, max(len(embedding)) OVER () AS width FROM embeddings),
+t AS (SELECT *, n - CASE WHEN vec_id % 50 = 7 THEN 1 ELSE 0 END AS kept FROM e),
+f AS (SELECT t.*, i FROM t, range(1, 4097) r(i) WHERE i <= kept)
+SELECT row_idx, CAST(i AS INTEGER) AS field, 'number' AS reason, CASE WHEN (vec_id + i - 1) % 97 = 0 THEN 'n/a' ELSE '' END AS value
+FROM f WHERE kept = width AND ((vec_id + i - 1) % 97 = 0 OR (vec_id + i - 1) % 89 = 0)
+UNION ALL SELECT row_idx, NULL, 'fields', CAST(kept AS VARCHAR) FROM t WHERE kept <> width"""
     q["masked_projection"] = _with([
         ("ds", ds_embeddings(s)),
         ("nf", "SELECT max(len(features)) AS n FROM ds"),

@@ -194,6 +194,21 @@ def q_csv_label_attach(spark, sf_dir):
         F.element_at("features", 1).alias("first_value"), F.element_at("features", -1).alias("last_value"))
 
 
+def q_csv_rejects(spark, sf_dir):
+    """Embeddings written as CSV with fields that are no numbers and
+    lines that are too short; what the lenient reader rejects."""
+    from ..sources.csv import read_feature_csv_lenient
+    t = embeddings_table(spark, sf_dir, EMB.seed)
+    key = F.col("row_key").cast("bigint")
+    texts = F.transform("features", lambda x, i: F.when((key + i) % 97 == 0, "n/a").when((key + i) % 89 == 0, "")
+                        .otherwise(x.cast("string")))
+    kept = F.when(key % 50 == 7, F.slice(texts, 1, F.size(texts) - 1)).otherwise(texts)
+    path = scratch_path(spark, "csv_bad")
+    t.df.select(key.alias("key"), F.array_join(kept, ",").alias("value")).repartitionByRange(3, "key") \
+        .sortWithinPartitions("key").select("value").write.text(path)
+    return read_feature_csv_lenient(spark, path, t.n_features)[1].select("row_idx", "field", "reason", "value")
+
+
 # ------------------------------------------------------------- GA operators
 def _ordered(spark, sf_dir):
     scored, _ = _scored(spark, embeddings_table(spark, sf_dir, EMB.seed), EMB)
@@ -376,6 +391,7 @@ QUERIES = {
     "feature_bins": q_feature_bins,
     "class_count": q_class_count,
     "csv_label_attach": q_csv_label_attach,
+    "csv_rejects": q_csv_rejects,
     "masked_projection": q_masked_projection,
     "root_histogram": q_root_histogram,
     "root_splits": q_root_splits,

@@ -33,9 +33,10 @@ def _indexed_lines(spark: SparkSession, path: str) -> DataFrame:
         "before", F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n"))
     files = blocks.groupBy("file").agg(F.sum("n").alias("lines"))
     files = files.select("file", (F.sum("lines").over(Window.orderBy("file")) - F.col("lines")).alias("earlier"))
-    offsets = inside.join(files, "file").select(
-        "file", "start", (F.col("earlier") + F.col("before") - F.col("first")).alias("shift"))
-    return lines.join(offsets, ["file", "start"]).select((F.col("id") + F.col("shift")).alias("row_idx"), "value")
+    offsets = inside.join(files, "file").select("file", "start", "earlier", (F.col("before") - F.col("first")).alias("shift"))
+    line = F.col("id") + F.col("shift")
+    return lines.join(offsets, ["file", "start"]).select(
+        (line + F.col("earlier")).alias("row_idx"), "value", "file", (line + 1).alias("line"))
 
 
 def read_feature_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -45,6 +46,33 @@ def read_feature_csv(spark: SparkSession, path: str) -> DataFrame:
         "row_idx", F.transform(F.split("value", ","), lambda s: F.trim(s).cast("double")).alias("features"))
 
 
+def _fields(lines: DataFrame) -> DataFrame:
+    """``lines`` with their texts and values by field; a text that is no number has the value NULL."""
+    texts = F.transform(F.split("value", ","), lambda s: F.trim(s))
+    return lines.withColumn("texts", texts).withColumn("features", F.transform("texts", lambda s: s.try_cast("double")))
+
+
+def read_feature_csv_lenient(spark: SparkSession, path: str, n_features: int) -> tuple[DataFrame, DataFrame]:
+    """P2 with ``try_cast``: (rows, rejects).
+
+    ``rows`` (row_idx, features array<double>) has every line, so labels still
+    belong to their lines: a field that is no number is NULL, and a line whose
+    number of fields is not ``n_features`` has NULL features.  ``rejects`` (file,
+    line, row_idx, field, reason, value) says what was wrong and where, lines and fields
+    counted from 1: one row per bad field (reason "number"), or one per bad line
+    (field NULL, reason "fields", value the number of fields)."""
+    lines = _fields(_indexed_lines(spark, path))
+    whole = F.size("texts") == n_features
+    rows = lines.select("row_idx", F.when(whole, F.col("features")).alias("features"))
+    fields = F.filter(F.transform("texts", lambda t, i: F.struct((i + 1).alias("field"), F.lit("number").alias("reason"), t.alias("value"))),
+                      lambda x: F.element_at("features", x["field"]).isNull())
+    line = F.array(F.struct(F.lit(None).cast("int").alias("field"), F.lit("fields").alias("reason"),
+                            F.size("texts").cast("string").alias("value")))
+    rejects = lines.select("file", "line", "row_idx", F.explode(F.when(whole, fields).otherwise(line)).alias("r")) \
+        .select("file", "line", "row_idx", "r.field", "r.reason", "r.value")
+    return rows, rejects
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """(row_idx, label double): one class id per line."""
     return _indexed_lines(spark, path).select("row_idx", F.trim("value").cast("double").alias("label"))
