@@ -65,7 +65,9 @@ def model_family(name: str) -> str:
         return "tree"
     if name.startswith("l"):
         return "logistic"
-    raise ValueError(f"unknown model {name!r}: use a name with d (decision tree) or l (logistic), or 'tree'")
+    if name.startswith("n"):
+        return "bayes"
+    raise ValueError(f"unknown model {name!r}: use a name with d (decision tree), l (logistic) or n (naive Bayes), or 'tree'")
 
 
 def _model(kind: str):

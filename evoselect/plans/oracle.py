@@ -517,4 +517,23 @@ GROUP BY m"""),
 GROUP BY mo.individual_id"""),
     ], """SELECT individual_id, correct, CASE WHEN fitted = blocks THEN CAST(correct AS DOUBLE) / CAST(blocks * n AS DOUBLE) END AS fitness,
        round(CASE WHEN fitted = blocks THEN loss END, 9) AS train_loss FROM each""")
+    q["naive_bayes_fitness"] = _with([
+        ("ds", ds_embeddings(ms)),
+        ("nf", "SELECT max(len(features)) AS n FROM ds"),
+        ("pop", population_cte(ms, "(SELECT n FROM nf)")),
+        ("lng", "SELECT rid, y, is_test, unnest(features) AS x, generate_subscripts(features, 1) - 1 AS f FROM ds"),
+        ("prior", "SELECT y AS c, count(*) / (SELECT count(*) FROM ds WHERE NOT is_test) AS p FROM ds WHERE NOT is_test GROUP BY y"),
+        ("stats", "SELECT y AS c, f, avg(x) AS m, var_pop(x) + 1e-9 AS v FROM lng WHERE NOT is_test GROUP BY y, f"),
+        ("dens", """SELECT l.rid, l.y, l.f, s.c, -0.5 * (ln(2 * pi() * s.v) + (l.x - s.m) * (l.x - s.m) / s.v) AS d
+FROM lng l JOIN stats s USING (f) WHERE l.is_test"""),
+        ("gn", f"""SELECT individual_id, f, f // {ms.block_size} AS block FROM (
+  SELECT individual_id, unnest(genome) AS bit, generate_subscripts(genome, 1) - 1 AS f FROM pop) WHERE bit = 1"""),
+        ("score", """SELECT g.individual_id, g.block, d.rid, d.y, d.c, sum(d.d) + ln(any_value(p.p)) AS z
+FROM gn g JOIN dens d USING (f) JOIN prior p ON p.c = d.c GROUP BY ALL"""),
+        ("said", "SELECT individual_id, block, rid, y, arg_max(c, (z, -c)) AS c FROM score GROUP BY ALL"),
+        ("hit", "SELECT individual_id, sum(CAST(y = c AS INTEGER)) AS correct, count(DISTINCT block) AS used FROM said GROUP BY individual_id"),
+        ("whole", f"""SELECT CAST(ceil(any_value(nf.n) / {ms.block_size}) AS BIGINT) AS blocks, count(*) AS n FROM ds, nf WHERE is_test"""),
+    ], """SELECT p.individual_id, CAST(coalesce(h.correct, 0) AS BIGINT) AS correct,
+       CASE WHEN h.used = w.blocks THEN CAST(h.correct AS DOUBLE) / CAST(w.blocks * w.n AS DOUBLE) END AS fitness
+FROM pop p LEFT JOIN hit h USING (individual_id), whole w""")
     return q

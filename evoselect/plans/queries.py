@@ -387,6 +387,14 @@ def q_logistic_predictions(spark, sf_dir):
     return lg.individual_predictions(data, own).select("row_key", "individual_id", "block", F.col("class").alias("predicted"))
 
 
+def q_naive_bayes_fitness(spark, sf_dir):
+    """Gaussian naive Bayes of every (individual, block)."""
+    from ..operators.naive_bayes import prepare_naive_bayes, score_population_naive_bayes
+    t = embeddings_table(spark, sf_dir, EMB.seed)
+    return score_population_naive_bayes(prepare_naive_bayes(t, EMB.block_size),
+                                        init_population(spark, EMB.population, t.n_features, EMB.seed))
+
+
 QUERIES = {
     "feature_bins": q_feature_bins,
     "class_count": q_class_count,
@@ -423,4 +431,5 @@ QUERIES = {
     "tree_fitness_mllib": q_tree_fitness_mllib,
     "logistic_fitness": q_logistic_fitness,
     "logistic_predictions": q_logistic_predictions,
+    "naive_bayes_fitness": q_naive_bayes_fitness,
 }

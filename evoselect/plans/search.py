@@ -40,7 +40,7 @@ class SearchParams:
     max_generations: int | None = None     # None: until the plateau
     plateau_k: int = 4
     # X5/P17: "tree" is the batched tree, a name with l the batched logistic
-    # regression, one with d a pyspark.ml tree per (individual, block)
+    # regression, one with n naive Bayes, one with d a pyspark.ml tree per (individual, block)
     model: str = "tree"
     elite_min_rows: int = 1        # D8: the reference reports a part only from 10 scored rows
     fitness_memo: bool = True      # reuse the fitness of a genome scored in an earlier generation
@@ -127,12 +127,29 @@ class LogisticScorer:
         return score_population_logistic(self.data, population)
 
 
+class NaiveBayesScorer:
+    """Gaussian naive Bayes: the statistics of the whole table serve every generation."""
+
+    def __init__(self, table: LabeledTable, block_size: int):
+        from ..operators.naive_bayes import prepare_naive_bayes
+        self.data = prepare_naive_bayes(table, block_size)
+
+    def score(self, population: DataFrame) -> DataFrame:
+        from ..operators.naive_bayes import score_population_naive_bayes
+        return score_population_naive_bayes(self.data, population)
+
+
+#: what scores a population, by the model's family; each gathers its statistics once
+#: per run and has score(population) -> (individual_id, ..., fitness)
+BATCHED = {"logistic": LogisticScorer, "bayes": NaiveBayesScorer}
+
+
 def _scorer(table: LabeledTable, params: SearchParams, workdir: str):
     """What scores a population, by the model's name."""
     if params.model == "tree":
         return TreeScorer(table, params.block_size, params.n_bins, workdir)
     family = model_family(params.model)
-    return LogisticScorer(table, params.block_size) if family == "logistic" \
+    return BATCHED[family](table, params.block_size) if family in BATCHED \
         else ModelScorer(table, params.block_size, family)
 
 
