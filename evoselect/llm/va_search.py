@@ -21,8 +21,10 @@ candidates in one task: the k-th scores are aggregated from k rows a block.
 Rows with a null id take no part; neither do null vectors nor vectors that hold
 null or non-finite components.  Shorter vectors count as padded with zeros.  Each
 row that asks is a query of its own, also if its id repeats; rows that share
-the query's id are not its candidates, and are candidates of others one by one.  Ties go to the smaller id.  Exact scores are 64-bit
-whole numbers; components beyond 2**30 after scaling are refused.  An empty
+the query's id are not its candidates, and are candidates of others one by one.  Ties go to the smaller id.  Scores are exact whole
+numbers at any size: 64-bit while no sum can exceed them, else 38 decimal digits.  Components
+beyond 2**58 after scaling count as 2**58, and a score beyond 64 bits is ranked by its
+value and shown as the largest (smallest) 64-bit number.  An empty
 table gives an empty result.
 """
 
@@ -40,6 +42,8 @@ BITS = 6
 BLOCK = 4_096
 QUERY_BLOCK = 1_024
 FIRST = 4  # times k
+#: largest component after scaling: a sum of 1,000 products has 38 digits
+MOST = 1 << 58
 
 
 def _matrix(blobs, dims: int, dtype) -> np.ndarray:
@@ -58,7 +62,7 @@ def _pack_blocks(rows: DataFrame, block_col: str, dims: int, low: np.ndarray, wi
         x = np.zeros((len(size), dims), np.int64)
         row = np.repeat(np.arange(len(size)), size)
         x[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
-        data = x.astype(np.int32) if exact else ((x - low) // width).astype(np.uint8)
+        data = x if exact else ((x - low) // width).astype(np.uint8)
         return pa.table({block_col: table[block_col].slice(0, 1),
                          "ids": pa.array([table["id"].to_numpy().astype(np.int64).tobytes()], pa.binary()),
                          "keys": pa.array([table["row"].to_numpy().astype(np.int64).tobytes()], pa.binary()),
@@ -75,7 +79,8 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     v = F.col(f"`{vector_col}`")
     good = F.col(f"`{id_col}`").isNotNull() & v.isNotNull() & F.forall(v, lambda x: F.coalesce(
         x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
-    ints = F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    ints = F.transform(v, lambda x: F.floor(
+        F.least(F.greatest(x.cast("double") * scale, F.lit(-float(MOST))), F.lit(float(MOST)))).cast("long"))
     rows = vectors.where(good).select(F.col(f"`{id_col}`").cast("long").alias("id"), ints.alias("x"),
                                       F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
@@ -85,8 +90,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     if not size["q"] or not size["d"]:
         return _empty(vectors, id_col)
     dims, top = size["d"], size["top"]
-    if top >= 1 << 30:
-        raise ValueError("components are too large for exact 64-bit scores")
+    wide = dims * top * top >= 1 << 62
     # two numbers for each dimension
     limits = {r["p"]: r for r in rows.select(F.posexplode("x").alias("p", "c"))
               .groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).collect()}
@@ -107,7 +111,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
 
     def bounds(r):
         """(query keys, vector ids, lower bounds, upper bounds), queries in rows."""
-        q = _matrix([r["queries"]], dims, np.int32).astype(np.float64)
+        q = _matrix([r["queries"]], dims, np.int64).astype(np.float64)
         c = _matrix([r["data"]], dims, np.uint8).astype(np.float64) * width + low
         base = q @ c.T
         reach = (width - 1).astype(np.float64)
@@ -155,8 +159,11 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     asks = asks.select(F.col("row").alias("q"), F.col("id").alias("query_id"), F.col("x").alias("qx"))
 
     def read(some: DataFrame) -> DataFrame:
-        product = F.aggregate(F.zip_with("qx", "vx", lambda a, b: F.coalesce(a * b, F.lit(0).cast("long"))),
-                              F.lit(0).cast("long"), lambda s, x: s + x)
+        kind = "decimal(38,0)" if wide else "long"
+        whole = "decimal(19,0)" if wide else "long"
+        product = F.aggregate(F.zip_with("qx", "vx", lambda a, b: F.coalesce(
+            (a.cast(whole) * b.cast(whole)).cast(kind), F.lit(0).cast(kind))),
+            F.lit(0).cast(kind), lambda s, x: (s + x).cast(kind))
         return some.select("q", "v").distinct().join(exact, "v").join(asks, "q") \
             .select("q", "query_id", "v", product.alias("score"))
 
@@ -164,10 +171,17 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     head = read(found.where(F.col("o") <= FIRST * k))
     sure = head.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("q", F.col("score").alias("kth"))
     rest = found.where(F.col("o") > FIRST * k).join(sure, "q", "left") \
-        .where(F.col("kth").isNull() | (F.col("up") >= F.col("kth")))
+        .where(F.col("kth").isNull() | (F.col("up") >= F.col("kth").cast("double")))
     done = found.where(F.col("o") <= FIRST * k).select("q", "v").union(rest.select("q", "v"))
     return read(done).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
-        .select("query_id", "rank", F.col("v").alias(id_col), "score")
+        .select("query_id", "rank", F.col("v").alias(id_col), _shown(F.col("score"), wide).alias("score"))
+
+
+def _shown(score: Column, wide: bool) -> Column:
+    if not wide:
+        return score
+    edge = F.lit((1 << 63) - 1).cast("decimal(38,0)")
+    return F.greatest(F.least(score, edge), -edge).cast("long")
 
 
 def _empty(vectors: DataFrame, id_col: str) -> DataFrame:

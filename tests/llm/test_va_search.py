@@ -53,3 +53,17 @@ def test_few_rows_and_none(spark):
     assert search(spark.createDataFrame([(5, [1.0])], kind), asks).collect() == []
     got = search(spark.createDataFrame([(5, [1.0]), (6, [2.0])], kind), asks).collect()
     assert [tuple(r) for r in got] == [(5, 1, 6, 256 * 512)]
+
+
+def test_large_components_are_exact(spark):
+    rng = random.Random(11)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(6)]) for i in range(60)]
+    rows += [(100 + i, [rng.choice([1e8, -1e8, 3e12, 0.5]) for _ in range(6)]) for i in range(20)]
+    shared = [0.25, -0.5, 0.125, 0.1, 0.2, 0.3]
+    rows += [(200 + i, shared) for i in range(40)]                      # a third of all rows
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = search(df, F.col("vec_id") % 5 == 0, k=4, block=16, query_block=8).collect()
+    edge = 2**63 - 1
+    assert sorted(map(tuple, got)) == [(q, r, v, max(-edge, min(edge, s))) for q, r, v, s in brute(rows, 4)]
+    more = df.union(spark.createDataFrame([(300, [1e300, 1.0, 0.0, 0.0, 0.0, 0.0])], df.schema))
+    assert search(more, F.col("vec_id") == 300, k=2).count() == 2
