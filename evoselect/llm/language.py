@@ -26,12 +26,14 @@ trained on.  Ties go to the language first in alphabetical order.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -43,27 +45,39 @@ BITS = 17
 SIZES = (1, 2, 3, 4, 6)
 SWITCH = 4.0
 STEP = 64
+BLOCK_BYTES = 32 << 20
 UNDETERMINED = "und"
 #: a script belongs to a language from this share of its letter words on
 SCRIPT_SHARE = 0.001
 
-# First code points of ranges that hold the letters of a script
-# (0: no letters) up to the next row's.
+# First code points of ranges, and the number of the script whose
+# letters lie there (7: any other), up to the next row's.
 _RANGES = (
-    (0x0000, 0), (0x0041, 1), (0x005B, 0), (0x0061, 1), (0x007B, 0), (0x00AA, 1), (0x00AB, 0), (0x00B5, 1),
-    (0x00B6, 0), (0x00BA, 1), (0x00BB, 0), (0x00C0, 1), (0x00D7, 0), (0x00D8, 1), (0x00F7, 0), (0x00F8, 1),
-    (0x02B0, 0), (0x0370, 2), (0x0400, 3), (0x0530, 4), (0x0590, 5), (0x0600, 6), (0x0700, 7), (0x0900, 8),
-    (0x0980, 9), (0x0A00, 10), (0x0A80, 11), (0x0B00, 12), (0x0B80, 13), (0x0C00, 14), (0x0C80, 15), (0x0D00, 16),
-    (0x0D80, 17), (0x0E00, 18), (0x0E80, 19), (0x0F00, 20), (0x1000, 21), (0x10A0, 22), (0x1100, 23), (0x1200, 24),
-    (0x1380, 7), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x2C00, 3), (0x2E00, 0), (0x3040, 25), (0x30A0, 25),
-    (0x3100, 7), (0x3130, 23), (0x3190, 0), (0x3400, 26), (0x4DC0, 0), (0x4E00, 26), (0xA000, 7), (0xAC00, 23),
-    (0xD7B0, 0), (0xF900, 26), (0xFB00, 1), (0xFB13, 4), (0xFB1D, 5), (0xFB50, 6), (0xFE00, 0), (0xFE70, 6),
-    (0xFEFF, 0), (0xFF21, 1), (0xFF3B, 0), (0xFF41, 1), (0xFF5B, 0), (0xFF66, 25), (0xFFA0, 23), (0xFFE0, 0),
-    (0x10000, 7), (0x1F000, 0), (0x20000, 26), (0x323B0, 0),
+    (0x0000, 1), (0x0370, 2), (0x0400, 3), (0x0530, 4), (0x0590, 5), (0x0600, 6), (0x0700, 7), (0x0750, 6),
+    (0x0780, 7), (0x0870, 6), (0x0900, 8), (0x0980, 9), (0x0A00, 10), (0x0A80, 11), (0x0B00, 12), (0x0B80, 13),
+    (0x0C00, 14), (0x0C80, 15), (0x0D00, 16), (0x0D80, 17), (0x0E00, 18), (0x0E80, 19), (0x0F00, 20), (0x1000, 21),
+    (0x10A0, 22), (0x1100, 23), (0x1200, 24), (0x13A0, 7), (0x1C80, 3), (0x1C90, 22), (0x1CC0, 7), (0x1D00, 1),
+    (0x1F00, 2), (0x2000, 1), (0x2C00, 7), (0x2C60, 1), (0x2C80, 7), (0x2D00, 22), (0x2D30, 7), (0x2D80, 24),
+    (0x2DE0, 3), (0x2E00, 7), (0x2E80, 26), (0x3031, 25), (0x3036, 26), (0x3040, 25), (0x3100, 7), (0x3130, 23),
+    (0x3190, 26), (0x31A0, 7), (0x31F0, 25), (0x3200, 26), (0xA000, 7), (0xA640, 3), (0xA6A0, 7), (0xA720, 1),
+    (0xA800, 7), (0xA8E0, 8), (0xA900, 7), (0xA960, 23), (0xA980, 7), (0xAB00, 24), (0xAB30, 1), (0xAB70, 7),
+    (0xAC00, 23), (0xD800, 7), (0xF900, 26), (0xFB00, 1), (0xFB13, 4), (0xFB1D, 5), (0xFB50, 6), (0xFF00, 1),
+    (0xFF66, 25), (0xFFA0, 23), (0xFFE0, 7), (0x1AFF0, 25), (0x1B170, 7), (0x1EE00, 6), (0x1EF00, 7), (0x20000, 26),
+    (0x323B0, 7),
 )
-_FROM = np.array([a for a, _ in _RANGES])
-_SCRIPT = np.array([b for _, b in _RANGES])
 SCRIPTS = 27
+_POINTS = 0x110000
+
+
+@lru_cache(maxsize=1)
+def letter_scripts() -> np.ndarray:
+    """Script of every code point that is a letter (Unicode category L), else 0."""
+    out = np.zeros(_POINTS, np.uint8)
+    stops = [a for a, _ in _RANGES[1:]] + [_POINTS]
+    for (start, script), stop in zip(_RANGES, stops):
+        out[start:stop] = script
+    letter = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(_POINTS)), bool, _POINTS)
+    return np.where(letter, out, 0).astype(np.uint8)
 
 
 @dataclass
@@ -78,26 +92,35 @@ def word_scripts(v: Vocabulary) -> np.ndarray:
     """Script of the first letter of each distinct word; 0 if it has none."""
     size = v.ends - v.starts
     out = np.zeros(len(size), np.int64)
-    at = v.starts.copy()
-    buf = np.concatenate([v.words.buf, np.zeros(4, np.uint8)]).astype(np.int64)
-    left = np.arange(len(size))
-    while len(left):
-        a = buf[at[left]]
-        b, c, d = (buf[at[left] + k] & 0x3F for k in (1, 2, 3))
-        wide = np.select([a < 0x80, a < 0xE0, a < 0xF0], [1, 2, 3], 4)
-        point = np.select([wide == 1, wide == 2, wide == 3],
-                          [a, (a & 0x1F) << 6 | b, (a & 0x0F) << 12 | b << 6 | c],
-                          (a & 0x07) << 18 | b << 12 | c << 6 | d)
-        out[left] = _SCRIPT[np.searchsorted(_FROM, point, "right") - 1]
-        at[left] += wide
-        left = left[(out[left] == 0) & (at[left] < v.ends[left])]
+    owner = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(owner)) + np.repeat(v.starts - (np.cumsum(size) - size), size)
+    lead = (v.words.buf[at] & 0xC0) != 0x80
+    owner, at = owner[lead], at[lead]
+    buf = np.concatenate([v.words.buf, np.zeros(4, np.uint8)]).astype(np.int32)
+    a = buf[at]
+    b, c, d = (buf[at + k] & 0x3F for k in (1, 2, 3))
+    point = np.select([a < 0x80, a < 0xE0, a < 0xF0],
+                      [a, (a & 0x1F) << 6 | b, (a & 0x0F) << 12 | b << 6 | c],
+                      (a & 0x07) << 18 | b << 12 | c << 6 | d)
+    script = letter_scripts()[np.minimum(point, _POINTS - 1)]
+    letter = np.flatnonzero(script)
+    words, first = np.unique(owner[letter], return_index=True)
+    out[words] = script[letter[first]]
     return out
 
 
-def viterbi(emit: np.ndarray, first: np.ndarray, switch: float, step: int = STEP) -> np.ndarray:
-    """Best state of every row of ``emit`` (words x states), text by text
-    (``first``: where each begins), when a change of state costs ``switch``."""
-    n, states = emit.shape
+def viterbi(emit: np.ndarray, first: np.ndarray, switch: float, step: int = STEP,
+            which: np.ndarray | None = None, block_bytes: int = BLOCK_BYTES) -> np.ndarray:
+    """Best state of every word, text by text (``first``: where each begins),
+    when a change of state costs ``switch``.  Word w has the scores
+    ``emit[which[w]]`` (``emit[w]`` without ``which``).
+
+    Texts are cut into steps; steps go through in blocks, earlier steps of all
+    texts first, so that what a block holds (states x states numbers for a step
+    that another follows) stays near ``block_bytes``."""
+    n, states = int(first[-1]), emit.shape[1]
+    if which is None:
+        which = np.arange(n)
     label = np.zeros(n, np.int64)
     counts = np.diff(first)
     steps = -(-counts // step)
@@ -108,50 +131,53 @@ def viterbi(emit: np.ndarray, first: np.ndarray, switch: float, step: int = STEP
     nth = np.arange(total) - np.repeat(np.cumsum(steps) - steps, steps)
     begin = first[of_doc] + nth * step
     size = np.minimum(counts[of_doc] - nth * step, step)
-    cost = switch * (1 - np.eye(states))
+    last = nth == steps[of_doc] - 1
+    longest = int(size.max())
+    order = np.argsort(nth, kind="stable")
 
-    def run(score: np.ndarray, keep: np.ndarray | None) -> np.ndarray:
-        """Scores after each step, from scores at its begin (steps x ... x states)."""
-        for t in range(step):
-            live = np.flatnonzero(size > t)
+    def run(some: np.ndarray, score: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
+        """Scores after the steps ``some``, from scores at their begin (steps x ... x states)."""
+        for t in range(longest):
+            live = np.flatnonzero(size[some] > t)
             if not len(live):
                 break
             s = score[live]
             top = s.max(-1, keepdims=True) - switch
             if keep is not None:
                 keep[t, live] = np.where(s >= top, np.arange(states), s.argmax(-1)[..., None])
-            e = emit[begin[live] + t]
+            e = emit[which[begin[some[live]] + t]]
             score[live] = np.maximum(s, top) + (e if s.ndim == 2 else e[:, None, :])
         return score
 
-    through = run(np.where(np.eye(states) > 0, 0.0, -1e18)[None].repeat(total, 0), None)
-    # chain the steps of each text; ``enter[k]``: scores at the begin of step k
+    # scores at the begin of every step
     enter = np.zeros((total, states))
-    start = np.cumsum(steps) - steps
-    alive = np.flatnonzero(steps > 1)
-    for t in range(1, int(steps.max())):
-        alive = alive[steps[alive] > t]
-        k = start[alive] + t
-        enter[k] = (enter[k - 1][:, :, None] + through[k - 1]).max(1)
-        enter[k] -= enter[k].max(1, keepdims=True)
-    back = np.zeros((step, total, states), np.int8 if states < 128 else np.int32)
-    leave = run(enter.copy(), back)
-    # where each end state of a step began, then the chain from the end
-    origin = np.tile(np.arange(states), (total, 1))
-    for t in range(step - 1, -1, -1):
-        live = np.flatnonzero(size > t)
-        if len(live):
-            origin[live] = np.take_along_axis(back[t, live].astype(np.int64), origin[live], 1)
-    end = leave.argmax(1)
-    for t in range(int(steps.max()) - 1, 0, -1):
-        k = start[steps > t] + t
-        end[k - 1] = origin[k, end[k]]
-    state = end.copy()
-    for t in range(step - 1, -1, -1):
-        live = np.flatnonzero(size > t)
-        if len(live):
-            label[begin[live] + t] = state[live]
-            state[live] = back[t, live, state[live]]
+    followed = order[~last[order]]
+    each = max(1, block_bytes // (8 * states * states))
+    for k in range(0, len(followed), each):
+        some = followed[k:k + each]
+        through = run(some, np.where(np.eye(states) > 0, 0.0, -1e18)[None].repeat(len(some), 0))
+        for t in np.unique(nth[some]):
+            at = np.flatnonzero(nth[some] == t)
+            after = (enter[some[at]][:, :, None] + through[at]).max(1)
+            enter[some[at] + 1] = after - after.max(1, keepdims=True)
+    # from the last steps back: the state at the end of each, its words, the state before it
+    end = np.zeros(total, np.int64)
+    each = max(1, block_bytes // (8 * states * (longest + 1)))
+    for stop in range(len(order), 0, -each):
+        some = order[max(0, stop - each):stop]
+        back = np.zeros((longest, len(some), states), np.int8 if states < 128 else np.int32)
+        leave = run(some, enter[some], back)
+        end[some[last[some]]] = leave.argmax(1)[last[some]]
+        for level in np.unique(nth[some])[::-1]:
+            at = np.flatnonzero(nth[some] == level)
+            state = end[some[at]].copy()
+            for t in range(longest - 1, -1, -1):
+                live = np.flatnonzero(size[some[at]] > t)
+                if len(live):
+                    label[begin[some[at[live]]] + t] = state[live]
+                    state[live] = back[t, at[live], state[live]]
+            if level:
+                end[some[at] - 1] = state
     return label
 
 
@@ -174,7 +200,18 @@ def label_words(column, m: Model, switch: float = SWITCH) -> tuple[Vocabulary, n
     """(words, language of each, whether each has a letter)."""
     v = vocabulary(column)
     scores, letters = _emissions(v, m)
-    return v, viterbi(scores[v.which], v.words.first, switch), letters[v.which]
+    return v, viterbi(scores, v.words.first, switch, which=v.which), letters[v.which]
+
+
+def training_sample(rows: DataFrame, each: int, seed: int) -> DataFrame:
+    """At most ``each`` rows (id, lang, text) of every language, the first by a hash of the id."""
+    def first_of_each(some: DataFrame, *last) -> DataFrame:
+        w = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(seed)), "id", *last)
+        return some.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= each).drop("_nth")
+
+    ids = first_of_each(rows.select("id", "lang")).distinct()  # ``each`` for every language
+    # ids that repeat bring all their rows: the bound holds for rows too
+    return first_of_each(rows.join(F.broadcast(ids), ["id", "lang"]), F.xxhash64("text"))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -189,12 +226,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not languages:
         return None
     each = max(1, most_rows // len(languages))
-    ids = None
-    for lang in languages:  # the first ids by hash of every language; most_rows in all
-        some = rows.where(F.col("lang") == lang).select("id", "lang") \
-            .orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(each)
-        ids = some if ids is None else ids.unionByName(some)
-    sample = materialize(rows.join(F.broadcast(ids), ["id", "lang"]), "sample")
+    sample = materialize(training_sample(rows, each, seed), "sample")
     place = {lang: k for k, lang in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,6 @@
 import random
+import tracemalloc
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +88,52 @@ def test_viterbi_equals_plain_recursion():
                 assert mine == pytest.approx(best.max())
 
 
+def test_viterbi_in_blocks_of_one_step():
+    rng = np.random.default_rng(3)
+    first = np.array([0, 0, 7, 40, 41, 90])
+    e, which = rng.normal(size=(12, 5)), rng.integers(0, 12, 90)
+    want = language.viterbi(e[which], first, 1.5, 6)
+    assert (language.viterbi(e, first, 1.5, 6, which, block_bytes=1) == want).all()
+
+
+def test_every_letter_and_no_other_code_point():
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    letter = np.array([unicodedata.category(chr(c)).startswith("L") for c in points])
+    chars = [chr(c) for c in points if chr(c) not in " \t\n\v\f\r"]
+    letter = letter[[c not in (9, 10, 11, 12, 13, 32) for c in points]]
+    v = language.vocabulary(pa.array(["7" + c + "." for c in chars]))
+    assert ((language.word_scripts(v)[v.which] > 0) == letter).all()
+
+
+def test_texts_without_letters_are_undetermined(spark):
+    rows = [(k, t, lang, "s", 1) for k in range(30)
+            for t, lang in (("سلام دنیا", "ar"), ("नमस्ते दुनिया", "hi"), ("สวัสดี ชาวโลก", "th"), ("hello world", "en"))]
+    docs = spark.createDataFrame(rows, DOCS)
+    asked = spark.createDataFrame([(k, t, None, "s", 1) for k, t in enumerate(
+        ["٣٤٥ ١٢٣", "؟ ،", "१२३ ।", "๑๒๓", "๐ ฿", "123 456", "½ ² €", "٣٤٥ سلام", "々", "ʰ"])], DOCS)
+    got = {r.doc_id: r for r in language.identify(asked, language.train(docs)).collect()}
+    assert [(got[k].lang_pred, got[k].score) for k in range(7)] == [("und", 0.0)] * 7
+    assert (got[7].lang_pred, got[7].score) == ("ar", 1.0)
+    assert all(got[k].lang_pred != "und" for k in (8, 9))
+
+
+def test_many_languages_and_short_texts():
+    names = [f"l{k:03d}" for k in range(200)]
+    m = language.Model(names, np.random.default_rng(1).normal(size=(1 << 8, 200)), np.ones((language.SCRIPTS, 200), bool), 8)
+    texts = pa.array([f"word{k % 900} again{k % 37}" for k in range(50_000)])
+    tracemalloc.start()
+    _, label, letters = language.label_words(texts, m)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(label) == 100_000 and letters.all() and peak < 1 << 29
+
+
+def test_sample_bound_holds_where_ids_repeat(spark):
+    rows = [(3, "en", f"hello world {k}") for k in range(400)] + [(4, "fr", "salut monde")] + [(5, "en", "same")] * 50
+    some = language.training_sample(spark.createDataFrame(rows, "id long, lang string, text string"), 10, 5)
+    assert {r.lang: r["count"] for r in some.groupBy("lang").count().collect()} == {"en": 10, "fr": 1}
+
+
 def test_languages_spans_and_scripts(spark):
     rng = random.Random(4)
     sounds = {"aa": "kato mira selo", "bb": "øgt ßen üls", "ru": "дом река лес", "el": "λόγος νερό φως"}
