@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from evoselect.llm.decontamination import find_leaks, tile
@@ -40,7 +41,22 @@ def test_tiles_cover_what_the_definition_covers():
             assert not seen_a & set(range(i, i + n)) and not seen_b & set(range(j, j + n))
             seen_a |= set(range(i, i + n))
             seen_b |= set(range(j, j + n))
-        assert sum(t[2] for t in got) >= plain_tiles(a, b, 3) - 2
+        assert sum(t[2] for t in got) == plain_tiles(a, b, 3)
+
+
+@pytest.mark.parametrize("letters,least", [(1, 5), (2, 2), (3, 1), (6, 3)])
+def test_tiles_of_few_different_words(letters, least):
+    rng = random.Random(letters)
+    for _ in range(120):
+        a, b = ([rng.randrange(1, letters + 1) for _ in range(rng.randint(0, 45))] for _ in range(2))
+        got = tile(np.array(a, np.uint64), np.array(b, np.uint64), least, rng.choice([1, 4, 20]))
+        assert sum(t[2] for t in got) == plain_tiles(a, b, least)
+
+
+def test_one_word_again_and_again_takes_no_time():
+    begin = time.monotonic()
+    assert tile(np.full(20_000, 7, np.uint64), np.full(200, 7, np.uint64)) == [(0, 0, 200)]
+    assert time.monotonic() - begin < 1
 
 
 def words(text):
@@ -63,11 +79,39 @@ def test_copies_reordered_passages_and_clean_documents(spark, broadcast):
                                    (15, " ".join(item))], "item_id long, text string")
     got = find_leaks(spark.createDataFrame(rows, DOCS), bench, broadcast_seeds=broadcast).collect()
     assert len(got) == len(rows)
-    leaks = {r.doc_id: sorted((x.item_id, x.tiled_words, x.tiles) for x in r.leaks) for r in got if r.leaks}
+    assert all((14 in [x.item_id for x in r.leaks]) == (" a b " in f" {' '.join(words(r.text))} ") for r in got)
+    leaks = {r.doc_id: sorted((x.item_id, x.tiled_words, x.tiles) for x in r.leaks) for r in got
+             if r.leaks and (r.doc_id or 0) < 1000}
     assert leaks == {1: [(10, 40, 1), (15, 40, 1)], 2: [(10, 40, 2), (15, 40, 2)],
                      5: [(10, 40, 1), (11, 30, 1), (15, 40, 1)]}
 
 
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_short_items_unspaced_scripts_and_order(spark, broadcast):
+    docs = [(1, "so Paris, France! and more words here", "en", "s", 1), (2, "paris is not in france", "en", "s", 1),
+            (3, "他说今天天气很好我们去公园玩吧然后回家", "zh", "s", 1), (4, "今天没有", "zh", "s", 1), (5, "42", "en", "s", 1),
+            (6, "the quick brown fox jumps over a dog. paris france 42", "en", "s", 1), (None, "42", "en", "s", 1)]
+    items = [(10, "Paris, France"), (1, "the quick brown fox jumps"), (2, "42"), (9, "今天天气很好我们去公园玩吧"), (None, "42"),
+             (3, "quick brown fox jump"), (4, "!"), (2, "42")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = find_leaks(spark.createDataFrame(docs, DOCS), bench, broadcast_seeds=broadcast).collect()
+    leaks = {(r.doc_id, r.text): [(x.item_id, x.tiled_words) for x in r.leaks] for r in got}
+    assert {k[0]: v for k, v in leaks.items() if k[0]} == {
+        1: [(10, 2)], 2: [], 3: [(9, 13)], 4: [], 5: [(None, 1), (2, 1), (2, 1)],
+        6: [(None, 1), (1, 5), (2, 1), (2, 1), (10, 2)]}
+    assert leaks[None, "42"] == [(None, 1), (2, 1), (2, 1)]
+
+
+def test_both_paths_give_the_same_arrays(spark):
+    rng = random.Random(2)
+    items = [(str(k), " ".join(rng.choice("abcdefg") for _ in range(rng.choice([1, 3, 4, 7, 12, 30])))) for k in range(25)]
+    docs = [(k, " ".join(rng.choice("abcdefg") for _ in range(rng.choice([0, 3, 30, 200]))), "en", "s", 1) for k in range(60)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame(docs, DOCS)
+    one, two = (sorted(find_leaks(docs, bench, broadcast_seeds=n).collect()) for n in (10**6, 0))
+    assert one == two and any(len(r.leaks) > 9 for r in one)
+
+
 def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     docs = spark.createDataFrame(awkward_docs(), DOCS)
