@@ -203,15 +203,30 @@ def label_words(column, m: Model, switch: float = SWITCH) -> tuple[Vocabulary, n
     return v, viterbi(scores, v.words.first, switch, which=v.which), letters[v.which]
 
 
-def training_sample(rows: DataFrame, each: int, seed: int) -> DataFrame:
-    """At most ``each`` rows (id, lang, text) of every language, the first by a hash of the id."""
+def training_sample(rows: DataFrame, counts: dict[str, int], each: int, seed: int) -> DataFrame:
+    """At most ``each`` rows (id, lang, text) of every language, the first by a
+    hash of the id.  ``counts``: rows of each language.
+
+    Only ids whose hash lies below a bar meet their language's others, about
+    twice as many as needed; where ids that repeat leave too few, the bar rises."""
+    spark, number = rows.sparkSession, F.xxhash64("id", F.lit(seed))
+    shares = {lang: min(1.0, 2 * each / n) for lang, n in counts.items()}
+    while True:
+        bar = F.broadcast(spark.createDataFrame(list(shares.items()), "lang string, bar double"))
+        low = rows.select("id", "lang").join(bar, "lang").where(number / 2.0**64 + 0.5 <= F.col("bar"))
+        low = materialize(low.select("id", "lang").distinct(), "ids")
+        enough = {r["lang"] for r in low.groupBy("lang").count().where(F.col("count") >= each).collect()}
+        short = [lang for lang, share in shares.items() if share < 1 and lang not in enough]
+        if not short:
+            break
+        shares |= {lang: min(1.0, 8 * shares[lang]) for lang in short}
+
     def first_of_each(some: DataFrame, *last) -> DataFrame:
-        w = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(seed)), "id", *last)
+        w = Window.partitionBy("lang").orderBy(number, "id", *last)
         return some.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= each).drop("_nth")
 
-    ids = first_of_each(rows.select("id", "lang")).distinct()  # ``each`` for every language
     # ids that repeat bring all their rows: the bound holds for rows too
-    return first_of_each(rows.join(F.broadcast(ids), ["id", "lang"]), F.xxhash64("text"))
+    return first_of_each(rows.join(F.broadcast(first_of_each(low)), ["id", "lang"]), F.xxhash64("text"))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -222,11 +237,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if held_out is not None:
         rows = rows.where(fold(ident, held_out[0]) != held_out[1])
     rows = rows.select(ident.alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # the label set
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # the label set
+    languages = sorted(counts)
     if not languages:
         return None
     each = max(1, most_rows // len(languages))
-    sample = materialize(training_sample(rows, each, seed), "sample")
+    sample = materialize(training_sample(rows, counts, each, seed), "sample")
     place = {lang: k for k, lang in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

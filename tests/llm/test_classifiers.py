@@ -130,8 +130,12 @@ def test_many_languages_and_short_texts():
 
 def test_sample_bound_holds_where_ids_repeat(spark):
     rows = [(3, "en", f"hello world {k}") for k in range(400)] + [(4, "fr", "salut monde")] + [(5, "en", "same")] * 50
-    some = language.training_sample(spark.createDataFrame(rows, "id long, lang string, text string"), 10, 5)
-    assert {r.lang: r["count"] for r in some.groupBy("lang").count().collect()} == {"en": 10, "fr": 1}
+    rows += [(k, "de", "guten tag") for k in range(100, 3000)]
+    df = spark.createDataFrame(rows, "id long, lang string, text string")
+    some = language.training_sample(df, {"en": 450, "fr": 1, "de": 2900}, 10, 5).collect()
+    assert {x: sum(r.lang == x for r in some) for x in ("en", "fr", "de")} == {"en": 10, "fr": 1, "de": 10}
+    first = df.where("lang = 'de'").orderBy(F.xxhash64("id", F.lit(5)), "id").limit(10).collect()
+    assert sorted(r.id for r in some if r.lang == "de") == sorted(r.id for r in first)
 
 
 def test_languages_spans_and_scripts(spark):
