@@ -13,10 +13,15 @@ borders come a lower and an upper bound of its inner product with a query:
    of a query fix a k-th exact score, then only candidates whose bound still
    reaches it are read, after which the result is certain.
 
-Vectors lie in blocks of ``block`` rows and queries in blocks of ``query_block``
-(as one packed row each), and each pair of blocks is one row of work; vector
-blocks are dealt by row number, so equal vectors spread.  No query meets all
-candidates in one task: the k-th scores are aggregated from k rows a block.
+Rows with the same integers form a *class*, which keeps its ``k + 1`` smallest ids
+(``k`` rows of each at most): without the query's own id these hold every row of the class that
+can be among its best.  Bounds and exact scores are worked out once for a class, however
+many rows share it.
+
+Classes lie in blocks of ``block`` and queries in blocks of ``query_block``
+(as one packed row each), and each pair of blocks is one row of work, formed and used in
+one pass: no product of both sides is shuffled or written.  The best bounds and scores of a query are
+cut to the rows that count in every task before they meet; all its candidates never do.
 
 Rows with a null id take no part; neither do null vectors nor vectors that hold
 null or non-finite components.  Shorter vectors count as padded with zeros.  Each
@@ -53,7 +58,6 @@ def _matrix(blobs, dims: int, dtype) -> np.ndarray:
 def _pack_blocks(rows: DataFrame, block_col: str, dims: int, low: np.ndarray, width: np.ndarray, exact: bool) -> DataFrame:
     """One row per block: ids, row numbers, and the cells (or the integers) of all vectors."""
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
         lists = table["x"].combine_chunks()
         if isinstance(lists, pa.ChunkedArray):
             lists = pa.concat_arrays(lists.chunks)
@@ -63,11 +67,25 @@ def _pack_blocks(rows: DataFrame, block_col: str, dims: int, low: np.ndarray, wi
         row = np.repeat(np.arange(len(size)), size)
         x[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
         data = x if exact else ((x - low) // width).astype(np.uint8)
+        many = table["many"].to_numpy().astype(np.uint8)
         return pa.table({block_col: table[block_col].slice(0, 1),
                          "ids": pa.array([table["id"].to_numpy().astype(np.int64).tobytes()], pa.binary()),
+                         "many": pa.array([many.tobytes()], pa.binary()),
                          "keys": pa.array([table["row"].to_numpy().astype(np.int64).tobytes()], pa.binary()),
                          "data": pa.array([data.tobytes()], pa.binary())})
-    return rows.groupBy(block_col).applyInArrow(run, f"{block_col} int, ids binary, keys binary, data binary")
+    return rows.groupBy(block_col).applyInArrow(
+        run, f"{block_col} int, ids binary, many binary, keys binary, data binary")
+
+
+def _classes(rows: DataFrame, k: int) -> DataFrame:
+    """(row, x, ids, id, many): distinct vectors with the smallest ids that have
+    them; ``many``: more than one id has it (``id`` is the smallest)."""
+    members = rows.groupBy("x", "id").agg(F.count(F.lit(1)).alias("n")) \
+        .withColumn("_nth", F.row_number().over(Window.partitionBy("x").orderBy("id"))).where(F.col("_nth") <= k + 1)
+    ids = F.flatten(F.transform("m", lambda m: F.array_repeat(m["id"], F.least(m["n"], F.lit(k)).cast("int"))))
+    return members.groupBy("x").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("m")) \
+        .select(F.monotonically_increasing_id().alias("row"), "x", ids.alias("ids"),
+                F.col("m")[0]["id"].alias("id"), (F.size("m") > 1).alias("many"))
 
 
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
@@ -97,20 +115,20 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     low = np.array([min(0, limits[p]["lo"]) for p in range(dims)], np.int64)
     high = np.array([max(0, limits[p]["hi"]) for p in range(dims)], np.int64)
     width = np.maximum(1, -(-(high - low + 1) // (1 << bits)))
-    blocks, query_blocks = -(-size["n"] // block), -(-size["q"] // query_block)
-
-    cells = _pack_blocks(rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")), "block",
-                         dims, low, width, False).drop("keys")
-    # a query's key is its row number
-    asks = materialize(rows.where("asks").withColumn(
+    classes = materialize(_classes(rows, k), "classes")
+    blocks, query_blocks = -(-classes.count() // block), -(-size["q"] // query_block)
+
+    # a class's and a query's key is its row number
+    cells = _pack_blocks(classes.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")), "block",
+                         dims, low, width, False)
+    cells = materialize(cells.repartition(max(1, min(blocks, 4096)), "block"), "cells")
+    asks = materialize(rows.where("asks").withColumn("many", F.lit(False)).withColumn(
         "qblock", F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int")), "asks")
-    asked = _pack_blocks(asks, "qblock", dims, low, width, True)
-    work = materialize(cells.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))), "cells") \
-        .join(asked.withColumnsRenamed({"ids": "qids", "keys": "qkeys", "data": "queries"}), "qblock")
-    work = materialize(work.repartition(max(1, min(blocks * query_blocks, 4096)), "block", "qblock"), "work")
+    asked = materialize(_pack_blocks(asks, "qblock", dims, low, width, True), "asked") \
+        .select("qblock", F.col("ids").alias("qids"), F.col("keys").alias("qkeys"), F.col("data").alias("queries"))
 
     def bounds(r):
-        """(query keys, vector ids, lower bounds, upper bounds), queries in rows."""
+        """(query keys, class keys, lower bounds, upper bounds), queries in rows."""
         q = _matrix([r["queries"]], dims, np.int64).astype(np.float64)
         c = _matrix([r["data"]], dims, np.uint8).astype(np.float64) * width + low
         base = q @ c.T
@@ -120,10 +138,10 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
         slack = 1 + 1e-9 * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * dims
         qi, vi = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["ids"], np.int64)
         lower, upper = base + (under - slack)[:, None], base + (over + slack)[:, None]
-        own = qi[:, None] == vi[None, :]
+        own = (qi[:, None] == vi[None, :]) & (np.frombuffer(r["many"], np.uint8) == 0)
         lower[own] = -np.inf
         upper[own] = -np.inf
-        return np.frombuffer(r["qkeys"], np.int64), vi, lower, upper
+        return np.frombuffer(r["qkeys"], np.int64), np.frombuffer(r["keys"], np.int64), lower, upper
 
     def lows(batches):
         for batch in batches:
@@ -135,11 +153,12 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
                 yield pa.RecordBatch.from_arrays([pa.array(qi[at]), pa.array(best[np.isfinite(best)])], ["q", "low"])
 
     w = Window.partitionBy("q").orderBy(F.desc("low"))
-    kth = work.select("qids", "qkeys", "queries", "ids", "data").mapInArrow(lows, "q long, low double") \
+    kth = cells.crossJoin(asked).mapInArrow(lows, "q long, low double") \
         .withColumn("r", F.row_number().over(w)).where(F.col("r") <= k) \
         .groupBy("q").agg(F.when(F.count(F.lit(1)) == k, F.min("low")).otherwise(F.lit(float("-inf"))).alias("kth"))
-    kth = asks.select("qblock", F.col("row").alias("q")).join(kth, "q", "left").groupBy("qblock").agg(
+    need = asks.select("qblock", F.col("row").alias("q")).join(kth, "q", "left").groupBy("qblock").agg(
         F.sort_array(F.collect_list(F.struct("q", F.coalesce("kth", F.lit(float("-inf"))).alias("kth")))).alias("need"))
+    asked = materialize(asked.join(need, "qblock"), "asked")
 
     def candidates(batches):
         for batch in batches:
@@ -149,32 +168,28 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
                 a, b = np.nonzero((upper >= np.array([need[x] for x in qi.tolist()])[:, None]) & np.isfinite(upper))
                 yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(vi[b]), pa.array(upper[a, b])], ["q", "v", "up"])
 
-    found = work.join(kth, "qblock").select("qids", "qkeys", "queries", "ids", "data", "need") \
-        .mapInArrow(candidates, "q long, v long, up double")
-    found = materialize(found.withColumn("o", F.row_number().over(
-        Window.partitionBy("q").orderBy(F.desc("up"), "v"))), "candidates")
-
-    # an id that repeats has several vectors: candidates name ids, all its rows are read once
-    exact = rows.select(F.col("id").alias("v"), F.col("x").alias("vx"))
+    found = materialize(cells.crossJoin(asked).mapInArrow(candidates, "q long, v long, up double"), "candidates")
+    exact = classes.select(F.col("row").alias("v"), F.col("x").alias("vx"), "ids")
     asks = asks.select(F.col("row").alias("q"), F.col("id").alias("query_id"), F.col("x").alias("qx"))
 
     def read(some: DataFrame) -> DataFrame:
+        """The k best rows of each query among these classes."""
         kind = "decimal(38,0)" if wide else "long"
         whole = "decimal(19,0)" if wide else "long"
         product = F.aggregate(F.zip_with("qx", "vx", lambda a, b: F.coalesce(
             (a.cast(whole) * b.cast(whole)).cast(kind), F.lit(0).cast(kind))),
             F.lit(0).cast(kind), lambda s, x: (s + x).cast(kind))
-        return some.select("q", "v").distinct().join(exact, "v").join(asks, "q") \
-            .select("q", "query_id", "v", product.alias("score"))
-
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "v")
-    head = read(found.where(F.col("o") <= FIRST * k))
-    sure = head.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("q", F.col("score").alias("kth"))
-    rest = found.where(F.col("o") > FIRST * k).join(sure, "q", "left") \
-        .where(F.col("kth").isNull() | (F.col("up") >= F.col("kth").cast("double")))
-    done = found.where(F.col("o") <= FIRST * k).select("q", "v").union(rest.select("q", "v"))
-    return read(done).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
-        .select("query_id", "rank", F.col("v").alias(id_col), _shown(F.col("score"), wide).alias("score"))
+        others = F.slice(F.filter("ids", lambda x: x != F.col("query_id")), 1, k)
+        best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+        return some.select("q", "v").join(exact, "v").join(asks, "q") \
+            .select("q", "query_id", product.alias("score"), F.explode(others).alias("id")) \
+            .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    order = Window.partitionBy("q").orderBy(F.desc("up"), "v")
+    head = found.withColumn("o", F.row_number().over(order)).where(F.col("o") <= FIRST * k)
+    sure = read(head).where(F.col("rank") == k).select("q", F.col("score").alias("kth"))
+    rest = found.join(sure, "q", "left").where(F.col("kth").isNull() | (F.col("up") >= F.col("kth").cast("double")))
+    return read(rest).select("query_id", "rank", F.col("id").alias(id_col), _shown(F.col("score"), wide).alias("score"))
 
 
 def _shown(score: Column, wide: bool) -> Column:

@@ -67,3 +67,18 @@ def test_large_components_are_exact(spark):
     assert sorted(map(tuple, got)) == [(q, r, v, max(-edge, min(edge, s))) for q, r, v, s in brute(rows, 4)]
     more = df.union(spark.createDataFrame([(300, [1e300, 1.0, 0.0, 0.0, 0.0, 0.0])], df.schema))
     assert search(more, F.col("vec_id") == 300, k=2).count() == 2
+
+
+def test_equal_vectors_of_repeated_and_of_own_ids(spark):
+    rng = random.Random(3)
+    pool = [[rng.choice([-0.5, 0.25, 0.5]) for _ in range(3)] for _ in range(6)]
+    rows = [(rng.choice([0, 5, 10, 11, 12, 13, 14]), rng.choice(pool)) for _ in range(90)] + [(20 + i, pool[0]) for i in range(9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    want = []
+    for q, v in rows:
+        if q % 5 == 0:
+            best = sorted((-sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(v, x)), i)
+                          for i, x in rows if i != q)[:5]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    got = search(df, F.col("vec_id") % 5 == 0, k=5, block=2, query_block=7).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
