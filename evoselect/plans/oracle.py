@@ -268,11 +268,16 @@ FROM pop p JOIN g1_fit f USING (individual_id)"""),
     ]
 
 
-def evolve_ctes(s: Setup, src: str, gen: int, prefix: str, elitism: int = 1) -> list[tuple[str, str]]:
-    """Generation ``gen`` (CTE ``src``) -> CTE ``{prefix}_next`` (generation gen+1)."""
-    p, n_parts, seed, nxt = prefix, s.n_parts, s.seed, gen + 1
+def evolve_ctes(s: Setup, src: str, gen: int | None, prefix: str, elitism: int = 1) -> list[tuple[str, str]]:
+    """Generation ``gen`` (CTE ``src``) -> CTE ``{prefix}_next`` (generation gen+1).
+    Without ``gen`` it is the one in ``src``'s column, and individuals without a
+    fitness are replaced by random ones, as the search does."""
+    p, n_parts, seed = prefix, s.n_parts, s.seed
+    # what follows ``src`` carries its generation, what follows the children has theirs
+    carry = "" if gen else "generation, "
+    gen, made, nxt = (str(gen), str(gen + 1), str(gen + 1)) if gen else ("generation", "generation + 1", "generation")
     key = f"md5(concat_ws('|', {seed}, generation, individual_id))"
-    x_coin = _coin(str(seed), str(gen), "'x'", "part_id", "k", "i - 1")
+    x_coin = _coin(str(seed), gen, "'x'", "part_id", "k", "i - 1")
     m_draw = ("CAST(" + _hex8(f"md5(concat_ws('|', {seed}, {nxt}, individual_id, 'm', i - 1))")
               + " AS DOUBLE) / CAST(4294967296 AS DOUBLE)")
     if s.mutation_rate > 0:
@@ -280,15 +285,22 @@ def evolve_ctes(s: Setup, src: str, gen: int, prefix: str, elitism: int = 1) ->
                   f"CASE WHEN {m_draw} < CAST({s.mutation_rate!r} AS DOUBLE) THEN 1 - b ELSE b END) ELSE genome END")
     else:
         mutate = "genome"
+    born = _coin(str(seed), "generation", "individual_id", "pos")
+    refill = "" if not carry else f"""
+UNION ALL
+SELECT generation, individual_id, list_transform(range(0, width), lambda pos: {born}), NULL
+FROM (SELECT generation + 1 AS generation, len(genome) AS width,
+        (SELECT count(*) FROM {src}) * {n_parts} + row_number() OVER (ORDER BY individual_id) - 1 AS individual_id
+      FROM {src} WHERE fitness IS NULL)"""
     ctes = [
         (f"{p}_parted", f"""SELECT *, {_hex8('sk')} % {n_parts} AS part_id FROM (
   SELECT generation, individual_id, genome, fitness, {key} AS sk FROM {src} WHERE fitness IS NOT NULL)"""),
         (f"{p}_ord", f"""SELECT *, CAST(row_number() OVER (PARTITION BY part_id ORDER BY sk, individual_id) - 1 AS INTEGER) AS p,
        CAST(count(*) OVER (PARTITION BY part_id) AS INTEGER) AS n FROM {p}_parted"""),
-        (f"{p}_ext", f"""SELECT part_id, n, p, individual_id, genome, fitness FROM (
-  SELECT part_id, n, unnest(range(p, n + 5, n)) AS p, individual_id, genome, fitness FROM {p}_ord)"""),
-        (f"{p}_win", f"""SELECT part_id, n, p, w.id AS winner_id, w.genome AS winner_genome, w.fitness AS winner_fitness
-FROM (SELECT part_id, n, p,
+        (f"{p}_ext", f"""SELECT {carry}part_id, n, p, individual_id, genome, fitness FROM (
+  SELECT {carry}part_id, n, unnest(range(p, n + 5, n)) AS p, individual_id, genome, fitness FROM {p}_ord)"""),
+        (f"{p}_win", f"""SELECT {carry}part_id, n, p, w.id AS winner_id, w.genome AS winner_genome, w.fitness AS winner_fitness
+FROM (SELECT {carry}part_id, n, p,
         arg_max({{'id': individual_id, 'genome': genome, 'fitness': fitness}},
                 (coalesce(CAST(fitness AS DOUBLE), -1.0), -(p % 5)))
           OVER (PARTITION BY part_id ORDER BY p ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS w
@@ -297,26 +309,26 @@ WHERE p >= 5"""),
         (f"{p}_lagged", f"""SELECT *, lag(winner_id) OVER (PARTITION BY part_id ORDER BY p) AS prev_id,
        lag(winner_genome) OVER (PARTITION BY part_id ORDER BY p) AS prev_genome,
        (p - 5) % 2 AS role FROM {p}_win"""),
-        (f"{p}_pairs", f"""SELECT part_id, n, CAST((p - 5) // 2 AS INTEGER) AS k,
+        (f"{p}_pairs", f"""SELECT {carry}part_id, n, CAST((p - 5) // 2 AS INTEGER) AS k,
        CASE WHEN p % 2 = 0 THEN winner_id ELSE prev_id END AS p1_id,
        CASE WHEN p % 2 = 0 THEN winner_genome ELSE prev_genome END AS p1_genome,
        CASE WHEN p % 2 = 0 THEN prev_id ELSE winner_id END AS p2_id,
        CASE WHEN p % 2 = 0 THEN prev_genome ELSE winner_genome END AS p2_genome
 FROM {p}_lagged WHERE role = 1
 UNION ALL
-SELECT part_id, n, CAST((p - 5) // 2 AS INTEGER), winner_id, winner_genome, NULL, NULL
+SELECT {carry}part_id, n, CAST((p - 5) // 2 AS INTEGER), winner_id, winner_genome, NULL, NULL
 FROM {p}_lagged WHERE role = 0 AND p = n + 4"""),
-        (f"{p}_kids", f"""SELECT part_id, 2 * k AS c,
+        (f"{p}_kids", f"""SELECT {carry}part_id, 2 * k AS c,
        CASE WHEN p2_genome IS NULL THEN p1_genome
             ELSE list_transform(p1_genome, lambda a, i: CASE WHEN {x_coin} = 1 THEN a ELSE p2_genome[i] END) END AS genome
 FROM {p}_pairs
 UNION ALL
-SELECT part_id, 2 * k + 1,
+SELECT {carry}part_id, 2 * k + 1,
        list_transform(p2_genome, lambda b, i: CASE WHEN {x_coin} = 1 THEN b ELSE p1_genome[i] END)
 FROM {p}_pairs WHERE p2_genome IS NOT NULL"""),
-        (f"{p}_off0", f"""SELECT {nxt} AS generation, CAST(c AS BIGINT) * {n_parts} + part_id AS individual_id,
+        (f"{p}_off0", f"""SELECT {made} AS generation, CAST(c AS BIGINT) * {n_parts} + part_id AS individual_id,
        genome, CAST(NULL AS DOUBLE) AS fitness FROM {p}_kids"""),
-        (f"{p}_off", f"""SELECT generation, individual_id, {mutate} AS genome, fitness FROM {p}_off0"""),
+        (f"{p}_off", f"""SELECT generation, individual_id, {mutate} AS genome, fitness FROM {p}_off0""" + refill),
     ]
     if elitism <= 0:
         ctes.append((f"{p}_next", f"SELECT * FROM {p}_off"))
@@ -325,11 +337,11 @@ FROM {p}_pairs WHERE p2_genome IS NOT NULL"""),
         (f"{p}_drop", f"""SELECT individual_id, row_number() OVER (ORDER BY k) AS rank FROM (
   SELECT individual_id, md5(concat_ws('|', {seed}, {nxt}, individual_id, 'elite')) AS k FROM {p}_off
   ORDER BY k LIMIT {elitism})"""),
-        (f"{p}_elite", f"""SELECT genome, fitness, row_number() OVER (ORDER BY fitness DESC, individual_id) AS rank FROM (
+        (f"{p}_elite", f"""SELECT {carry}genome, fitness, row_number() OVER (ORDER BY fitness DESC, individual_id) AS rank FROM (
   SELECT * FROM {src} WHERE fitness IS NOT NULL ORDER BY fitness DESC, individual_id LIMIT {elitism})"""),
         (f"{p}_next", f"""SELECT * FROM {p}_off WHERE individual_id NOT IN (SELECT individual_id FROM {p}_drop)
 UNION ALL
-SELECT {nxt}, d.individual_id, e.genome, e.fitness FROM {p}_elite e JOIN {p}_drop d USING (rank)"""),
+SELECT {made}, d.individual_id, e.genome, e.fitness FROM {p}_elite e JOIN {p}_drop d USING (rank)"""),
     ]
     return ctes
 
@@ -387,6 +399,33 @@ FROM sel JOIN w{steps} w USING (m)"""),
     return ctes
 
 
+def plateau_run(ds_sql: str, s: Setup, k: int) -> str:
+    """A search to its plateau: the fitness of every genome there is, then
+    generations by recursion until ``k`` equal bests."""
+    evolve = evolve_ctes(s, "live", None, "e", elitism=1)
+    step = [("live", f"SELECT generation, individual_id, genome, fitness FROM run WHERE streak < {k}"),
+            ("past", "SELECT max(best) AS best, max(streak) AS streak FROM run")] + evolve + [
+        ("scored", """SELECT n.generation, n.individual_id, n.genome, v.fitness, max(v.fitness) OVER () AS top
+FROM e_next n LEFT JOIN known v ON v.genome = n.genome""")]
+    return _with(root_ctes(ds_sql, s) + [
+        ("nf", "SELECT max(len(features)) AS n FROM ds"),
+        ("every", """SELECT 1 AS generation, i AS individual_id, list_transform(range(0, n), lambda pos: CAST((i >> pos) & 1 AS INTEGER)) AS genome
+FROM nf, range(0, CAST(1 << n AS BIGINT)) t(i)"""),
+    ] + fitness_ctes(s, "every", "g1") + [
+        ("known", "SELECT genome, fitness FROM every JOIN g1_fit USING (individual_id)"),
+        ("first", population_cte(s, "(SELECT n FROM nf)")),
+        ("run", f"""SELECT CAST(f.generation AS BIGINT) AS generation, f.individual_id, f.genome, v.fitness,
+       max(v.fitness) OVER () AS best, CAST(1 AS BIGINT) AS streak
+FROM first f LEFT JOIN known v ON v.genome = f.genome
+UNION ALL
+SELECT * FROM ({_with(step, """SELECT s.generation, s.individual_id, s.genome, s.fitness, s.top,
+       CASE WHEN s.top = p.best THEN p.streak + 1 ELSE 1 END FROM scored s, past p""")})"""),
+        ("hist", _elite_sql("run")),
+        ("ends", f"SELECT generation, max(streak) >= {k} AS plateau FROM run GROUP BY generation"),
+    ], "SELECT CAST(generation AS INTEGER) AS generation, best_id, best_fitness, n_features, n_scored, plateau FROM hist JOIN ends USING (generation)") \
+        .replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 # ------------------------------------------------------------------ queries
 def oracle_queries() -> dict[str, str]:
     s = EMB
@@ -481,6 +520,7 @@ FROM e2_next n LEFT JOIN g3_fit f USING (individual_id)"""),
         ("hist", _elite_sql("scored") + "\nUNION ALL\n" + _elite_sql("scored2") + "\nUNION ALL\n"
          + _elite_sql("scored3")),
     ], f"""SELECT generation, best_id, best_fitness, n_features, n_scored, {report} AS report FROM hist""")
+    q["search_to_plateau"] = plateau_run(ds_documents(DOCS), DOCS, 4)
     ms = EMB
     q["tree_fitness_mllib"] = _with(root_ctes(ds_embeddings(ms), ms) + [
         ("nf", "SELECT max(len(features)) AS n FROM ds"),

@@ -354,6 +354,18 @@ def q_search_history(spark, sf_dir):
         "generation", "best_id", "best_fitness", "n_features", "n_scored", "report")
 
 
+def q_search_to_plateau(spark, sf_dir):
+    """The search on documents until four generations have the same best;
+    nothing else ends it."""
+    from .search import SearchParams, run_search
+    params = SearchParams(population_size=DOCS.population, block_size=DOCS.block_size, n_bins=DOCS.n_bins,
+                          max_generations=None, plateau_k=4,
+                          evolve=EvolveParams(n_parts=DOCS.n_parts, seed=DOCS.seed,
+                                              mutation_rate=DOCS.mutation_rate, elitism=1))
+    hist = run_search(documents_table(spark, sf_dir, DOCS.seed), params).history
+    return plateau(hist, 4).select("generation", "best_id", "best_fitness", "n_features", "n_scored", "plateau")
+
+
 # ----------------------------------------------------------- pyspark.ml path
 def q_tree_fitness_mllib(spark, sf_dir):
     """ML1/ML3/ML4 via pyspark.ml: DecisionTreeClassifier per (individual,
@@ -428,6 +440,7 @@ QUERIES = {
     "scored_filter": q_scored_filter,
     "generation_plateau": q_generation_plateau,
     "search_history": q_search_history,
+    "search_to_plateau": q_search_to_plateau,
     "tree_fitness_mllib": q_tree_fitness_mllib,
     "logistic_fitness": q_logistic_fitness,
     "logistic_predictions": q_logistic_predictions,
