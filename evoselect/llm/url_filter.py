@@ -12,15 +12,20 @@ Witten-Bell smoothing,
 
 with t(ctx) the number of different characters seen after ctx.  The score of a
 URL is its mean log-probability under the first minus that under the second;
-it is accepted at ``cut`` or more.  The models count all ruled URLs but one
-fold in five (by a hash of host and path); the cut is where that fold's URLs
-are told apart best (mean of both classes' accuracy, on scores rounded to
-0.01, lowest cut first).  Each distinct (host, path) is counted with its number
-of rows and scored once.
+it is accepted at ``cut`` or more.  The models count all ruled URLs.  The cut
+comes from models of all but one fold in five (by a hash of host and path): it
+is where that fold's URLs are told apart best (mean of both classes' accuracy,
+on scores rounded to 0.01, lowest cut first).  Each distinct (host, path) is
+counted with its number of rows and scored once.
+
+Grams with more than one in ``HEAVY`` of all places (so fewer than ``HEAVY`` of
+them) meet the places in a broadcast join; no other gram is a large key of the
+join of the rest.
 
 A null URL, and one without ``://``, has empty host and path.  Rows that repeat
 count and come out each.  If the rules accept nothing or reject nothing, there
-is no ratio, and what no rule fits is allowed.
+is no ratio, and what no rule fits is allowed; if that holds without the fold
+only, the cut is 0.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ from ..session import materialize
 
 ORDER = 4
 FOLDS = 5
+HEAVY = 2_000
 BEGIN, END = "\x02", "\x03"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -91,13 +97,14 @@ def fit_models(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFra
     return counts.drop("context"), materialize(contexts, "contexts")
 
 
-def score_texts(texts: DataFrame, models: tuple[DataFrame, DataFrame], order: int = ORDER) -> DataFrame:
+def score_texts(texts: DataFrame, models: tuple[DataFrame, DataFrame], order: int = ORDER,
+                heavy: int = HEAVY) -> DataFrame:
     """(text, ratio): mean log-probability as good minus as bad."""
     counts, contexts = models
     places = _places(texts.select("text"), order)
-    parts = _suffixes(places.select("gram").distinct(), order) \
+    parts = _suffixes(places.groupBy("gram").agg(F.count(F.lit(1)).alias("times")), order) \
         .join(counts, "part", "left").join(contexts, "context", "left")
-    levels = parts.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct(
+    levels = parts.groupBy("gram", "times").agg(F.sort_array(F.collect_list(F.struct(
         "k", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("good", "good_n", "good_t", "bad", "bad_n", "bad_t")]
     ))).alias("levels"))
 
@@ -107,8 +114,14 @@ def score_texts(texts: DataFrame, models: tuple[DataFrame, DataFrame], order: in
             return F.when(n > 0, (x[side] + t * p) / (n + t)).otherwise(p)
         return F.aggregate("levels", F.lit(1 / 256), up)
 
-    gain = levels.select("gram", (F.log(chance("good")) - F.log(chance("bad"))).alias("gain"))
-    return places.join(gain, "gram").groupBy("text").agg(F.avg("gain").alias("ratio"))
+    gain = materialize(levels.select("gram", "times", (F.log(chance("good")) - F.log(chance("bad"))).alias("gain")), "gain")
+    total = gain.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()["n"]
+    often = F.col("times") * heavy > total  # fewer than ``heavy`` grams
+    many = F.broadcast(gain.where(often).select("gram", "gain"))
+    few = gain.where(~often).select("gram", "gain")
+    met = places.join(many, "gram").select("text", "gain") \
+        .unionByName(places.join(many.select("gram"), "gram", "left_anti").join(few, "gram").select("text", "gain"))
+    return met.groupBy("text").agg(F.avg("gain").alias("ratio"))
 
 
 def _cut(scored: DataFrame) -> float:
@@ -145,14 +158,17 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules=RULES, order: int
         F.col("_ruled").isNotNull().alias("known"),
         (F.pmod(F.xxhash64("host", "path"), F.lit(FOLDS)) == 0).alias("kept_out")), "texts")
     known = texts.where("known")
-    sides = known.where("NOT kept_out").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
+    count = [F.sum("good").alias("g"), F.sum("bad").alias("b")]
+    sides = known.agg(*count).first()
     if not sides["g"] or not sides["b"]:
         return ruled.withColumn("verdict", F.coalesce("_ruled", F.lit("allow"))) \
             .withColumn("ratio", F.lit(None).cast("double")).drop("_ruled")
-    models = fit_models(known.where("NOT kept_out"), order)
-    judged = texts.where("NOT known OR kept_out").select("text").distinct()
-    scores = materialize(score_texts(judged, models, order), "scores")
-    cut = _cut(known.where("kept_out").join(scores, "text"))
+    cut, rest, kept = 0.0, known.where("NOT kept_out"), known.where("kept_out")
+    sides = rest.agg(*count).first()
+    if sides["g"] and sides["b"]:
+        cut = _cut(kept.join(score_texts(kept.select("text").distinct(), fit_models(rest, order), order), "text"))
+    scores = materialize(score_texts(texts.where("NOT known").select("text").distinct(),
+                                     fit_models(known, order), order), "scores")
     ratio = texts.where("NOT known").join(scores, "text").select("host", "path", "ratio")
     out = ruled.join(ratio, ["host", "path"], "left")
     decided = F.coalesce("_ruled", F.when(F.col("ratio") >= cut, F.lit("allow")).otherwise(F.lit("block")))

@@ -31,7 +31,8 @@ def plain_model(texts, order):
     return logp
 
 
-def test_ratio_equals_plain_models(spark):
+@pytest.mark.parametrize("heavy", [1, 10, 10**6])   # no gram is heavy, some, all
+def test_ratio_equals_plain_models(spark, heavy):
     rng = random.Random(1)
     texts = [("".join(rng.choice("ab/c") for _ in range(rng.randint(0, 12))), rng.randrange(3), rng.randrange(3))
              for _ in range(40)]
@@ -40,7 +41,7 @@ def test_ratio_equals_plain_models(spark):
     good = plain_model([(t, g) for t, g, _ in texts if g], 3)
     bad = plain_model([(t, b) for t, _, b in texts if b], 3)
     asked = spark.createDataFrame([("abba",), ("",), ("zz/é",), ("ccc",)], "text string")
-    for r in score_texts(asked, fit_models(df, 3), 3).collect():
+    for r in score_texts(asked, fit_models(df, 3), 3, heavy).collect():
         assert r.ratio == pytest.approx(good(r.text) - bad(r.text))
 
 
@@ -70,3 +71,11 @@ def test_one_sided_rules_and_empty_table(spark):
     pages = spark.createDataFrame([(1, "http://a.net/"), (2, "http://b.org/")], "page_id long, url string")
     assert {r.verdict for r in filter_urls(pages).collect()} == {"allow"}
     assert filter_urls(pages.where("false")).collect() == []
+
+
+def test_models_count_every_ruled_url(spark):
+    urls = [f"http://good{k}.org/fine/{k}" for k in range(30)] + [f"http://bad{k}.com/de/awful{k}" for k in range(30)]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate([*urls, "http://new.net/fine/3"])], "page_id long, url string")
+    good, bad = (plain_model([(u[7:], 1) for u in some], 4) for some in (urls[:30], urls[30:]))
+    got = {r.page_id: r.ratio for r in filter_urls(pages).collect()}
+    assert got[60] == pytest.approx(good("new.net/fine/3") - bad("new.net/fine/3")) and got[0] is None
