@@ -44,6 +44,7 @@ from .words import Words, hash_words, mix, shingle_hashes, split_words
 
 SHINGLE = 5
 SHARE = 80
+HEAVY = 2_000
 FRAGMENTS = 8
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 _DOCS = 1 << 16
@@ -229,9 +230,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialize(rows.where("shared IS NOT NULL").select(F.col("_rid").alias("node"), "n", "shared")
                        .join(classes.select("node").where("node IS NOT NULL"), "node", "left_semi"), "sets")
     comps = _class_components(sets, share, fragments)
-    named = classes.join(comps, "node", "left")
-    best = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("least").alias("best"))
-    named = named.join(best, "comp", "left").select(*key, F.coalesce("best", "least").alias("best"))
+    named = materialize(classes.join(comps, "node", "left"), "named")
+    best = materialize(named.where("comp IS NOT NULL").groupBy("comp").agg(
+        F.min("least").alias("best"), F.count(F.lit(1)).alias("members")), "best")
+    total = best.agg(F.coalesce(F.sum("members"), F.lit(0)).alias("n")).first()["n"]
+    # components of more than one in ``HEAVY`` classes (fewer than HEAVY of them) go to the classes
+    often = F.col("members") * HEAVY > total
+    many = F.broadcast(best.where(often).select("comp", "best"))
+    linked = named.where("comp IS NOT NULL")
+    named = linked.join(many, "comp").select(*key, "best") \
+        .unionByName(linked.join(many.select("comp"), "comp", "left_anti")
+                     .join(best.where(~often).select("comp", "best"), "comp").select(*key, "best")) \
+        .unionByName(named.where("comp IS NULL").select(*key, F.col("least").alias("best")))
     got = rows.drop("shared").join(named, key, "left")
     return got.select(*[F.col("_row").getField(c).alias(c) for c in carry], F.col("n").alias("n_shingles"),
                       F.when(F.col("n") > 0, F.col("best.id")).otherwise(ident).alias("component_id"),
