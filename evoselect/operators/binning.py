@@ -39,9 +39,21 @@ class BinSpec:
     cuts: tuple[tuple[float, ...], ...] | None = None      # quantile borders, by feature
 
 
+#: features up to which an expression is written out for each one (compiled, no row is exploded)
+FEW_FEATURES = 32
+
+
 def feature_bounds(table: LabeledTable) -> DataFrame:
     """(f, lo, hi, n) over finite values of training rows; one partial+final aggregate."""
-    long = table.df.where(~F.col("is_test")).select(F.posexplode("features").alias("f", "x"))
+    train = table.df.where(~F.col("is_test"))
+    if 0 < table.n_features <= FEW_FEATURES:
+        aggs = []
+        for i in range(table.n_features):
+            x = F.get("features", F.lit(i))
+            x = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+            aggs.append(F.struct(F.lit(i).alias("f"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")))
+        return train.agg(F.array(*aggs).alias("a")).select(F.inline("a")).where("n > 0")
+    long = train.select(F.posexplode("features").alias("f", "x"))
     return long.where(~F.isnan("x") & (F.abs("x") < float("inf"))).groupBy("f").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
 
 
@@ -171,7 +183,19 @@ def bin_features(features: Column, spec: BinSpec) -> Column:
         binned = F.least(F.greatest(raw, F.lit(0)), nb - 1)
         return F.when(x.isNull() | F.isnan(x), nb).when(b > a, binned).otherwise(F.lit(0)).cast("int")
 
-    return F.transform(features, one)
+    every = F.transform(features, one)
+    n = len(spec.lo)
+    if not 0 < n <= FEW_FEATURES:
+        return every
+
+    def known(i):
+        x, a, b = F.get(features, F.lit(i)), spec.lo[i], spec.hi[i]
+        raw = F.floor((F.least(F.greatest(x, F.lit(a)), F.lit(b)) - F.lit(a)) / F.lit(b - a) * nb) if b > a else F.lit(0)
+        return F.when(x.isNull() | F.isnan(x), nb).otherwise(F.least(F.greatest(raw, F.lit(0)), nb - 1)).cast("int")
+
+    size = F.size(features)
+    return F.when(features.isNotNull() & (size <= n), F.slice(F.array(*[known(i) for i in range(n)]), F.lit(1), size)) \
+        .otherwise(every)
 
 
 def binned_rows(table: LabeledTable, spec: BinSpec) -> DataFrame:

@@ -48,7 +48,7 @@ class Block:
     limits: tuple[int, ...]
 
 
-def _bins(column: pa.Array) -> np.ndarray:
+def bins_matrix(column: pa.Array) -> np.ndarray:
     """Bins as a matrix; shorter rows are filled with -1."""
     size = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
@@ -160,7 +160,7 @@ def _cells(binned: DataFrame, blocks: list[Block], n_bins: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             y = batch.column("y").dictionary_encode()
-            x, test = _bins(batch.column("bins")), batch.column("is_test").to_numpy(zero_copy_only=False).astype(np.int64)
+            x, test = bins_matrix(batch.column("bins")), batch.column("is_test").to_numpy(zero_copy_only=False).astype(np.int64)
             if len(values) > 100_000:
                 counter.close()
                 yield from send(batch.column("y").type)
@@ -198,18 +198,11 @@ def root_histogram(binned: DataFrame, n_bins: int | None = None) -> DataFrame:
         .select(F.lit(-1).alias("node"), "f", "b", "y", "n_train", "n_test")
 
 
-def child_histogram(binned: DataFrame, roots: DataFrame, block_size: int, n_features: int,
-                    root_hist: DataFrame, n_bins: int | None = None) -> DataFrame:
-    """Counts of (child node, feature, bin, class) for the given root splits.
-
-    ``roots`` has columns (r, t_r, block): root feature, its threshold and its
-    block.  It holds at most one row per feature (a root is a feature), and so
-    goes to the tasks as a list.  Roots whose arrays would not fit into a task
-    together are counted in further passes.
-    """
-    n_bins = n_bins or _max_bin(binned)
+def root_passes(roots: DataFrame, block_size: int, n_features: int, n_bins: int, array_cells: int) -> list[list[Block]]:
+    """The blocks and their roots, by passes whose arrays have at most ``array_cells``
+    cells (one root at least)."""
     passes: list[list[Block]] = [[]]
-    room = ARRAY_CELLS
+    room = array_cells
     by_block: dict[int, list[tuple[int, int]]] = {}
     for r in roots.select("block", "r", "t_r").collect():          # at most one row per feature
         by_block.setdefault(r["block"], []).append((r["r"], r["t_r"]))
@@ -221,11 +214,25 @@ def child_histogram(binned: DataFrame, roots: DataFrame, block_size: int, n_feat
             fit = max(1, room // cells) if room >= cells or not passes[-1] else 0
             if not fit:
                 passes.append([])
-                room = ARRAY_CELLS
+                room = array_cells
                 continue
             some, found = found[:fit], found[fit:]
             passes[-1].append(Block(first, stop, tuple(r for r, _ in some), tuple(t for _, t in some)))
             room -= len(some) * cells
+    return passes
+
+
+def child_histogram(binned: DataFrame, roots: DataFrame, block_size: int, n_features: int,
+                    root_hist: DataFrame, n_bins: int | None = None) -> DataFrame:
+    """Counts of (child node, feature, bin, class) for the given root splits.
+
+    ``roots`` has columns (r, t_r, block): root feature, its threshold and its
+    block.  It holds at most one row per feature (a root is a feature), and so
+    goes to the tasks as a list.  Roots whose arrays would not fit into a task
+    together are counted in further passes.
+    """
+    n_bins = n_bins or _max_bin(binned)
+    passes = root_passes(roots, block_size, n_features, n_bins, ARRAY_CELLS)
     zero = F.lit(0).cast("bigint")
     parents = root_hist.withColumn("block", F.floor(F.col("f") / block_size).cast("int")) \
         .join(roots.select("r", "block"), "block") \

@@ -39,10 +39,12 @@ def next_train_bins(root_hist: DataFrame) -> DataFrame:
         .where(F.col("t").isNotNull())
 
 
-def split_candidates(hist: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Every usable threshold of every (node, f): score and gain test.
+def bin_sums(hist: DataFrame) -> DataFrame:
+    """(node, f, b, c, d_left, d_right, sq_total): training rows of a bin and what
+    moving it to the left adds to sum l^2 and sum r^2; ``sq_total`` adds up to
+    sum p^2 over the bins of a (node, f).
 
-    One shuffle on (node, f) serves both windows and the per-bin aggregate.
+    One shuffle on (node, f) serves the windows and the per-bin aggregate.
     """
     cells = hist.where("n_train > 0").select("node", "f", "b", "y", F.col("n_train").alias("c")) \
         .repartition("node", "f")
@@ -57,9 +59,22 @@ def split_candidates(hist: DataFrame, thresholds: DataFrame) -> DataFrame:
         (c * (c - F.lit(2) * (tot - l_before))).cast(_DEC).alias("d_right"),
         F.when(l_before == 0, tot * tot).otherwise(F.lit(0)).cast(_DEC).alias("sq_total"),
     )
-    per_bin = per_cell.groupBy("node", "f", "b").agg(
-        F.sum("c").alias("c"), F.sum("d_left").alias("d_left"),
-        F.sum("d_right").alias("d_right"), F.sum("sq_total").alias("sq_total"))
+    return add_bin_sums(per_cell)
+
+
+def add_bin_sums(parts: DataFrame) -> DataFrame:
+    """``bin_sums`` from sums over different classes."""
+    return parts.groupBy("node", "f", "b").agg(
+        F.sum("c").alias("c"), *[F.sum(F.col(k).cast(_DEC)).cast(_DEC).alias(k) for k in ("d_left", "d_right", "sq_total")])
+
+
+def split_candidates(hist: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Every usable threshold of every (node, f): score and gain test."""
+    return candidates_of(bin_sums(hist), thresholds)
+
+
+def candidates_of(per_bin: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """``split_candidates`` from ``bin_sums``."""
     w_f = Window.partitionBy("node", "f")
     w_run = w_f.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     run = per_bin.select(
@@ -84,9 +99,13 @@ def split_candidates(hist: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def best_splits(hist: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(node, f, t, score): the best useful threshold of each (node, feature)."""
-    cand = split_candidates(hist, thresholds).where("useful")
+    return best_of(split_candidates(hist, thresholds))
+
+
+def best_of(candidates: DataFrame) -> DataFrame:
+    """``best_splits`` from ``split_candidates``."""
     best = F.min_by(F.struct("t", "score"), F.struct(-F.col("score"), "t"))
-    return cand.groupBy("node", "f").agg(best.alias("b")).select("node", "f", "b.t", "b.score")
+    return candidates.where("useful").groupBy("node", "f").agg(best.alias("b")).select("node", "f", "b.t", "b.score")
 
 
 def majority(counts: DataFrame, keys: list[str]) -> DataFrame:

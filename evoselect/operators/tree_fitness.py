@@ -5,19 +5,22 @@ tree per feature block, restricted to the block's selected features, and
 averaged over blocks.  The reference fits 4 models per individual, one
 application each.  Here one plan scores the whole population:
 
-1. ``root_histogram`` once per run (one pass over the data);
+1. the root's split sums once per run (one pass over the data);
 2. best threshold per feature at the root -> each (individual, block) takes
    the best of its selected features (a join of genes with a per-feature
    table, no data pass);
-3. child histograms only for the *distinct* root features chosen (at most
-   one per feature; one pass over the data for all of them);
-4. from each child histogram, once per root: the best split of every
+3. the children's split sums only for the *distinct* root features chosen (at
+   most one per feature; one pass over the data for all of them);
+4. from these, once per root: the best split of every
    (child node, feature) with the correct test rows of its two leaves, and
-   the correct test rows of the node kept as a leaf (``child_tables``);
+   the correct test rows of the node kept as a leaf;
 5. per (individual, block, side) the best of its features' splits -- a join
    of genes with those tables; test rows are never routed per individual.
 
-Everything after the two histogram passes works on tables of size
+Classes of ordinary size are counted whole in a task (``class_splits``); those
+beyond ``LARGE_CLASS`` through histograms, whose cells per class are few then.
+
+Everything after the two passes works on tables of size
 population x features.  Accuracy is exact: sum of correct test rows over
 blocks divided by (blocks x test rows), one division, stored as double: two different numbers of correct rows never tie.
 """
@@ -25,6 +28,7 @@ blocks divided by (blocks x test rows), one division, stored as double: two diff
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,19 +36,25 @@ from pyspark.sql import functions as F
 from ..session import materialize, scratch_path
 from ..sources.datasets import LabeledTable
 from .binning import BinSpec, binned_rows, fit_bins, fit_quantile_bins, fit_stride_bins
-from .histogram import child_histogram, root_histogram
-from .splits import best_splits, majority, next_train_bins
+from .class_splits import class_sums
+from .histogram import Block, child_histogram, root_histogram, root_passes
+from .splits import add_bin_sums, best_of, best_splits, bin_sums, candidates_of, majority, next_train_bins
 
 
 #: tasks that the rows of one class are spread over, at least; one more for so many rows
 CLASS_SALTS, SALT_ROWS = 16, 1_000_000
+#: rows, and values (rows x features), beyond which a class is counted in several tasks
+LARGE_CLASS, LARGE_VALUES = 100_000, 20_000_000
+#: cells (root, feature, bin, side) that a task keeps sums of at once
+SUM_CELLS = 2_000_000
 
 
 @dataclass
 class TreeData:
     """Everything about the dataset the scorer needs, built once per run."""
-    binned: DataFrame
-    root_hist: DataFrame
+    rows: DataFrame                # y, is_test, bins, large (the class is beyond ``LARGE_CLASS``)
+    large_hist: DataFrame | None   # root histogram of the large classes, if there are any
+    workdir: str | None
     thresholds: DataFrame
     root_best: DataFrame
     spec: BinSpec
@@ -53,6 +63,16 @@ class TreeData:
     n_test: int
     root_correct: int
 
+    @property
+    def binned(self) -> DataFrame:
+        return self.rows.select("y", "is_test", F.col("bins").cast("array<int>").alias("bins"))
+
+    @cached_property
+    def root_hist(self) -> DataFrame:
+        """Root histogram of all classes, built when first asked for."""
+        hist = root_histogram(self.binned, self.spec.n_bins + 1)
+        return _kept(hist, self.workdir, "root_hist")
+
     @property
     def n_blocks(self) -> int:
         return -(-self.n_features // self.block_size)
@@ -73,40 +93,69 @@ def prepare(table: LabeledTable, block_size: int, n_bins: int = 32,
     if workdir == "auto":
         workdir = scratch_path(spark, "tree_data")
     spec = {"widths": fit_bins, "quantiles": fit_quantile_bins, "strides": fit_stride_bins}[borders](table, n_bins)
-    binned = binned_rows(table, spec)
+    most = min(LARGE_CLASS, max(1, LARGE_VALUES // max(1, table.n_features)))
+    # at most one class in ``most`` rows
+    large = _kept(table.df.groupBy(F.col("label").alias("large_y")).agg(F.count(F.lit(1)).alias("n"))
+                  .where(F.col("n") > most).select("large_y"), workdir, "large")
+    some_large = large.limit(1).count() > 0
+    small = "tinyint" if n_bins < 127 else "int"
+    binned = binned_rows(table, spec).select("y", "is_test", F.col("bins").cast(f"array<{small}>").alias("bins"))
+    rows = binned.join(F.broadcast(large), F.col("y").eqNullSafe(F.col("large_y")), "left_semi").withColumn("large", F.lit(True)) \
+        .unionByName(binned.join(F.broadcast(large), F.col("y").eqNullSafe(F.col("large_y")), "left_anti")
+                     .withColumn("large", F.lit(False))) if some_large else binned.withColumn("large", F.lit(False))
     if workdir:
-        small = "tinyint" if n_bins < 127 else "int"
-        # clustered by class once (salted, a class may hold most rows): every
+        # clustered by class once (large ones salted, one may hold most rows): a
         # histogram pass then meets few classes in a task, so its map-side
         # aggregate collapses them however many classes there are
         salts = max(CLASS_SALTS, spec.rows // SALT_ROWS)
         # by row number: equal rows spread too
-        salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts))
-        binned = binned.withColumn("_salt", salt).repartition(F.col("y"), F.col("_salt")).sortWithinPartitions("y")
-        binned.select("y", "is_test", F.col("bins").cast(f"array<{small}>").alias("bins")) \
-            .write.mode("overwrite").parquet(f"{workdir}/binned")
-        binned = spark.read.parquet(f"{workdir}/binned") \
-            .select("y", "is_test", F.col("bins").cast("array<int>").alias("bins"))
-    hist = root_histogram(binned, n_bins + 1)
-    if workdir:
-        hist.write.mode("overwrite").parquet(f"{workdir}/root_hist")
-        hist = spark.read.parquet(f"{workdir}/root_hist")
-    thresholds = next_train_bins(hist)
-    root_best = best_splits(hist, thresholds).select("f", "t", "score")
-    if workdir:
-        thresholds.write.mode("overwrite").parquet(f"{workdir}/thresholds")
-        thresholds = spark.read.parquet(f"{workdir}/thresholds")
-        root_best.write.mode("overwrite").parquet(f"{workdir}/root_best")
-        root_best = spark.read.parquet(f"{workdir}/root_best")
-    root_node = hist.where("f = 0").groupBy("node", "y") \
-        .agg(F.sum("n_train").alias("n_train"), F.sum("n_test").alias("n_test"))
-    totals = majority(root_node, ["node"]).join(
-        root_node.groupBy("node").agg(F.sum("n_test").alias("n_all")), "node").first()
+        salt = F.when(F.col("large"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts))).otherwise(0)
+        rows = rows.withColumn("_salt", salt).repartition(F.col("y"), F.col("_salt")).sortWithinPartitions("y").drop("_salt")
+    rows = _kept(rows, workdir, "binned")
+    cells = n_bins + 1
+    sums = _kept(class_sums(rows.where("NOT large"), [Block(0, None, (-1,), (0,))], cells, table.n_features, spec.rows),
+                 workdir, "root_sums")
+    large_hist = _kept(root_histogram(rows.where("large"), cells), workdir, "root_hist_large") if some_large else None
+    per_bin = _bins_of(sums, large_hist)
+    thresholds = _kept(next_train_bins(per_bin.withColumnRenamed("c", "n_train")), workdir, "thresholds")
+    root_best = _kept(best_of(candidates_of(per_bin, thresholds)).select("f", "t", "score"), workdir, "root_best")
+    n_test = sums.where("side = -1 AND f = 0").select("n_test")
+    root_node = sums.where((F.col("side") == 0) & (F.col("f") == 0) & (F.col("upto") == n_bins)).select(*_LEADERS)
+    if large_hist is not None:
+        n_test = n_test.unionByName(large_hist.where("f = 0").select("n_test"))
+        root_node = root_node.unionByName(_leaders(large_hist.where("f = 0"), ["node"]))
+    totals = majority(root_node, ["node"]).crossJoin(n_test.agg(F.sum("n_test").alias("n_all"))).first()
     n_test, root_correct = (int(totals["n_all"]), int(totals["correct"])) if totals else (0, 0)
-    return TreeData(binned, hist, thresholds, root_best, spec, table.n_features,
+    return TreeData(rows, large_hist, workdir, thresholds, root_best, spec, table.n_features,
                     block_size, n_test, root_correct)
 
 
+_LEADERS = ("node", "y", "n_train", "n_test")
+
+
+def _kept(df: DataFrame, workdir: str | None, name: str) -> DataFrame:
+    """``df`` written to ``workdir`` and read back; as it is without one."""
+    if not workdir:
+        return df
+    df.write.mode("overwrite").parquet(f"{workdir}/{name}")
+    return df.sparkSession.read.parquet(f"{workdir}/{name}")
+
+
+def _bins_of(sums: DataFrame, large_hist: DataFrame | None) -> DataFrame:
+    """``bin_sums`` over all classes: from ``class_sums`` and the large ones' histogram."""
+    cols = ("node", "f", "b", "c", "d_left", "d_right", "sq_total")
+    parts = sums.where("side = -1 AND n_train > 0").withColumnRenamed("n_train", "c").select(*cols)
+    if large_hist is not None:
+        exact = [F.col(c).cast("decimal(38,0)").alias(c) for c in ("d_left", "d_right", "sq_total")]
+        parts = parts.select(*cols[:4], *exact).unionByName(bin_sums(large_hist))
+    return add_bin_sums(parts)
+
+
+def _leaders(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a node's classes: (*keys, y, n_train, n_test)."""
+    return cells.groupBy(*keys, "y").agg(F.sum("n_train").alias("n_train"), F.sum("n_test").alias("n_test"))
+
+
 def genes(population: DataFrame, block_size: int) -> DataFrame:
     """(individual_id, f, block) for every selected feature."""
     return population.select("individual_id", F.posexplode("genome").alias("f", "bit")) \
@@ -153,6 +202,33 @@ def child_tables(data: TreeData, child_hist: DataFrame) -> tuple[DataFrame, Data
     return best.join(split_correct, ["node", "f"]), nodes
 
 
+def child_statistics(data: TreeData, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``child_tables`` of the given root splits (r, t_r, block), no histogram of
+    all classes between."""
+    n_bins = data.spec.n_bins + 1
+    sums = None
+    for blocks in root_passes(roots, data.block_size, data.n_features, n_bins, SUM_CELLS):
+        found = class_sums(data.rows.where("NOT large"), blocks, n_bins, data.n_features, data.spec.rows)
+        sums = found if sums is None else sums.unionByName(found)
+    sums = materialize(sums, "child_sums")
+    hist = None if data.large_hist is None else materialize(child_histogram(
+        data.rows.where("large").select("y", "is_test", "bins"), roots, data.block_size, data.n_features,
+        data.large_hist, n_bins), "child_hist")
+    best = materialize(best_of(candidates_of(_bins_of(sums, hist), data.thresholds)), "child_best")
+    own = F.col("f") == F.floor(F.col("node") / 2)
+    # the top class among those of each task, then of all
+    split = sums.where("side >= 0").join(F.broadcast(best.select("node", "f", "t")), ["node", "f"]) \
+        .where("t BETWEEN b AND upto").select("node", "f", "side", "y", "n_train", "n_test")
+    leaf = sums.where((F.col("side") == 0) & (F.col("upto") == data.spec.n_bins) & own).select(*_LEADERS)
+    if hist is not None:
+        split = split.unionByName(_leaders(
+            hist.join(best.select("node", "f", "t"), ["node", "f"]).withColumn("side", (F.col("b") > F.col("t")).cast("int")),
+            ["node", "f", "side"]))
+        leaf = leaf.unionByName(_leaders(hist.where(own), ["node"]))
+    split_correct = majority(split, ["node", "f", "side"]).groupBy("node", "f").agg(F.sum("correct").alias("correct"))
+    return best.join(split_correct, ["node", "f"]), majority(leaf, ["node"]).select("node", "correct")
+
+
 def score_population(data: TreeData, population: DataFrame,
                      child_best: DataFrame | None = None,
                      node_correct: DataFrame | None = None) -> DataFrame:
@@ -167,9 +243,7 @@ def score_population(data: TreeData, population: DataFrame,
     g = materialize(genes(population, data.block_size), "genes")
     roots = materialize(root_choices(data, g), "roots")
     if child_best is None or node_correct is None:
-        hist = materialize(child_histogram(data.binned, needed_roots(roots), data.block_size,
-                                           data.n_features, data.root_hist, data.spec.n_bins + 1), "child_hist")
-        child_best, node_correct = child_tables(data, hist)
+        child_best, node_correct = child_statistics(data, needed_roots(roots))
 
     sides = roots.select("individual_id", "block", "r",
                          F.explode(F.array(F.lit(0), F.lit(1))).alias("s")) \
